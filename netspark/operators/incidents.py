@@ -150,7 +150,7 @@ def incidents(bridge: DataFrame, keys: list[str] | None = None) -> DataFrame:
     seen = F.array_compact(
         F.array(
             *[
-                F.when(F.col(f"_seen_{i}").isNotNull(), F.struct(F.col(f"_seen_{i}"), F.lit(t[0])))
+                F.when(F.col(f"_seen_{i}").isNotNull(), F.struct(F.col(f"_seen_{i}").alias("seq"), F.lit(t[0]).alias("id")))
                 for i, t in enumerate(TECHNIQUES)
             ]
         )
@@ -166,7 +166,7 @@ def incidents(bridge: DataFrame, keys: list[str] | None = None) -> DataFrame:
         risk_tier(score).alias("risk_tier"),
         names.alias("contributing_detectors"),
         explanation(names).alias("risk_explanation"),
-        F.transform(F.array_sort(seen), lambda x: x["col2"]).alias("techniques"),
+        F.transform(F.array_sort(seen), lambda x: x["id"]).alias("techniques"),
     )
 
 

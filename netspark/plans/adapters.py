@@ -113,7 +113,7 @@ LATE_US = 1705968000000000  # 2024-01-23
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operators resolve some sources half way, and reopen some of those later."""
-    hosts = new_flows(spark, sf_dir).withColumn("last_octet", F.expr("cast(element_at(split(src_ip, '[.]'), 4) as int)"))
+    hosts = new_flows(spark, sf_dir).withColumn("last_octet", F.expr("try_cast(get(split(src_ip, '[.]'), 3) as int)"))
 
     def last_before(limit: int, every: int, action: str) -> DataFrame:
         picked = hosts.filter((F.col("ts_us") < limit) & (F.col("last_octet") % every == 0))

@@ -23,16 +23,18 @@ _LEFTOVER = 1 << 59
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Add the endpoint pair in canonical order, and whether the packet leaves the first of it."""
-    src = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
-    dst = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
-    low, high = F.least(src, dst), F.greatest(src, dst)
-    return packets.select(
+    same_ip = F.col("src_ip") == F.col("dst_ip")
+    from_a = (F.col("src_ip") < F.col("dst_ip")) | (same_ip & (F.col("src_port") <= F.col("dst_port")))
+
+    def end(forward: str, backward: str) -> Column:
+        return F.when(F.col("from_a"), F.col(forward)).otherwise(F.col(backward))
+
+    return packets.withColumn("from_a", from_a).select(
         "*",
-        low["ip"].alias("ip_a"),
-        low["port"].alias("port_a"),
-        high["ip"].alias("ip_b"),
-        high["port"].alias("port_b"),
-        (src <= dst).alias("from_a"),
+        end("src_ip", "dst_ip").alias("ip_a"),
+        end("src_port", "dst_port").alias("port_a"),
+        end("dst_ip", "src_ip").alias("ip_b"),
+        end("dst_port", "src_port").alias("port_b"),
     )
 
 

@@ -15,6 +15,7 @@ sequence range) and not by the rows; a further width repeats the cut on them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +68,9 @@ def _scan(df, keys, order, out, widths, level) -> DataFrame:
     carry_out = {f"_c{level}_{n}": Running(r.kind, f"_t{level}_{n}", False) for n, r in out.items()}
     carried = _scan(totals, keys, chunk, carry_out, widths[1:], level + 1).select(*by, *carry_out)
 
-    joined = local.join(carried, by)
+    # A chunk that carries nothing in (every key's first, so most) needs no partner.
+    brings = [F.col(c) != 0 if r.kind == "sum" else F.col(c).isNotNull() for c, r in carry_out.items()]
+    joined = local.join(carried.filter(reduce(Column.__or__, brings)), by, "left")
     results = [
         _combine(r.kind, F.col(f"_c{level}_{n}"), F.col(f"_l{level}_{n}")).alias(n) for n, r in out.items()
     ]

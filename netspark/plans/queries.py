@@ -81,7 +81,9 @@ RETENTION = RetentionParams(bulk_days=14.0, finding_days=21.0, samples_per_label
 
 
 # ---- sources and sinks ----------------------------------------------------------
-query("s1_packet_source", f"select {', '.join(PACKET_COLUMNS)} from packets")(lambda t: t.packets())
+query("s1_packet_source", f"select {', '.join(PACKET_COLUMNS)} from packets")(
+    lambda t: adapters.packets(t.spark, t.sf_dir)
+)
 
 
 @query(

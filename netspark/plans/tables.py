@@ -58,7 +58,7 @@ class Tables:
 
     # ---- from packets -----------------------------------------------------------
     def packets(self) -> DataFrame:
-        return adapters.packets(self.spark, self.sf_dir)
+        return self._staged("packets", lambda: adapters.packets(self.spark, self.sf_dir))
 
     def sessions(self) -> DataFrame:
         return flows.with_flow_id(self.packets())
@@ -80,7 +80,9 @@ class Tables:
 
     # ---- from events ------------------------------------------------------------
     def new_flows(self) -> DataFrame:
-        return adapters.new_flows(self.spark, self.sf_dir).withColumn("finish_seq", F.col("flow_id"))
+        return self._staged(
+            "new_flows", lambda: adapters.new_flows(self.spark, self.sf_dir).withColumn("finish_seq", F.col("flow_id"))
+        )
 
     def scored(self) -> DataFrame:
         return anomaly.with_warmup(adapters.scored_flows(self.spark, self.sf_dir))

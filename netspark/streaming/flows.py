@@ -1,0 +1,245 @@
+"""Continuous flow assembly: packets in, finished flows out.
+
+State per flow key is one open flow as partial aggregates (35 doubles), never its packets. A flow
+is emitted when a packet closes it, or when the watermark passes its last packet by
+the idle timeout. The features follow from the aggregates as column expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from netspark.operators.flows import _LEFTOVER, KEY, closes, with_flow_key
+from netspark.params import FlowParams
+from netspark.schemas import FEATURE_COLUMNS, IDENTITY_COLUMNS
+from netspark.session import shared_dir
+
+# A measure is (count, mean, sum of squared deviations, min, max), which merges exactly.
+_MEASURES = ["fwd_size", "bwd_size", "fwd_header", "bwd_header", "gap"]
+_FLAGS = ["S", "A", "F", "R", "P", "U"]
+_PLAIN = ["packets", "payload", "zero_payload", "flagged", *_FLAGS]
+
+_STATE = (
+    "flow_id bigint, src_ip string, dst_ip string, src_port int, dst_port int, start_us bigint, "
+    "last_us bigint, last_seq bigint, sums binary"
+)
+_FLOW = f"protocol int, finished_cleanly boolean, total_packets bigint, {_STATE}"
+_STATE_COLUMNS = [c.strip().split(" ")[0] for c in _STATE.split(", ")]
+_EMPTY = [0.0, 0.0, 0.0, 0.0, 0.0]
+_PACKET_COLUMNS = [
+    "arrival_seq", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "size", "header_size", "payload_size", "tcp_flags", "closes",
+]
+
+
+def _measure(values: np.ndarray) -> list[float]:
+    n = len(values)
+    if n == 0:
+        return list(_EMPTY)
+    mean = float(values.sum()) / n
+    deviation = values - mean
+    return [float(n), mean, float(deviation @ deviation), float(values.min()), float(values.max())]
+
+
+def _merge(a, b) -> list[float]:
+    if a[0] == 0:
+        return list(b)
+    if b[0] == 0:
+        return list(a)
+    n = a[0] + b[0]
+    delta = b[1] - a[1]
+    return [n, a[1] + delta * b[0] / n, a[2] + b[2] + delta * delta * a[0] * b[0] / n, min(a[3], b[3]), max(a[4], b[4])]
+
+
+def _summarise(p: dict[str, np.ndarray], part: slice, held: tuple | None) -> tuple:
+    """Partial aggregates of consecutive packets of one flow, which ``held`` may already have begun."""
+    src_ip, src_port, times = p["src_ip"][part], p["src_port"][part], p["ts_us"][part]
+    opener = (src_ip[0], src_port[0]) if held is None else (held[1], held[3])
+    forward = (src_ip == opener[0]) & (src_port == opener[1])
+    path = times if held is None else np.concatenate(([held[6]], times))
+    gaps = np.maximum(np.diff(path), 0) / 1e6
+    size, header, payload = p["size"][part], p["header_size"][part], p["payload_size"][part]
+    flags = [f for f in p["tcp_flags"][part] if f is not None]
+    plain = [float(len(times)), float(payload.sum()), float((payload == 0).sum()), float(len(flags))]
+    plain += [float(sum(letter in f for f in flags)) for letter in _FLAGS]
+    parts = [size[forward], size[~forward], header[forward], header[~forward], gaps]
+    seq = p["arrival_seq"][part]
+    return (
+        int(seq[0]), str(src_ip[0]), str(p["dst_ip"][part][0]), int(src_port[0]), int(p["dst_port"][part][0]),
+        int(times[0]), int(times[-1]), int(seq[-1]), [*plain, *(x for m in parts for x in _measure(m))],
+    )
+
+
+def _extend(old: tuple, new: tuple) -> tuple:
+    a, b, n = old[8], new[8], len(_PLAIN)
+    sums = [x + y for x, y in zip(a[:n], b[:n])]
+    for i in range(n, len(a), len(_EMPTY)):
+        sums += _merge(a[i : i + len(_EMPTY)], b[i : i + len(_EMPTY)])
+    return (*old[:6], *new[6:8], sums)
+
+
+def _pack(flow: tuple) -> tuple:
+    return (*flow[:8], np.array(flow[8]).tobytes())
+
+
+def _unpack(flow: tuple) -> tuple:
+    return (*flow[:8], np.frombuffer(flow[8]).tolist())
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _sums(packed: pd.Series) -> pd.Series:
+    return packed.map(np.frombuffer)
+
+
+def _assemble(params: FlowParams):
+    timeout_us = params.idle_timeout_us
+    if timeout_us is None:
+        raise ValueError("a stream needs an idle timeout: it has no end at which to flush flows")
+
+    def assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        protocol = int(key[4])
+        if protocol < 0:  # a heartbeat only moves the watermark
+            for _ in batches:
+                pass
+            return
+        done = []
+        held = _unpack(tuple(state.get)) if state.exists else None
+        if state.hasTimedOut:
+            done.append((protocol, False, int(held[8][0]), *_pack(held)))
+            held = None
+        else:
+            frames = list(batches)
+            rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+            order = np.argsort(rows["arrival_seq"].to_numpy(), kind="stable")
+            p = {c: rows[c].to_numpy()[order] for c in _PACKET_COLUMNS}
+            for c in ("size", "header_size", "payload_size"):
+                p[c] = p[c].astype(float)
+            times, ends = p["ts_us"], p["closes"].astype(bool)
+            if held is not None and times[0] - held[6] >= timeout_us:
+                done.append((protocol, False, int(held[8][0]), *_pack(held)))
+                held = None
+            breaks = np.flatnonzero(ends[:-1] | (np.diff(times) >= timeout_us)) + 1
+            edges = [0, *breaks.tolist(), len(times)]
+            for i in range(len(edges) - 1):
+                part = slice(edges[i], edges[i + 1])
+                summary = _summarise(p, part, held)
+                held = summary if held is None else _extend(held, summary)
+                closed = bool(ends[edges[i + 1] - 1])
+                if closed or i < len(edges) - 2:
+                    done.append((protocol, closed, int(held[8][0]), *_pack(held)))
+                    held = None
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(_pack(held))
+            # A timer must lie ahead of the watermark.
+            due_ms = (held[6] + timeout_us) // 1000
+            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame(done, columns=["protocol", "finished_cleanly", "total_packets", *_STATE_COLUMNS])
+
+    return assemble
+
+
+def stream_flows(packets: DataFrame, params: FlowParams, delay: str = "10 seconds") -> DataFrame:
+    """Finished flows of a packet stream. Rows later than ``delay`` behind the newest are dropped."""
+    keyed = with_flow_key(packets).withColumn("closes", closes(F.col("tcp_flags")))
+    timed = keyed.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
+    finished = timed.groupBy(*KEY).applyInPandasWithState(
+        _assemble(params), _FLOW, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    finish = F.when(F.col("finished_cleanly"), F.col("last_seq")).otherwise(F.lit(_LEFTOVER).cast("bigint") + F.col("flow_id"))
+    return finished.withColumn("finish_seq", finish)
+
+
+def streamed_features(finished: DataFrame, params: FlowParams = FlowParams()) -> DataFrame:
+    """The feature columns of streamed flows, from their packed aggregates.
+
+    For the written flow table, or each batch of a ``foreachBatch`` sink.
+    """
+
+    def plain(name: str) -> Column:
+        return F.col("sums")[_PLAIN.index(name)]
+
+    def stat(measure: str, name: str) -> Column:
+        at = len(_PLAIN) + _MEASURES.index(measure) * len(_EMPTY)
+        n, mean, spread, low, high = (F.col("sums")[at + i] for i in range(len(_EMPTY)))
+        if name == "std":
+            return F.when(n >= 2, F.sqrt(spread / (n - 1))).otherwise(F.lit(0.0))
+        return {"n": n, "mean": mean, "min": low, "max": high, "sum": F.round(mean * n)}[name]
+
+    def ratio(top: Column, bottom: Column) -> Column:
+        return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+
+    forward, backward = stat("fwd_size", "n"), stat("bwd_size", "n")
+    duration = F.greatest((F.col("last_us") - F.col("start_us")) / F.lit(1e6), F.lit(1e-6))
+    total_bytes = stat("fwd_size", "sum") + stat("bwd_size", "sum")
+    names = dict(zip(_FLAGS, ["syn", "ack", "fin", "rst", "psh", "urg"]))
+    counts = {
+        "total_packets": plain("packets"), "total_bytes": total_bytes, "fwd_packets": forward, "bwd_packets": backward,
+        "fwd_bytes": stat("fwd_size", "sum"), "bwd_bytes": stat("bwd_size", "sum"),
+        **{f"{name}_count": plain(letter) for letter, name in names.items()},
+    }
+    columns = {
+        "duration_seconds": duration,
+        "bytes_per_second": total_bytes / duration,
+        "packets_per_second": plain("packets") / duration,
+        "bwd_fwd_packet_ratio": ratio(backward, forward),
+        "fwd_packet_share": ratio(forward, plain("packets")),
+        "iat_cv": ratio(stat("gap", "std"), stat("gap", "mean")),
+        "syn_ratio": ratio(plain("S"), plain("flagged")),
+        "ack_ratio": ratio(plain("A"), plain("flagged")),
+        "avg_payload_size": plain("payload") / plain("packets"),
+        "zero_payload_ratio": plain("zero_payload") / plain("packets"),
+        "is_well_known_dst_port": (F.col("dst_port") < 1024).cast("int"),
+        **{name: value.cast("bigint") for name, value in counts.items()},
+    }
+    for s in ("mean", "max", "min", "std"):
+        columns[f"iat_{s}"] = stat("gap", s)
+        for d in ("fwd", "bwd"):
+            columns[f"{d}_pkt_len_{s}"] = stat(f"{d}_size", s)
+            columns[f"{d}_header_len_{s}"] = stat(f"{d}_header", s)
+    features = [columns.get(c, F.col(c)).alias(c) for c in FEATURE_COLUMNS]
+    kept = finished.filter(F.col("total_packets") >= params.min_packets).withColumn("sums", _sums("sums"))
+    return kept.select(
+        "flow_id", "finish_seq", *IDENTITY_COLUMNS, "start_us", "last_us", "finished_cleanly", *features
+    )
+
+
+def heartbeat(packets: DataFrame, ahead_us: int) -> DataFrame:
+    """One row after the newest packet: on arrival it moves the watermark past every open flow."""
+    fields = {f.name: f.dataType for f in packets.schema.fields}
+    last = packets.agg(F.max("ts_us").alias("ts_us"), F.max("arrival_seq").alias("arrival_seq"))
+    values = {
+        "arrival_seq": F.col("arrival_seq") + 1, "ts_us": F.col("ts_us") + ahead_us, "protocol": F.lit(-1),
+        "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0"),
+    }
+    return last.select(*[values.get(n, F.lit(None) if n == "tcp_flags" else F.lit(0)).cast(t).alias(n) for n, t in fields.items()])
+
+
+def stream_flows_once(packets: DataFrame, params: FlowParams) -> DataFrame:
+    """A stored packet table through the stream, to its end: all data, then a heartbeat to flush."""
+    import uuid
+
+    spark = packets.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    span = packets.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    delay_us = max(span["b"] - span["a"], 0) + 1_000_000
+    packets.write.parquet(f"{base}/in")
+    heartbeat(packets, 2 * delay_us + params.idle_timeout_us).write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(packets.schema).parquet(f"{base}/in")
+    # The stored rows are in no particular time order, so nothing is late within their own span.
+    finished = stream_flows(source, params, f"{delay_us // 1_000_000 + 1} seconds")
+    run = (
+        finished.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True).start(f"{base}/out")
+    )
+    run.awaitTermination()
+    return spark.read.schema(finished.schema).parquet(f"{base}/out")

@@ -9,6 +9,7 @@ from netspark.operators.incidents import incident_key
 from netspark.params import RetentionParams
 
 DAY_US = 86_400_000_000
+_LIMIT_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
 BULK = ["NORMAL", "WARMING_UP"]
 FINDINGS = ["SUSPICIOUS", "ATTACK", "UNAVAILABLE"]
 
@@ -43,8 +44,12 @@ def kept_samples(labelled: DataFrame, p: RetentionParams = RetentionParams()) ->
     """The newest ``samples_per_label`` rows of each label, by timestamp text then id.
 
     The rank limit is applied inside each map task before the shuffle, so a label
-    with most of the rows ships at most the cap per task.
+    with most of the rows ships at most the cap per task. Spark does this up to a
+    threshold, which is raised to the cap here.
     """
+    conf = labelled.sparkSession.conf
+    if int(conf.get(_LIMIT_THRESHOLD)) < p.samples_per_label:
+        conf.set(_LIMIT_THRESHOLD, str(p.samples_per_label))
     newest = Window.partitionBy("label").orderBy(F.desc("timestamp"), F.desc("id"))
     ranked = labelled.withColumn("_rank", F.row_number().over(newest))
     return ranked.filter(F.col("_rank") <= p.samples_per_label).drop("_rank")

@@ -29,16 +29,25 @@ from netspark.operators import (
 )
 from netspark.params import (
     BlockParams,
-    DdosParams,
     EvidenceParams,
     FlowParams,
-    PortScanParams,
     RetentionParams,
     VerdictParams,
 )
 from netspark.plans import adapters, oracle as o
-from netspark.plans.tables import ALERT, BLOCK, BRUTE_FORCE, DDOS, PORT_SCAN, SCORED_FEATURES, SECONDS, Tables
-from netspark.schemas import FEATURE_COLUMNS, IDENTITY_COLUMNS
+from netspark.plans.tables import (
+    ALERT,
+    BLOCK,
+    BRUTE_FORCE,
+    DDOS,
+    PACKET_DDOS,
+    PACKET_GUESS,
+    PACKET_SCAN,
+    PORT_SCAN,
+    SECONDS,
+    Tables,
+)
+from netspark.schemas import FEATURE_COLUMNS
 from netspark.session import shared_dir, stage
 from netspark.sources import tables as store
 
@@ -396,7 +405,7 @@ query(
 )(lambda t: win.running_summary(t.scored(), "finish_seq"))
 
 # Check-time evaluation over packets: new flows recorded at their start, checked at each flow's last packet.
-_PD, _PP = DdosParams(10.0, 11, 10, 10, 9), PortScanParams(720 * 3600.0, 6, 4)
+_PD, _PP = PACKET_DDOS, PACKET_SCAN
 o.FRAGMENTS["started"] = "select arrival_seq flow_id, ts_us, src_ip, dst_ip, dst_port from sessions where opens"
 o.FRAGMENTS["checks"] = "select flow_id, finish_seq, last_us ts_us, src_ip from features"
 
@@ -923,3 +932,28 @@ union all select 'llm_calls_total', 'outcome=' || case when available then 'succ
 union all select 'cef_export_total', 'granularity=evidence,outcome=sent', count(*) from evidence
 union all select 'cef_export_total', 'granularity=incident,outcome=sent', count(*) from bridge where kind = 'evidence'""",
 )(lambda t: me.metrics(t.evidence(), t.bridge(), t.incidents(), t.block_actions(), t.reviews()))
+
+
+# ---- the whole way --------------------------------------------------------------
+o.FRAGMENTS["judged"] = """select flow_id, finish_seq, last_us ts_us, src_ip, dst_ip, dst_port,
+  case when finish_seq < warm_end then 'WARMING_UP' when total_packets >= 20 and packets_per_second > 1000 then 'ATTACK'
+    when (total_bytes % 97 - 60) / 1000.0::double < -0.015 then 'SUSPICIOUS' else 'NORMAL' end verdict
+from features, (select max(finish_seq) warm_end from warm)"""
+o.FRAGMENTS["attempted"] = "select flow_id, finish_seq, last_us ts_us, src_ip, dst_ip, dst_port from features"
+o.FRAGMENTS["flow_evidence"] = f"""
+select finish_seq * 8 arrival_seq, 'anomaly' detector, ts_us, verdict, src_ip, null::varchar attack_type from judged
+union all select finish_seq * 8 + 2, 'ddos', ts_us, verdict, null, null from ({o.ddos_sql('started', 'checks', PACKET_DDOS)})
+union all select finish_seq * 8 + 3, 'port_scan', ts_us, verdict, src_ip, null from ({o.port_scan_sql('started', 'checks', PACKET_SCAN.window_us, PACKET_SCAN.suspicious_ports, PACKET_SCAN.attack_ports)})
+union all select finish_seq * 8 + 4, 'brute_force', ts_us, verdict, src_ip, null from ({o.brute_force_sql('attempted', PACKET_GUESS)})"""
+o.FRAGMENTS["flow_bridge"] = o.correlate_sql("flow_evidence", None)
+query(
+    "packets_to_risk",
+    f"""select key, evidence_count, detectors, cast(least(100, {o.half_even('raw')}) as int) risk_score from (
+  select key, sum(n)::bigint evidence_count, string_agg(detector, ',' order by detector) detectors,
+    sum(case when pts > 0 then pts * {o.TRUST_SQL}::double else 0 end) + greatest(count(*) filter (where pts > 0) - 1, 0) * 10 raw
+  from (select key, detector, count(*) n, max({o.POINTS}) pts from flow_bridge group by 1, 2) group by 1)""",
+)(
+    lambda t: inc.incidents(inc.correlate(t.packet_evidence())).select(
+        "key", "evidence_count", F.col("detectors_involved").alias("detectors"), "risk_score"
+    )
+)

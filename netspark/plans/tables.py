@@ -34,7 +34,7 @@ SECONDS = {"ddos": 6 * HOUR, "port_scan": 24 * HOUR, "brute_force": 72 * HOUR}
 # Orders of one day start within a second; a source's orders are days apart.
 PACKET_DDOS = DdosParams(10.0, attack_flows=11, attack_sources=10, suspicious_flows=10, suspicious_sources=9)
 PACKET_SCAN = PortScanParams(720 * HOUR, attack_ports=6, suspicious_ports=4)
-PACKET_GUESS = BruteForceParams(8760 * HOUR, attack_attempts=2, suspicious_attempts=1)
+PACKET_GUESS = BruteForceParams(2400 * HOUR, attack_attempts=2, suspicious_attempts=1)
 BLOCK = BlockParams(block_private_ranges=True, dry_run=False, duration_minutes=2880.0)
 ALERT = AlertParams(rate_limit_seconds=3 * 86_400.0)
 SCORED_FEATURES = [
@@ -148,6 +148,24 @@ class Tables:
         decided = response.block_decisions(self.attack_events(), BLOCK)
         return response.block_actions(decided, self.unblocks(), BLOCK)
 
+    def packet_evidence(self) -> DataFrame:
+        """Evidence of four detectors over the packet table, each flow checked at its last packet."""
+        sessions = stage(flows.with_flow_id(self.packets()), "sessions")
+        features = stage(flow_features(sessions), "flow-features")
+        started = flows.new_flow_events(sessions)
+        checks = features.select("flow_id", "finish_seq", F.col("last_us").alias("ts_us"), "src_ip")
+        attempts = checks.join(features.select("flow_id", "dst_ip", "dst_port"), "flow_id")
+        scored = features.withColumn("ts_us", F.col("last_us")).withColumn(
+            "score", (F.col("total_bytes") % 97 - 60) / F.lit(1000.0)
+        )
+        judged = anomaly.with_warmup(scored)
+        return evidence.evidence(
+            evidence.from_anomaly(judged, IDENTITY_COLUMNS + FEATURE_COLUMNS),
+            evidence.from_ddos(windows.ddos_windows(started, checks, PACKET_DDOS), PACKET_DDOS.window_seconds),
+            evidence.from_port_scan(windows.port_scan_windows(started, checks, PACKET_SCAN), PACKET_SCAN.window_seconds),
+            evidence.from_brute_force(windows.brute_force_windows(attempts, PACKET_GUESS), PACKET_GUESS.window_seconds),
+        )
+
     # ---- labelled rows ----------------------------------------------------------
     def build_labelled(self) -> DataFrame:
         """Rows of both flow tables and of the trackers; every sixth order is from before three features existed."""

@@ -61,6 +61,9 @@ def _scan(df, keys, order, out, widths, level) -> DataFrame:
     chunk = f"_chunk{level}"
     by = [*keys, chunk]
     chunked = df.withColumn(chunk, F.expr(f"`{order}` div {widths[0]}L"))
+    if set(df.columns) <= {*keys, order, *(r.column for r in out.values())}:
+        # Rows and totals need the same columns: one exchange serves both.
+        chunked = chunked.repartition(*by)
     window = Window.partitionBy(*by).orderBy(order)
     local = chunked.select("*", *[_local(r, window).alias(f"_l{level}_{n}") for n, r in out.items()])
 
@@ -102,21 +105,21 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
-def window_deltas(events: DataFrame, keys: list[str], ts: str, window_us: int) -> DataFrame:
+def window_deltas(events: DataFrame, keys: list[str], ts: str, window_us: int, arrivals: bool = False) -> DataFrame:
     """Row-count changes of the closed trailing window: +1 at ts, -1 just after ts + W.
 
-    Columns: keys, ``t``, ``change``, ``arrivals``. Changes at one instant are summed
-    first, with map-side combine, so rows at equal times all count for each other.
+    Columns: keys, ``t``, ``change``, and on request ``arrivals`` (rows at ``t``).
+    Changes at one instant are summed first, with map-side combine, so rows at equal
+    times all count for each other.
     """
     steps = F.array(
-        F.struct(F.col(ts).alias("t"), F.lit(1).alias("change"), F.lit(1).alias("arrivals")),
-        F.struct((F.col(ts) + F.lit(window_us + 1)).alias("t"), F.lit(-1).alias("change"), F.lit(0).alias("arrivals")),
-    )
-    return (
-        events.select(*keys, F.inline(steps))
-        .groupBy(*keys, "t")
-        .agg(F.sum("change").alias("change"), F.sum("arrivals").alias("arrivals"))
+        F.struct(F.col(ts).alias("t"), F.lit(1).alias("change")),
+        F.struct((F.col(ts) + F.lit(window_us + 1)).alias("t"), F.lit(-1).alias("change")),
     )
+    sums = [F.sum("change").alias("change")]
+    if arrivals:
+        sums.append(F.count_if(F.col("change") > 0).alias("arrivals"))
+    return events.select(*keys, F.inline(steps)).groupBy(*keys, "t").agg(*sums)
 
 
 def crossing(after: Column, change: Column) -> Column:

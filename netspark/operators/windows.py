@@ -99,7 +99,7 @@ def _target_changes(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
     """
     numbered = new_flows.withColumn(
         "dst", F.coalesce(ip_number(F.col("dst_ip")), F.lit(1 << 32) + F.xxhash64("dst_ip").bitwiseAND((1 << 30) - 1))
-    )
+    ).select("src_ip", "dst", "dst_port", "ts_us")
     contact = ["src_ip", "dst", "dst_port"]
     seen = scan(
         window_deltas(numbered, contact, "ts_us", p.window_us), contact, "t", {"n": Running("sum", "change")}
@@ -229,7 +229,7 @@ def brute_force_verdict(attempts: Column, p: BruteForceParams) -> Column:
 
 def brute_force_counts(attempts: DataFrame, p: BruteForceParams) -> DataFrame:
     """Attempts in the window and episode number at each distinct attempt time of a triple."""
-    deltas = window_deltas(attempts, TRIPLE, "ts_us", p.window_us)
+    deltas = window_deltas(attempts, TRIPLE, "ts_us", p.window_us, arrivals=True)
     counted = scan(deltas, TRIPLE, "t", {"attempts": Running("sum", "change")}).filter("arrivals > 0")
     flagged = counted.select(*TRIPLE, "t", "attempts", (F.col("attempts") >= p.attack_attempts).cast("int").alias("hot"))
     previous = scan(flagged, TRIPLE, "t", {"was_hot": Running("last", "hot", inclusive=False)})

@@ -80,15 +80,20 @@ def port_scan_confidence(ports: Column, p: PortScanParams) -> Column:
     return F.when(port_scan_verdict(ports, p) == NORMAL, F.lit(0.0)).otherwise(share)
 
 
+def host_number(ip: Column) -> Column:
+    """A long per host: the address itself, or a hash well above all addresses for other text."""
+    return F.coalesce(ip_number(ip), F.lit(1 << 33) + F.xxhash64(ip).bitwiseAND((1 << 40) - 1))
+
+
 def _port_changes(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
-    """(src_ip, t, port_change): distinct ports of a source entering and leaving its window."""
-    per_port = window_deltas(new_flows, ["src_ip", "dst_port"], "ts_us", p.window_us)
-    seen = scan(per_port, ["src_ip", "dst_port"], "t", {"n": Running("sum", "change")})
-    return seen.select("src_ip", "t", crossing(F.col("n"), F.col("change")).alias("port_change"))
+    """(src, t, port_change): distinct ports of a source entering and leaving its window."""
+    per_port = window_deltas(new_flows, ["src", "dst_port"], "ts_us", p.window_us)
+    seen = scan(per_port, ["src", "dst_port"], "t", {"n": Running("sum", "change")})
+    return seen.select("src", "t", crossing(F.col("n"), F.col("change")).alias("port_change"))
 
 
 def _target_changes(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
-    """(src_ip, t, port_change, target_change) with scan targets told from incidental contacts.
+    """(src, t, port_change, target_change) with scan targets told from incidental contacts.
 
     A destination is a target while the source touches two or more of its ports, or
     touches one of its ports that is also open on another destination. For a
@@ -97,48 +102,45 @@ def _target_changes(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
     A contact is shared while it is present and not the only one, which turns both
     conditions into running counts per (source, destination).
     """
-    numbered = new_flows.withColumn(
-        "dst", F.coalesce(ip_number(F.col("dst_ip")), F.lit(1 << 32) + F.xxhash64("dst_ip").bitwiseAND((1 << 30) - 1))
-    ).select("src_ip", "dst", "dst_port", "ts_us")
-    contact = ["src_ip", "dst", "dst_port"]
+    contact = ["src", "dst", "dst_port"]
     seen = scan(
-        window_deltas(numbered, contact, "ts_us", p.window_us), contact, "t", {"n": Running("sum", "change")}
+        window_deltas(new_flows, contact, "ts_us", p.window_us), contact, "t", {"n": Running("sum", "change")}
     )
     # Read by two branches below, as are the host counts: written once, not computed twice.
     presence = stage(
         seen.select(*contact, "t", crossing(F.col("n"), F.col("change")).alias("d")).filter("d <> 0"), "presence"
     )
 
-    by_port = presence.groupBy("src_ip", "dst_port", "t").agg(
+    by_port = presence.groupBy("src", "dst_port", "t").agg(
         F.sum("d").alias("d_hosts"), F.sum(F.col("d") * F.col("dst")).alias("d_sum")
     )
     hosts = stage(
         scan(
-            by_port, ["src_ip", "dst_port"], "t",
+            by_port, ["src", "dst_port"], "t",
             {"hosts": Running("sum", "d_hosts"), "host_sum": Running("sum", "d_sum")},
         ),
         "hosts",
     )
-    port_changes = hosts.select("src_ip", "t", crossing(F.col("hosts"), F.col("d_hosts")).alias("port_change"))
+    port_changes = hosts.select("src", "t", crossing(F.col("hosts"), F.col("d_hosts")).alias("port_change"))
     hosts_before, sum_before = F.col("hosts") - F.col("d_hosts"), F.col("host_sum") - F.col("d_sum")
     only = F.array(
         F.struct(F.when(hosts_before == 1, sum_before).alias("dst"), F.lit(1).alias("d_shared")),
         F.struct(F.when(F.col("hosts") == 1, F.col("host_sum")).alias("dst"), F.lit(-1).alias("d_shared")),
     )
-    only_changes = hosts.select("src_ip", "t", F.inline(only)).filter("dst is not null")
+    only_changes = hosts.select("src", "t", F.inline(only)).filter("dst is not null")
 
     by_target = (
         _union(
             [
-                presence.select("src_ip", "dst", "t", F.col("d").alias("d_ports"), F.col("d").alias("d_shared")),
-                only_changes.select("src_ip", "dst", "t", F.lit(0).alias("d_ports"), "d_shared"),
+                presence.select("src", "dst", "t", F.col("d").alias("d_ports"), F.col("d").alias("d_shared")),
+                only_changes.select("src", "dst", "t", F.lit(0).alias("d_ports"), "d_shared"),
             ]
         )
-        .groupBy("src_ip", "dst", "t")
+        .groupBy("src", "dst", "t")
         .agg(F.sum("d_ports").alias("d_ports"), F.sum("d_shared").alias("d_shared"))
     )
     contacts = scan(
-        by_target, ["src_ip", "dst"], "t",
+        by_target, ["src", "dst"], "t",
         {"ports": Running("sum", "d_ports"), "shared": Running("sum", "d_shared")},
     )
 
@@ -147,7 +149,7 @@ def _target_changes(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
 
     after = is_target(F.col("ports"), F.col("shared"))
     before = is_target(F.col("ports") - F.col("d_ports"), F.col("shared") - F.col("d_shared"))
-    target_changes = contacts.select("src_ip", "t", (after - before).alias("target_change"))
+    target_changes = contacts.select("src", "t", (after - before).alias("target_change"))
     return _union([port_changes, target_changes])
 
 
@@ -156,8 +158,8 @@ def _span_marks(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
 
     The first event in the window changes to its successor just after it expires.
     """
-    times = new_flows.select("src_ip", F.col("ts_us").alias("t")).distinct()
-    chained = scan(times, ["src_ip"], "t", {"next_t": Running("last", "t", inclusive=False)}, reverse=True)
+    times = new_flows.select("src", F.col("ts_us").alias("t")).distinct()
+    chained = scan(times, ["src"], "t", {"next_t": Running("last", "t", inclusive=False)}, reverse=True)
     steps = F.array(
         F.struct(F.col("t").alias("t"), F.lit(None).cast("bigint").alias("first_mark"), F.col("t").alias("last_mark")),
         F.struct(
@@ -166,8 +168,8 @@ def _span_marks(new_flows: DataFrame, p: PortScanParams) -> DataFrame:
             F.lit(None).cast("bigint").alias("last_mark"),
         ),
     )
-    first = times.groupBy("src_ip").agg(F.min("t").alias("t")).withColumn("first_mark", F.col("t"))
-    return _union([chained.select("src_ip", F.inline(steps)), first])
+    first = times.groupBy("src").agg(F.min("t").alias("t")).withColumn("first_mark", F.col("t"))
+    return _union([chained.select("src", F.inline(steps)), first])
 
 
 def port_scan_windows(
@@ -177,9 +179,16 @@ def port_scan_windows(
     detail: bool = True,
 ) -> DataFrame:
     """Distinct ports, verdict and confidence per check row; ``detail`` adds targets, span and rate."""
-    checks = new_flows if checks is None else checks
-    parts = [_target_changes(new_flows, p), _span_marks(new_flows, p)] if detail else [_port_changes(new_flows, p)]
-    points = checks.select("src_ip", F.col("ts_us").alias("t"), F.lit(1).alias("checked"))
+    checks = (new_flows if checks is None else checks).withColumn("src", host_number(F.col("src_ip")))
+    hosts = [host_number(F.col(f"{end}_ip")).alias(end) for end in ("src", "dst")]
+    events = new_flows.select(*hosts, "dst_port", "ts_us")
+    if detail:
+        # Narrow, and read by three branches: written once.
+        events = stage(events, "contacts")
+        parts = [_target_changes(events, p), _span_marks(events, p)]
+    else:
+        parts = [_port_changes(events, p)]
+    points = checks.select("src", F.col("ts_us").alias("t"), F.lit(1).alias("checked"))
     zero = F.lit(0)
     changes = _union([*parts, points])
     for name in ("port_change", "target_change", "checked"):
@@ -197,10 +206,10 @@ def port_scan_windows(
             "scan_start_us": Running("last", "first_mark"),
             "scan_end_us": Running("last", "last_mark"),
         }
-    swept = changes.groupBy("src_ip", "t").agg(*sums)
-    counted = scan(swept, ["src_ip"], "t", running).filter("checked = 1")
-    counted = counted.select("src_ip", F.col("t").alias("ts_us"), *running)
-    result = checks.join(counted, ["src_ip", "ts_us"])
+    swept = changes.groupBy("src", "t").agg(*sums)
+    counted = scan(swept, ["src"], "t", running).filter("checked = 1")
+    counted = counted.select("src", F.col("t").alias("ts_us"), *running)
+    result = checks.join(counted, ["src", "ts_us"]).drop("src")
     if detail:
         inside = F.col("distinct_ports") > 0
         seconds = F.when(inside, (F.col("scan_end_us") - F.col("scan_start_us")) / F.lit(1e6)).otherwise(F.lit(0.0))

@@ -48,6 +48,8 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             continue
         feature = int(rng.choice(varying))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # neighbouring floats: the draw can round up
+            threshold = float(low[feature])
         goes_left = here[:, feature] <= threshold
         rows.append((node, feature, threshold, next_id, next_id + 1, 0.0))
         todo += [(next_id, here[goes_left], depth + 1), (next_id + 1, here[~goes_left], depth + 1)]

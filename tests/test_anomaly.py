@@ -44,6 +44,13 @@ def test_forest_scores_equal_node_walk():
     assert max(len(t) for t in trees) <= 2 * 40 - 1
 
 
+def test_neighbouring_values_split_into_two_sides():
+    points = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
+    for seed in range(50):
+        rows = A.grow_tree(points, np.random.default_rng(seed))
+        assert len(rows) == 3 and all(r[2] < points[1, 0] for r in rows if r[1] >= 0)
+
+
 def test_average_path():
     assert [A.average_path(n) for n in (0, 1, 2)] == [0, 0, 1]
     assert math.isclose(A.average_path(256), 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256, rel_tol=1e-9)

@@ -9,7 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A place where a text can be cut so that no pre-token of PATTERN spans the cut: a space that something visible follows.
+from netspark.session import shared_dir
+
+#: Places where a text can be cut so that no pre-token of PATTERN spans the cut: a space that something visible
+#: follows. Every part but the first stands after a space.
 CUT = re.compile(r" (?=\S)")
 
 
@@ -17,9 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at CUT. Every part but the first stands after a space."""
-    return CUT.split(text)
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder: later steps read it instead of doing the work again, also after losses."""
+    shared_dir(df.sparkSession)  # sets a folder where the session names none
+    return df.checkpoint()
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,13 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import CUT, slices
+from netspark.llm.common import CUT, Memory, slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Entries that a worker keeps of pieces already encoded; the memory is emptied when it is full.
-MEMORY = 400_000
-#: Longer pieces are encoded without being kept.
-KEPT_BYTES = 64
+#: Pieces whose ids a worker keeps (twice that at most, and twice as many parts between spaces), and their most characters.
+MEMORY, KEPT = 100_000, 64
 #: Bytes of text that a task holds at once.
 SLICE = 8 << 20
 
@@ -70,7 +68,7 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Do these two tokens, side by side, stay as they are?"""
-        if len(self.known) >= 4 * MEMORY:
+        if len(self.known) >= 10 * MEMORY:
             self.known.clear()
         stays = self.known[left, right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return stays
@@ -137,24 +135,17 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = Vocabulary(path), regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.parts = _Memory(lambda part: self.split(" " + part))
-
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            raw = text.encode()
-            whole = self.vocabulary.ranks.get(raw)
-            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, raw).ids()
-            found = np.array(ids, "<u4").tobytes()
-            if len(raw) <= KEPT_BYTES:
-                if len(self.pieces) >= MEMORY:
-                    self.pieces.clear()
-                self.pieces[text] = found
-        return found
+        self.pieces = Memory(self._piece, MEMORY, KEPT)
+        self.parts = Memory(lambda part: self.split(" " + part), 2 * MEMORY, KEPT)
+
+    def _piece(self, text: str) -> bytes:
+        raw = text.encode()
+        whole = self.vocabulary.ranks.get(raw)
+        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, raw).ids()
+        return np.array(ids, "<u4").tobytes()
 
     def split(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -162,20 +153,6 @@ class Encoder:
         return self.split(first) + b"".join(map(self.parts.__getitem__, rest))
 
 
-class _Memory(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= KEPT_BYTES:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[key] = value
-        return value
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per worker and vocabulary; a worker that dies loses only its memories."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Memory(dict):
+    """What `make` gave for a key, for some recent keys: when `limit` new ones are in, only the last `limit` before them stay."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and the offsets of each; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

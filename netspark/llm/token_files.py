@@ -35,45 +35,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netspark.llm.common import CUT, slices
+from netspark.llm.common import CUT, Memory, slices
 from netspark.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 FRAME_BYTES, FILE_BYTES = 64 << 10, 32 << 20
-SLICE = 8 << 20
-#: Parts between spaces whose ids a worker keeps; the memory is emptied when it is full.
-MEMORY, KEPT = 500_000, 64
+SLICE = 2 << 20
+#: Parts between spaces whose ids a worker keeps (twice that at most), and their most characters.
+MEMORY, KEPT = 300_000, 64
 SKIP, SEEK, FOOT = 0x184D2A50, 0x184D2A5E, b"NSF1"
 END = "P*M\x18\x00\x00\x00\x00"
 _TAIL = struct.Struct("<III4s")
 _FRAME = np.dtype([("packed", "<u4"), ("size", "<u8"), ("crc", "<u4")])
 
 
-class Encoder(dict):
+class Encoder:
     """The tokenizer, with a memory of the ids of parts that stand after a space."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        sizes = {i: len(token) for token, i in self.tokenizer.get_vocab().items()}  # a character of a token is a byte
+        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
+        self.parts = Memory(lambda part: self.whole(" " + part), MEMORY, KEPT)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.whole(" " + part)
-        if len(part) <= KEPT:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(token in text for token in self.special):  # these may hold spaces or stand inside a word
-            return self.whole(text)
-        first, *rest = CUT.split(text)
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+    def learn(self, parts: list[str]) -> None:
+        """Encode many parts as one text, which is cheaper, and cut the ids where the parts end."""
+        for start in range(0, len(parts), 5000):
+            some = [" " + part for part in parts[start : start + 5000]]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in some])) + 1
+            raw, begin = ids.tobytes(), 0
+            for part, end in zip(some, ends.tolist(), strict=True):
+                self.parts.keep(part[1:], raw[4 * begin : 4 * end])
+                begin = end
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        cut = [[] if not text or any(token in text for token in self.special) else CUT.split(text) for text in texts]
+        new = set().union(*cut).difference(self.parts, self.parts.older)
+        self.learn([part for part in new if part and len(part) <= KEPT])
+        for text, parts in zip(texts, cut, strict=True):
+            if not parts:  # special tokens may hold spaces or stand inside a word
+                yield self.whole(text) if text else b""
+            else:
+                first, *rest = parts
+                yield (self.whole(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
@@ -208,8 +220,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, frame_bytes: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out, end = encoder(tokenizer), FileWriter(frame_bytes, file_bytes), struct.pack("<I", END_ID)
         for part in slices(batches, SLICE):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if done := out.add(doc_id, (own.encode(text) if text else b"") + end):
+            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
+                if done := out.add(doc_id, ids + end):
                     yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], names=["file"])
         if done := out.finish():
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], names=["file"])

@@ -21,6 +21,7 @@ a null doc_id comes first. An empty table has no documents in its files. Further
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -44,6 +45,9 @@ FRAME_BYTES, FILE_BYTES = 64 << 10, 32 << 20
 SLICE = 2 << 20
 #: Parts between spaces whose ids a worker keeps (twice that at most), and their most characters.
 MEMORY, KEPT = 300_000, 64
+#: Marks that never join with a letter before them into one pre-token.
+TAIL = ".,!?;:%$#*&|\")]"
+ODD_SPACE = re.compile(r" (?:\s|$)|^ ")
 SKIP, SEEK, FOOT = 0x184D2A50, 0x184D2A5E, b"NSF1"
 END = "P*M\x18\x00\x00\x00\x00"
 _TAIL = struct.Struct("<III4s")
@@ -58,6 +62,7 @@ class Encoder:
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         sizes = {i: len(token) for token, i in self.tokenizer.get_vocab().items()}  # a character of a token is a byte
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
+        self.tails = Memory(lambda tail: self.whole(tail) if tail else b"", 10_000, KEPT)
         self.parts = Memory(lambda part: self.whole(" " + part), MEMORY, KEPT)
 
     def whole(self, text: str) -> bytes:
@@ -75,17 +80,34 @@ class Encoder:
                 self.parts.keep(part[1:], raw[4 * begin : 4 * end])
                 begin = end
 
+    def _resolve(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not at hand. Punctuation after a letter is a pre-token of its own, so only the words before it are kept."""
+        split, new = [], set()
+        for part in parts:
+            core = part.rstrip(TAIL)
+            if len(core) == len(part) or not core or not core[-1].isalpha():
+                core = part
+            split.append((part, core))
+            if core not in self.parts:
+                if core in self.parts.older:
+                    self.parts.keep(core, self.parts.older[core])
+                elif len(core) <= KEPT:
+                    new.add(core)
+        self.learn(list(new))
+        return {part: self.parts[core] + self.tails[part[len(core) :]] for part, core in split}
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [[] if not text or any(token in text for token in self.special) else CUT.split(text) for text in texts]
-        new = set().union(*cut).difference(self.parts, self.parts.older)
-        self.learn([part for part in new if part and len(part) <= KEPT])
-        for text, parts in zip(texts, cut, strict=True):
-            if not parts:  # special tokens may hold spaces or stand inside a word
-                yield self.whole(text) if text else b""
+        at_hand, cut = self.parts.get, []
+        for text in texts:
+            if not text or any(token in text for token in self.special):  # special tokens may hold spaces or stand inside a word
+                cut.append(([], [self.whole(text) if text else b""]))
             else:
-                first, *rest = parts
-                yield (self.whole(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
+                first, *parts = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
+                cut.append((parts, [self.whole(first) if first else b"", *map(at_hand, parts)]))
+        found = self._resolve({p for parts, ids in cut for p, i in zip(parts, ids[1:], strict=True) if i is None})
+        for parts, ids in cut:
+            yield b"".join([ids[0], *(found[p] if i is None else i for p, i in zip(parts, ids[1:], strict=True))])
 
 
 @lru_cache(maxsize=2)

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from netspark.llm import token_files
 
 LIBRARY = Tokenizer.from_file(token_files.TOKENIZER)
-TEXTS = ["", None, "one two", "a  b\n \nc ", "<|endoftext|> x<|endoftext|>", "word " * 3000, "x" * 9000, "ñ é ß", "one two", " lead", "\x1c a  b"]
+TEXTS = ["", None, "one two", "a  b\n \nc ", "<|endoftext|> x<|endoftext|>", "word " * 3000, "x" * 9000, "ñ é ß", "one two", " lead", "\x1c a  b", "x ", " ", "a \x1cb \u2003c", "word, word. (word) 3,4. ab's, x² y², xª. n't!! ñ$$$ A%%% .. a' b", "end. \n\n x"]
 
 
 def ids_of(text):

@@ -276,6 +276,28 @@ def _searched(part: pa.RecordBatch, block: Block | None, with_matches: bool) ->
     return pa.RecordBatch.from_arrays(columns, names=["row_id", "text", "n_words", "hit_start", "hit_end", "items", "matches"])
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without any hit, with all their columns."""
+    context, column = docs.sparkSession.sparkContext, docs.columns.index("text")
+
+    def without(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, SLICE):
+                hashes, first = words_of(part.column(column))
+                place, _ = occurrences(hashes, first, sent.value) if len(hashes) else (np.zeros(0, np.int64), None)
+                keep = np.ones(part.num_rows, bool)
+                keep[np.searchsorted(first, place, "right") - 1] = False
+                yield part.filter(pa.array(keep))
+
+        return run
+
+    for number, block in enumerate(blocks(benchmark, window, block_words), 1):
+        docs = docs.mapInArrow(without(context.broadcast(block)), docs.schema)
+        if number % 4 == 0:
+            docs = cut(docs)
+    return docs
+
+
 def n_hit():
     """Hit words of a row of `scan`."""
     total = lambda name: F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)

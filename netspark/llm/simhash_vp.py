@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netspark.llm.common import cut, slices
 from netspark.llm.components import components
@@ -217,13 +218,48 @@ def links(distinct: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFram
     return dealt.groupBy("tree", "shard").applyInArrow(within, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    marked = cut(fingerprints(docs))
+def _named(marked: DataFrame, bits: int, shard: int) -> DataFrame:
+    """bits, label and component_id of every distinct fingerprint of `marked` (doc_id, bits)."""
     distinct = cut(marked.groupBy("bits").agg(F.min("doc_id").alias("doc_id")))
     labels = components(links(distinct, bits, shard))
     whole = distinct.join(labels, distinct["bits"] == labels["node"], "left")
     whole = whole.select("bits", "doc_id", F.coalesce("label", "bits").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = whole.join(smallest, "label").select("bits", "component_id")
+    return whole.join(smallest, "label").select("bits", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    marked = cut(fingerprints(docs))
+    named = _named(marked, bits, shard)
     return marked.join(named, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _row_key(doc_id, bits):
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), bits)
+
+
+def keep_one(docs: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Of rows that share that id and their fingerprint one stays, and of a component without ids one row of its smallest
+    fingerprint.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    text = docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE):
+            found = np.array([fingerprint(x) for x in part.column(text).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, name])
+
+    marked = cut(fingerprints(docs))
+    named = _named(marked, bits, shard)
+    first = marked.join(named, "bits").filter("doc_id = component_id or component_id is null and bits = label")
+    kept = first.select(_row_key(F.col("doc_id"), F.col("bits")).alias("kept")).distinct()
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    keyed = docs.mapInArrow(mark, schema).withColumn(name, _row_key(F.col("doc_id"), F.col(f"`{name}`")))
+    # Repeated rows are cut down in each task before they are shuffled.
+    return keyed.dropDuplicates([name]).join(kept, F.col(f"`{name}`") == kept["kept"], "left_semi").drop(name)

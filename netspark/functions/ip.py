@@ -1,4 +1,4 @@
-"""IPv4 predicates and conversions as column expressions."""
+"""Address predicates and conversions as column expressions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: Eight groups; or one ``::`` with at most seven groups around it.
+IPV6_PATTERN = (
+    rf"^(?:(?:{_GROUP}:){{7}}{_GROUP}"
+    rf"|(?!.*::.*::)(?!.*:::)(?=(?:[^:]*:){{2,7}}[^:]*$|::(?:[^:]+:){{6}}[^:]+$|(?:[^:]+:){{7}}:$)(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)$"
+)
+#: An IPv4 end, which stands for two groups.
+IPV4_TAIL = rf"(?<=:){_OCTET}(\.{_OCTET}){{3}}$"
+#: Unspecified, loopback, link-local, unique local and documentation addresses.
+PRIVATE_IPV6 = r"(?i)^(::1?$|fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:|2001:db8:)"
 
 # ---- fixed values: IPv4 blocks with a special meaning (first address, last address)
 PRIVATE_BLOCKS = [
@@ -39,6 +49,15 @@ def is_ipv4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(IPV4_PATTERN), F.lit(False))
 
 
+def is_ipv6(ip: Column) -> Column:
+    """IPv6 text: eight groups, or fewer with one ``::``; the last two may be written as IPv4."""
+    return F.coalesce(F.regexp_replace(ip, IPV4_TAIL, "0:0").rlike(IPV6_PATTERN), F.lit(False))
+
+
+def is_address(ip: Column) -> Column:
+    return is_ipv4(ip) | is_ipv6(ip)
+
+
 def ip_number(ip: Column) -> Column:
     """IPv4 text as a long, null when it is not a valid address."""
     parts = F.split(ip, r"\.")
@@ -62,11 +81,11 @@ def is_multicast_or_broadcast(ip: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    return _within(ip_number(ip), PRIVATE_BLOCKS)
+    return _within(ip_number(ip), PRIVATE_BLOCKS) | F.coalesce(ip.rlike(PRIVATE_IPV6), F.lit(False))
 
 
 def is_loopback(ip: Column) -> Column:
-    return _within(ip_number(ip), [LOOPBACK_BLOCK])
+    return _within(ip_number(ip), [LOOPBACK_BLOCK]) | F.coalesce(ip == "::1", F.lit(False))
 
 
 def is_local_or_reserved(ip: Column) -> Column:

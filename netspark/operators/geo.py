@@ -25,19 +25,21 @@ def geo_lookup(addresses: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
 
     Range and address meet on their /16 block (an equi join, at most 65 536 distinct
     addresses a block), then the range test; a range is copied once per block it spans.
+    Local and malformed addresses have no block and take no part in the join.
     """
     distinct = addresses.select(F.col(ip)).filter(F.col(ip).isNotNull()).distinct()
-    local = is_local_or_reserved(F.col(ip))
-    known = distinct.withColumn("is_private", local).withColumn("_n", F.when(~local, ip_number(F.col(ip))))
-    known = known.withColumn("_block", F.shiftright("_n", 16))
+    known = distinct.withColumn("is_private", is_local_or_reserved(F.col(ip))).withColumn("_n", ip_number(F.col(ip)))
+    wanted = ~F.col("is_private") & F.col("_n").isNotNull()
+    sought = known.filter(wanted).withColumn("_block", F.shiftright("_n", 16))
     blocks = ranges.withColumn(
         "_block", F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16)))
     )
-    hit = known.join(
+    hit = sought.join(
         blocks,
-        (known["_block"] == blocks["_block"]) & known["_n"].between(F.col("start_ip"), F.col("end_ip")),
+        (sought["_block"] == blocks["_block"]) & sought["_n"].between(F.col("start_ip"), F.col("end_ip")),
         "left",
-    )
+    ).drop("_block", "_n")
+    hit = hit.unionByName(known.filter(~wanted).drop("_n"), allowMissingColumns=True)
     resolved = F.col("start_ip").isNotNull()
     return hit.select(
         ip, "is_private", resolved.alias("resolved"), "country", "country_code", "city", "latitude", "longitude",

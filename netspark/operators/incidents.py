@@ -170,10 +170,12 @@ def incidents(bridge: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def latest_only(incident_table: DataFrame) -> DataFrame:
-    """The newest incident of each key."""
-    newest = incident_table.groupBy("key").agg(F.max("incident_no").alias("incident_no"))
-    return incident_table.join(newest, ["key", "incident_no"])
+def latest_only(incident_table: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The newest incident of each key; ``keys`` tell apart what shares one, as the sensor does in merged tables."""
+    if keys is None:
+        keys = [c for c in ("sensor_id",) if c in incident_table.columns]
+    newest = incident_table.groupBy(*keys, "key").agg(F.max("incident_no").alias("incident_no"))
+    return incident_table.join(newest, [*keys, "key", "incident_no"])
 
 
 def open_incidents(incident_table: DataFrame) -> DataFrame:
@@ -209,10 +211,10 @@ def running_risk(bridge: DataFrame) -> DataFrame:
 
 
 # ---- timelines ------------------------------------------------------------------
-def timeline(bridge: DataFrame) -> DataFrame:
+def timeline(bridge: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Evidence per incident, in arrival order (not time order)."""
     return attached_evidence(bridge).select(
-        "incident_id", "key", "arrival_seq", "ts_us", "detector", "verdict", "reasoning",
+        *(also or []), "incident_id", "key", "arrival_seq", "ts_us", "detector", "verdict", "reasoning",
         "src_ip", "dst_ip", "dst_port", "evidence_id",
     )
 

@@ -42,17 +42,28 @@ def retrain_due(
     )
 
 
-def auto_promotions(versions: DataFrame) -> DataFrame:
-    """Versions promoted on registration: the first, and each that beats the one active by then."""
-    before = Window.partitionBy(F.lit(0)).orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
+def auto_promotions(versions: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """The promotion log: registrations that promote themselves, and manual promotions, in order.
+
+    A version is promoted on registration when none is active or when it beats the active one.
+    ``manual`` has (version, after_version): ``version`` was promoted by hand right after ``after_version``
+    was registered. From then on it is the one to beat, so each manual promotion starts a new stretch
+    and within a stretch the active score is the best so far.
+    """
+    known = versions.select("version", "f1_macro")
+    rows = known.select(F.col("version").alias("at"), F.lit(0).alias("by_hand"), "version", "f1_macro")
+    if manual is not None:
+        rows = rows.unionByName(
+            manual.join(known, "version").select(F.col("after_version").alias("at"), F.lit(1).alias("by_hand"), "version", "f1_macro")
+        )
+    in_order = Window.partitionBy(F.lit(0)).orderBy("at", "by_hand", "version")
+    rows = rows.withColumn("promoted_seq", F.row_number().over(in_order).cast("bigint"))
+    by_seq = Window.partitionBy(F.lit(0)).orderBy("promoted_seq")
+    rows = rows.withColumn("_stretch", F.sum("by_hand").over(by_seq))
+    before = Window.partitionBy("_stretch").orderBy("promoted_seq").rowsBetween(Window.unboundedPreceding, -1)
     best = F.max("f1_macro").over(before)
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("version")).cast("bigint")
-    return (
-        versions.withColumn("_best", best)
-        .withColumn("promoted_seq", order)
-        .filter(F.col("_best").isNull() | (F.col("f1_macro") > F.col("_best")))
-        .select("version", "promoted_seq")
-    )
+    promoted = (F.col("by_hand") == 1) | F.col("_best").isNull() | (F.col("f1_macro") > F.col("_best"))
+    return rows.withColumn("_best", best).filter(promoted).select("version", "promoted_seq")
 
 
 def register(versions: DataFrame, candidate: DataFrame) -> DataFrame:

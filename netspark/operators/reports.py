@@ -138,7 +138,8 @@ def incident_list(incident_table: DataFrame, include_resolved: bool = False) ->
 def incident_detail(bridge: DataFrame, incident_table: DataFrame, key: str) -> DataFrame:
     """The newest incident of one key with its evidence, one row per evidence row; no incident, no rows."""
     wanted = latest_only(incident_table.filter(F.col("key") == key)).drop("key", "incident_no")
-    return timeline(bridge.filter(F.col("key") == key)).join(wanted, "incident_id")
+    by = [c for c in ("sensor_id",) if c in bridge.columns and c in incident_table.columns]
+    return timeline(bridge.filter(F.col("key") == key), by).join(wanted, [*by, "incident_id"])
 
 
 def by_risk(incident_table: DataFrame, limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netspark.functions.ip import is_ipv4, is_loopback, is_private
+from netspark.functions.ip import is_address, is_loopback, is_private
 from netspark.functions.text import float_text, when_chain
 from netspark.operators.scan import SEQUENCE_CHUNKS, Running, scan
 from netspark.params import AlertParams, BlockParams
@@ -15,20 +15,20 @@ from netspark.schemas import ATTACK
 from netspark.session import stage
 
 MULTIPLE_SOURCES = "multiple-sources"
-NOT_ONE_SOURCE = "DDoS is multi-source — no single IP to block"
+NOT_ONE_SOURCE = "a distributed flood has no one source to block"
 
 
 def block_skip_reason(ip: Column, p: BlockParams = BlockParams()) -> Column:
     """Why an address is not blocked, first reason first; null when it may be."""
     return when_chain(
         [
-            (is_loopback(ip), "loopback address, never blocked"),
-            (ip.isin(*p.own_addresses), "IP belongs to this host itself, never blocked"),
-            (ip.isin(*(p.whitelist or ("",))), "IP is in response.whitelist_ips"),
-            (~is_ipv4(ip), F.concat(F.lit("'"), ip, F.lit("' is not a valid IP address"))),
+            (is_loopback(ip), "loopback is not blocked"),
+            (ip.isin(*p.own_addresses), "one of our own addresses"),
+            (ip.isin(*(p.whitelist or ("",))), "on the list of allowed addresses"),
+            (~is_address(ip), F.concat(F.lit("not an address: "), ip)),
             (
                 is_private(ip) & F.lit(not p.block_private_ranges),
-                "private/LAN address and response.block_private_ranges is false",
+                "private addresses are left alone",
             ),
         ]
     )
@@ -156,18 +156,13 @@ def blocked_as_of(actions: DataFrame, at_us: int) -> DataFrame:
 
 
 # ---- alert rate limit -----------------------------------------------------------
-# Bursts with at most this many distinct times are folded as one array.
-FOLD_LIMIT = 100_000
-
-
-def rate_limited_alerts(events: DataFrame, p: AlertParams = AlertParams(), fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def rate_limited_alerts(events: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
     """Add ``sent``: an event is sent iff its source sent none in the last ``rate_limit_seconds``.
 
     Greedy per source, yet cut into independent bursts: an event at least the limit
     after the one before it is always sent. A burst shorter than the limit sends only
-    its first event. Other bursts are folded in order when small; a burst of more
-    than ``fold_limit`` times is solved by pointer doubling, so no group is ever
-    held in one task.
+    its first event. Other bursts are solved by pointer doubling, so no group is ever
+    held in one task or row.
     """
     limit = p.rate_limit_us
     times = events.groupBy("src_ip", "ts_us").agg(F.min("seq").alias("seq"))
@@ -178,30 +173,14 @@ def rate_limited_alerts(events: DataFrame, p: AlertParams = AlertParams(), fold_
         scan(marked, ["src_ip"], "ts_us", {"burst": Running("last", "burst_start")}).select("src_ip", "ts_us", "burst"),
         "bursts",
     )
-    sizes = bursts.groupBy("src_ip", "burst").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("end_us"))
-    heads = sizes.select("src_ip", F.col("burst").alias("ts_us"))
-    long = sizes.filter(F.col("end_us") - F.col("burst") >= limit)
-    folded = _fold_bursts(bursts.join(long.filter(F.col("n") <= fold_limit), ["src_ip", "burst"]), limit)
-    sent = heads.unionByName(folded)
-    huge = long.filter(F.col("n") > fold_limit)
-    if not huge.isEmpty():
-        sent = sent.unionByName(_double_pointers(bursts.join(huge, ["src_ip", "burst"]), limit))
+    ends = bursts.groupBy("src_ip", "burst").agg(F.max("ts_us").alias("end_us"))
+    heads = ends.select("src_ip", F.col("burst").alias("ts_us"))
+    long = ends.filter(F.col("end_us") - F.col("burst") >= limit)
+    sent = heads.unionByName(_double_pointers(bursts.join(long, ["src_ip", "burst"]), limit))
     sent = sent.distinct().join(times, ["src_ip", "ts_us"]).select("seq", F.lit(True).alias("sent"))
     return events.join(sent, "seq", "left").withColumn("sent", F.coalesce("sent", F.lit(False)))
 
 
-def _fold_bursts(rows: DataFrame, limit: int) -> DataFrame:
-    ordered = rows.groupBy("src_ip", "burst").agg(F.array_sort(F.collect_list("ts_us")).alias("times"))
-
-    def step(sent: Column, t: Column) -> Column:
-        return F.when(
-            (F.size(sent) == 0) | (t - F.try_element_at(sent, F.lit(-1)) >= limit), F.concat(sent, F.array(t))
-        ).otherwise(sent)
-
-    chosen = F.aggregate("times", F.array().cast("array<bigint>"), step)
-    return ordered.select("src_ip", F.explode(chosen).alias("ts_us"))
-
-
 def _double_pointers(rows: DataFrame, limit: int) -> DataFrame:
     """Times on each burst's chain head -> first time at least ``limit`` later -> ...
 

@@ -120,7 +120,7 @@ class TrainedModel:
     samples: int
 
 
-def train_best(labelled: DataFrame, p: TrainingParams = TrainingParams(), depth: int = 5) -> TrainedModel:
+def train_best(labelled: DataFrame, p: TrainingParams = TrainingParams()) -> TrainedModel:
     """Train a balanced random forest and one-vs-rest gradient boosting; keep the higher macro F1, ties to the forest."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -138,11 +138,11 @@ def train_best(labelled: DataFrame, p: TrainingParams = TrainingParams(), depth:
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
     ]
     forest = RandomForestClassifier(
-        numTrees=p.trees, maxDepth=depth, seed=p.seed, weightCol="weight", labelCol="label_index", featuresCol="features"
+        numTrees=p.trees, maxDepth=p.forest_depth, seed=p.seed, weightCol="weight", labelCol="label_index", featuresCol="features"
     )
     boosting = OneVsRest(
-        classifier=GBTClassifier(maxIter=p.boosting_rounds, maxDepth=depth, seed=p.seed),
-        labelCol="label_index", featuresCol="features",
+        classifier=GBTClassifier(maxIter=p.boosting_rounds, maxDepth=p.boosting_depth, seed=p.seed),
+        labelCol="label_index", featuresCol="features", parallelism=p.parallel_classes,
     )
     weighted = stage(with_class_weight(train), "training-weights")
     results = []

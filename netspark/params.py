@@ -105,7 +105,10 @@ class TrainingParams:
     test_share: float = 0.2
     seed: int = 42
     trees: int = 200
+    forest_depth: int = 30  # Spark's largest; a tree stops earlier when its leaves are pure
     boosting_rounds: int = 200
+    boosting_depth: int = 6
+    parallel_classes: int = 8
     sources: tuple[str, ...] = ("llm",)
     retrain_threshold: int = 100
 

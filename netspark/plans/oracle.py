@@ -427,7 +427,7 @@ union all select finish_seq * 8 + 4, ts_us, src_ip, 'brute_force',
   attempts || ' connection attempts to ' || dst_ip || ':' || dst_port || ' in {T.SECONDS['brute_force']:.0f}s.', repeat_offender_count from brute_force_changes""",
     "decisions": f"""
 select *, ts_us + cast(duration_minutes * 60000000 as bigint) expires_us, skip_reason is null applied, false dry_run from (
-  select *, case when src_ip = 'multiple-sources' then 'DDoS is multi-source — no single IP to block' end skip_reason,
+  select *, case when src_ip = 'multiple-sources' then 'a distributed flood has no one source to block' end skip_reason,
     case when src_ip = 'multiple-sources' then null when repeat_offender_count <= 1 then 2880.0::double
       else 2880.0::double * least(3.0 * (repeat_offender_count - 1), 10.0) end duration_minutes from attack_events)""",
     "block_actions": """

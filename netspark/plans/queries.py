@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ from netspark.plans.tables import (
 )
 from netspark.schemas import FEATURE_COLUMNS
 from netspark.session import shared_dir, stage
-from netspark.sources import tables as store
+from netspark.sources import captures, tables as store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -95,6 +96,14 @@ query("s1_packet_source", f"select {', '.join(PACKET_COLUMNS)} from packets")(
 )
 
 
+@query("s2_capture_ingest", "select ts_us, protocol, src_ip, dst_ip, src_port, dst_port, size, header_size, size - header_size payload_size, tcp_flags from packets")
+def s2(t: Tables) -> DataFrame:
+    """Packets written as capture files and decoded again; captures say how many bytes follow the IP header."""
+    folder = f"{shared_dir(t.spark)}/captures-{uuid.uuid4().hex}"
+    captures.write_captures(t.packets(), folder)
+    return captures.decode_captures(t.spark, folder, "part-*").drop("arrival_seq")
+
+
 @query(
     "s3_evidence_append",
     "select evidence_id, detector, verdict, src_ip, strftime(make_timestamp(ts_us), '%Y-%m-%d') event_day from evidence",
@@ -239,11 +248,11 @@ query("p9_review_candidates", "select flow_id, verdict, round(score, 6) score fr
 _ELIGIBLE = BlockParams(own_addresses=("8.8.0.0", "8.8.12.12"), whitelist=("10.1.1.1", "8.8.24.24"))
 query(
     "p10_block_eligibility",
-    f"""select flow_id, ip, case when {o.within('n', [ipf.LOOPBACK_BLOCK])} then 'loopback address, never blocked'
-  when ip in ('8.8.0.0', '8.8.12.12') then 'IP belongs to this host itself, never blocked'
-  when ip in ('10.1.1.1', '8.8.24.24') then 'IP is in response.whitelist_ips'
-  when n is null then '''' || ip || ''' is not a valid IP address'
-  when {o.within('n', ipf.PRIVATE_BLOCKS)} then 'private/LAN address and response.block_private_ranges is false' end skip_reason
+    f"""select flow_id, ip, case when {o.within('n', [ipf.LOOPBACK_BLOCK])} then 'loopback is not blocked'
+  when ip in ('8.8.0.0', '8.8.12.12') then 'one of our own addresses'
+  when ip in ('10.1.1.1', '8.8.24.24') then 'on the list of allowed addresses'
+  when n is null then 'not an address: ' || ip
+  when {o.within('n', ipf.PRIVATE_BLOCKS)} then 'private addresses are left alone' end skip_reason
 from (select *, {o.ip_number('ip')} n from addresses)""",
 )(
     lambda t: adapters.addresses(t.spark, t.sf_dir).select(
@@ -709,6 +718,18 @@ query(
         "sensor_id", "incident_id", "key", "incident_no", "evidence_count"
     )
 )
+query(
+    "q9_sensor_list",
+    """select sensor_id, key, max(incident_no) incident_no from sensed_bridge group by all""",
+)(
+    # One incident table per sensor, merged, as the tables of separate engines are.
+    lambda t: rep.incident_list(
+        inc.merge_sensors(
+            {s: inc.incidents(inc.correlate(sensed(t).filter(F.col("sensor_id") == s).drop("sensor_id"))) for s in ("sensor-0", "sensor-1", "sensor-2")}
+        ),
+        include_resolved=True,
+    ).select("sensor_id", "key", "incident_no")
+)
 query(
     "q9_central_incidents",
     "select key, incident_no, count(*) evidence_count, count(distinct sensor_id) sensors from (" + o.correlate_sql("sensed", None) + ") group by all",
@@ -789,9 +810,7 @@ def a3(t: Tables) -> DataFrame:
 
 @query("a4_best_model")
 def a4(t: Tables) -> DataFrame:
-    from netspark.params import TrainingParams
-
-    best = tr.train_best(t.labelled(), TrainingParams(trees=20, boosting_rounds=3), depth=4)
+    best = t.best_model()
     predicted = tr.classify(tr.sample_features(tr.training_set(t.labelled())), best.model, best.labels)
     return tr.class_report(tr.confusion(predicted)).withColumn("model_name", F.lit(best.name))
 
@@ -821,9 +840,7 @@ from (select l as label, count(*) filter (where label = l) support, count(*) fil
 
 @query("a6_predictions")
 def a6(t: Tables) -> DataFrame:
-    from netspark.params import TrainingParams
-
-    best = tr.train_best(t.labelled(), TrainingParams(trees=20, boosting_rounds=3), depth=4)
+    best = t.best_model()
     return tr.classify_flagged(t.scored_features(), best.model, best.labels).select(
         "flow_id", "predicted_label", F.round(F.element_at("probabilities", F.col("predicted_label")), 6).alias("share")
     )
@@ -848,6 +865,24 @@ query(
     """select version, promoted_seq from promotions union all
 select (select min(version) from versions), (select max(promoted_seq) from promotions) + 1""",
 )(lambda t: reg.promote(t.versions(), reg.auto_promotions(t.versions()), "20240101_000000"))
+_ROLLED_BACK = ("20240110_000000", "20240103_000000")  # after the tenth day's model, that of the third was put back
+query(
+    "a10_after_rollback",
+    f"""select version, n promoted_seq from (with recursive steps as (
+  select row_number() over (order by place, by_hand, version) n, version, f1_macro, by_hand from (
+    select version as place, 0 by_hand, version, f1_macro from versions
+    union all select '{_ROLLED_BACK[0]}', 1, version, f1_macro from versions where version = '{_ROLLED_BACK[1]}')),
+fold(n, version, active, promoted) as (
+  select n, version, f1_macro, true from steps where n = 1
+  union all
+  select s.n, s.version, case when s.by_hand = 1 or s.f1_macro > f.active then s.f1_macro else f.active end, s.by_hand = 1 or s.f1_macro > f.active
+  from fold f join steps s on s.n = f.n + 1)
+select * from fold) where promoted""",
+)(
+    lambda t: reg.auto_promotions(
+        t.versions(), t.versions().limit(1).select(F.lit(_ROLLED_BACK[1]).alias("version"), F.lit(_ROLLED_BACK[0]).alias("after_version"))
+    )
+)
 query(
     "a11_versions",
     """select version, trained_at, sample_count, feature_schema_version, model_name, round(f1_macro, 6) f1_macro,

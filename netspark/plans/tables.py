@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netspark.functions.ip import is_multicast_or_broadcast
-from netspark.operators import anomaly, evidence, flows, incidents, response, verdicts, windows
+from netspark.operators import anomaly, evidence, flows, incidents, response, training, verdicts, windows
 from netspark.operators.features import flow_features
 from netspark.params import (
     AlertParams,
@@ -42,7 +42,7 @@ SCORED_FEATURES = [
     "zero_payload_ratio",
 ]
 
-_CACHE: dict[tuple[str, str, str], DataFrame] = {}
+_CACHE: dict[tuple[str, str, str], DataFrame | training.TrainedModel] = {}
 
 
 class Tables:
@@ -187,6 +187,13 @@ class Tables:
         return self._staged("labelled", self.build_labelled)
 
     # ---- models -----------------------------------------------------------------
+    def best_model(self) -> training.TrainedModel:
+        """Trained once per application and folder, at the full size."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "best_model")
+        if key not in _CACHE:
+            _CACHE[key] = training.train_best(self.labelled())
+        return _CACHE[key]
+
     def versions(self) -> DataFrame:
         """One model version per day of events, trained on the reviewed rows so far."""
         days = adapters.read(self.spark, self.sf_dir, "events").selectExpr("date_format(ts, 'yyyyMMdd') day", "event_type")

@@ -1,3 +1,4 @@
+import gzip
 import struct
 
 from netspark.operators.flows import flows, with_flow_id
@@ -48,6 +49,64 @@ def test_capture_folder(spark, tmp_path):
     assert flows(with_flow_id(captures.decode_captures(spark, str(tmp_path)))).count() == 3
 
 
+def block(kind, body, order="<"):
+    body += b"\x00" * (-len(body) % 4)
+    return struct.pack(f"{order}II", kind, len(body) + 12) + body + struct.pack(f"{order}I", len(body) + 12)
+
+
+def blocks(frames, order="<"):
+    """A capture of typed blocks whose interface counts nanoseconds."""
+    out = block(0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1), order)
+    out += block(1, struct.pack(f"{order}HHI", 1, 0, 0) + struct.pack(f"{order}HHB3x", 9, 1, 9) + struct.pack(f"{order}HH", 0, 0), order)
+    for t, frame in frames:
+        time = round(t * 10**9)
+        out += block(6, struct.pack(f"{order}IIIII", 0, time >> 32, time & 0xFFFFFFFF, len(frame), len(frame)) + frame, order)
+        out += block(5, b"statistics", order)
+    return out
+
+
+def test_captures_of_all_kinds_and_broken_ones(spark, tmp_path):
+    packet = ETHER + ip_packet(6, A, B, tcp(1000, 80, 0x02))
+    later = bytearray(ETHER + ip_packet(17, A, B, b"\xde\xad\xbe\xef more"))
+    later[14 + 6 : 14 + 8] = struct.pack(">H", 185)
+    snapped = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 40, 1) + struct.pack("<IIII", 9, 0, 48, 1500) + packet[:48]
+    (tmp_path / "a.pcapng").write_bytes(blocks([(1.5, packet), (1.75, bytes(later))]))
+    (tmp_path / "b.pcapng").write_bytes(blocks([(2.5, packet)], ">"))
+    (tmp_path / "c.pcap.gz").write_bytes(gzip.compress(capture([(3.5, packet)])))
+    (tmp_path / "d.pcap").write_bytes(snapped)
+    (tmp_path / "e.pcap").write_bytes(b"no capture at all")
+    (tmp_path / "f.pcap.gz").write_bytes(gzip.compress(capture([(4.5, packet)]))[:-12])
+    (tmp_path / "g.pcap").write_bytes(capture([(5.5, packet)])[:-3] + b"")
+    rows = captures.decode_captures(spark, str(tmp_path)).orderBy("arrival_seq").collect()
+    assert [r["ts_us"] for r in rows] == [1_500_000, 2_500_000, 3_500_000, 9_000_000, 5_500_000]
+    assert {(r["src_port"], r["dst_port"]) for r in rows} == {(1000, 80)}
+    assert rows[3]["size"] == 48 and rows[0]["size"] == len(packet)
+    errors = {r["path"].rsplit("/", 1)[-1] for r in captures.capture_errors(spark, str(tmp_path)).collect()}
+    assert errors == {"e.pcap", "f.pcap.gz"}
+
+
+def test_file_numbers_stay_when_files_arrive(spark, tmp_path):
+    packet = ETHER + ip_packet(6, A, B, tcp(1000, 80, 0x02))
+    for name, t in (("b.pcap", 2.0), ("d.pcap", 4.0)):
+        (tmp_path / name).write_bytes(capture([(t, packet)]))
+    names = lambda: spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    numbers = spark.createDataFrame(captures.number_files(names()).collect())
+    first = {r["ts_us"]: r["arrival_seq"] for r in captures.decode_captures(spark, str(tmp_path), numbers=numbers).collect()}
+    (tmp_path / "a.pcap").write_bytes(capture([(1.0, packet)]))
+    again = captures.decode_captures(spark, str(tmp_path), numbers=captures.number_files(names(), numbers))
+    second = {r["ts_us"]: r["arrival_seq"] for r in again.collect()}
+    assert first.items() <= second.items() and len(set(second.values())) == 3
+    assert "binaryFile" in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packets_written_as_captures_come_back(spark, tmp_path):
+    rows = [(i, 10**15 + i * 37, (6, 17, 1)[i % 3], "10.0.0.1", "10.0.0.2", 0 if i % 3 == 2 else 1000 + i, 0 if i % 3 == 2 else 80, 60 + i, 20, 40 + i, None if i % 3 else "FA") for i in range(60)]
+    df = spark.createDataFrame(rows, captures.PACKETS).repartition(3)
+    captures.write_captures(df, str(tmp_path / "x"))
+    found = captures.decode_captures(spark, str(tmp_path / "x"), "part-*").drop("arrival_seq")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted((r[1:] for r in rows), key=str)
+
+
 def test_packet_files_and_audit(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(capture([(1.5, ETHER + ip_packet(6, A, B, tcp(1, 2, 0x02)))]))
     rows = captures.decode_captures(spark, str(tmp_path))

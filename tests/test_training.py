@@ -1,6 +1,8 @@
 import json
 
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from netspark.operators import registry as G, retention as Ret, training as T, verdicts as V
@@ -61,7 +63,7 @@ def test_stratified_split_is_exact_and_repeatable(spark):
 
 def test_train_and_classify(spark):
     df = labelled(spark, [("ddos", "llm", False, 0)] * 30 + [("benign", "llm", False, 50)] * 30)
-    best = T.train_best(df, TrainingParams(trees=5, boosting_rounds=2), depth=3)
+    best = T.train_best(df, TrainingParams(trees=5, boosting_rounds=2, forest_depth=3, boosting_depth=3))
     assert (best.name, best.f1_macro, best.labels, best.samples) == ("RandomForest", 1.0, ["benign", "ddos"], 60)
     got = T.classify(T.sample_features(df), best.model, best.labels).collect()
     assert all(r["predicted_label"] == r["label"] for r in got)
@@ -119,9 +121,27 @@ def test_evidence_retention_protects_open_incidents(spark):
         assert removed == {"bulk_evidence": 1, "finding_evidence": 3 - len(left), "training_samples": 1}
 
 
-def test_sample_cap_limits_rows_before_the_shuffle(spark):
-    plan = Ret.kept_samples(labelled(spark, [("a", "llm", False, 0)] * 3))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_sample_cap_equals_a_global_rank(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), f"2026-01-0{rng.randint(1, 4)}T00:00:0{rng.randint(0, 3)}.{rng.randint(0, 2)}" if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, label string, timestamp string")
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    for cap in (1, 7, 60, 500):
+        got = [r["id"] for r in Ret.kept_samples(df, RetentionParams(samples_per_label=cap)).collect()]
+        want = []
+        for label in ("a", "b", None):
+            of = sorted((r for r in rows if r[1] == label), key=lambda r: (r[2] or "", r[0]), reverse=True)
+            want += [r[0] for r in of[:cap]]
+        assert sorted(got) == sorted(want)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
+def test_promotion_after_a_rollback(spark):
+    known = spark.createDataFrame([("v1", 0.5), ("v2", 0.9), ("v3", 0.7), ("v4", 0.6), ("v5", 0.8)], "version string, f1_macro double")
+    manual = spark.createDataFrame([("v1", "v2")], "version string, after_version string")
+    log = G.auto_promotions(known, manual).orderBy("promoted_seq").collect()
+    assert [r["version"] for r in log] == ["v1", "v2", "v1", "v3", "v5"]
+    assert [r["version"] for r in G.auto_promotions(known).orderBy("promoted_seq").collect()] == ["v1", "v2"]
 
 
 def test_parse_answers(spark):

@@ -280,8 +280,12 @@ def verdict_transitions(
 
 def evidence_buffer(evidence: DataFrame, p: EvidenceParams = EvidenceParams()) -> DataFrame:
     """Evidence of the last ``buffer_seconds`` before the newest row, oldest arrival first."""
-    newest = evidence.agg(F.max("ts_us")).scalar()
-    return evidence.filter(F.col("ts_us") >= newest - F.lit(int(p.buffer_seconds * 1e6))).orderBy("arrival_seq")
+    first = evidence.agg(F.max("ts_us") - F.lit(int(p.buffer_seconds * 1e6))).scalar()
+    recent = F.col("ts_us") >= first
+    if "event_date" in evidence.columns:  # stored evidence: only the folders of those days are read
+        day = F.floor(first / F.lit(86_400_000_000)).cast("int")
+        recent = recent & (F.col("event_date") >= F.date_add(F.lit("1970-01-01").cast("date"), day))
+    return evidence.filter(recent).orderBy("arrival_seq")
 
 
 def running_summary(results: DataFrame, order: str, every: int = 50, widths=SEQUENCE_CHUNKS) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netspark.operators.retention import DAY_US, day_of, evidence_tier
+from netspark.params import RetentionParams
 from netspark.schemas import FEATURE_COLUMNS
+from netspark.session import stage
 
 
 def append_evidence(evidence: DataFrame, path: str) -> None:
@@ -18,6 +21,34 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def rewrite_evidence(
+    spark: SparkSession, path: str, incident_table: DataFrame, now_us: int, p: RetentionParams = RetentionParams()
+) -> list[str]:
+    """Apply retention to the stored evidence; gives the days that went entirely.
+
+    Only days that may hold old rows are read and written. What stays of them is staged first, then put in
+    place of their folders, then folders of which nothing stays are dropped; a rerun after a loss in between
+    finds old rows again and goes on.
+    """
+    newest_cut = now_us - int(min(p.bulk_days, p.finding_days) * DAY_US)
+    old = read_evidence(spark, path).filter(F.col("event_date") <= day_of(newest_cut))
+    kept = stage(evidence_tier(old, incident_table, now_us, p).filter("removed_by is null").drop("removed_by"), "kept-evidence")
+    days = {r[0] for r in old.select("event_date").distinct().collect()}  # a row per day
+    left = {r[0] for r in kept.select("event_date").distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    gone = sorted(str(day) for day in days - left)
+    for day in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
+def rewrite_labelled(spark: SparkSession, path: str, keep) -> None:
+    """Replace the labelled rows by ``keep(rows)``: the sample cap, or a clean-up of stale or wrong labels."""
+    kept = stage(keep(read_labelled(spark, path)), "kept-labelled")
+    kept.write.mode("overwrite").partitionBy("label_source").parquet(path)
+
+
 def append_labelled(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("label_source").parquet(path)
 

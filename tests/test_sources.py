@@ -1,7 +1,11 @@
 import gzip
 import struct
 
+from pyspark.sql import functions as F
+
+from netspark.operators import windows
 from netspark.operators.flows import flows, with_flow_id
+from netspark.params import RetentionParams
 from netspark.sources import captures, exports, packets, tables
 
 
@@ -124,6 +128,23 @@ def test_evidence_by_day(spark, tmp_path):
     assert day.count() == 4 and "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
 
 
+def test_retention_rewrites_old_days_only(spark, tmp_path):
+    day, path = 86_400_000_000, str(tmp_path / "e")
+    rows = [("n1", 0, "NORMAL", "a"), ("n2", 5 * day, "NORMAL", None), ("a1", 5 * day, "ATTACK", "a"), ("a2", 6 * day, "ATTACK", "b"), ("n3", 99 * day, "NORMAL", "a")]
+    df = spark.createDataFrame(rows, "evidence_id string, ts_us bigint, verdict string, src_ip string")
+    tables.append_evidence(df, path)
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "e" / "event_date=1970-04-10").iterdir()}
+    incidents = spark.createDataFrame([("a", "OPEN"), ("b", "RESOLVED")], "key string, status string")
+    gone = tables.rewrite_evidence(spark, path, incidents, 100 * day, RetentionParams())
+    assert gone == ["1970-01-01", "1970-01-07"]
+    assert {r["evidence_id"] for r in tables.read_evidence(spark, path).collect()} == {"a1", "n3"}
+    assert untouched == {f: f.stat().st_mtime_ns for f in (tmp_path / "e" / "event_date=1970-04-10").iterdir()}
+    recent = windows.evidence_buffer(tables.read_evidence(spark, path).withColumn("arrival_seq", F.col("ts_us")))
+    assert [r["evidence_id"] for r in recent.collect()] == ["n3"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, i, f"line {i}") for i in range(50)], "section int, place int, line string")
     exports.write_ordered_lines(df, str(tmp_path / "lines"), "section", "place")

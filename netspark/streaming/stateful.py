@@ -26,19 +26,31 @@ def _rows(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(order, kind="stable")
 
 
-def stream_brute_force(attempts: DataFrame, p: BruteForceParams = BruteForceParams()) -> DataFrame:
-    """Attempts in the window, verdict and episode per attempt; times must not run backwards per triple."""
+def _timeout(idle_seconds: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_brute_force(
+    attempts: DataFrame, p: BruteForceParams = BruteForceParams(), idle_seconds: float | None = None
+) -> DataFrame:
+    """Attempts in the window, verdict and episode per attempt; times must not run backwards per triple.
+
+    A triple without attempts for ``idle_seconds`` of processing time is forgotten, and its episodes start again at
+    one; None keeps every triple. For triggers that go on: a processing-time timeout never lets availableNow end.
+    """
     window_us, hot, warm = p.window_us, p.attack_attempts, p.suspicious_attempts
 
     def fold(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _rows(batches, "ts_us")
         times, episode, was_hot = state.get if state.exists else ([], 0, False)
         recent = deque(times)
         counts, episodes = [], []
         at = rows["ts_us"].to_numpy()
-        for t in np.unique(at):
-            peers = int((at == t).sum())
-            recent.extend([int(t)] * peers)
+        for t, peers in zip(*(x.tolist() for x in np.unique(at, return_counts=True)), strict=True):
+            recent.extend([t] * peers)
             while recent and recent[0] < t - window_us:
                 recent.popleft()
             is_hot = len(recent) >= hot
@@ -47,6 +59,8 @@ def stream_brute_force(attempts: DataFrame, p: BruteForceParams = BruteForcePara
             counts += [len(recent)] * peers
             episodes += [episode] * peers
         state.update((list(recent), episode, was_hot))
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         verdict = [ATTACK if n >= hot else SUSPICIOUS if n >= warm else NORMAL for n in counts]
         yield pd.DataFrame(
             {
@@ -62,7 +76,7 @@ def stream_brute_force(attempts: DataFrame, p: BruteForceParams = BruteForcePara
         "repeat_offender_count bigint, verdict string",
         "times array<bigint>, episode int, was_hot boolean",
         "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(idle_seconds),
     )
 
 
@@ -105,11 +119,17 @@ def stream_correlate(rows: DataFrame) -> DataFrame:
     return attached.withColumn("incident_id", incident_id(F.col("key"), F.col("incident_no")))
 
 
-def stream_alerts(events: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
-    """Attack events with ``sent``: at most one per source and rate limit."""
+def stream_alerts(events: DataFrame, p: AlertParams = AlertParams(), idle_seconds: float | None = None) -> DataFrame:
+    """Attack events with ``sent``: at most one per source and rate limit.
+
+    A source without events for ``idle_seconds`` of processing time (choose more than the limit) is forgotten.
+    """
     limit = p.rate_limit_us
 
     def fold(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _rows(batches, "seq").sort_values("ts_us", kind="stable")
         last = state.get[0] if state.exists else None
         sent = []
@@ -118,8 +138,10 @@ def stream_alerts(events: DataFrame, p: AlertParams = AlertParams()) -> DataFram
             last = int(t) if go else last
             sent.append(go)
         state.update((last,))
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         yield pd.DataFrame({"seq": rows["seq"], "ts_us": rows["ts_us"], "src_ip": key[0], "sent": sent})
 
     return events.select("src_ip", "seq", "ts_us").groupBy("src_ip").applyInPandasWithState(
-        fold, "seq bigint, ts_us bigint, src_ip string, sent boolean", "last bigint", "append", GroupStateTimeout.NoTimeout
+        fold, "seq bigint, ts_us bigint, src_ip string, sent boolean", "last bigint", "append", _timeout(idle_seconds)
     )

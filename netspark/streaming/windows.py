@@ -1,49 +1,73 @@
 """Window detectors over a stream of new flows.
 
-Each micro-batch is stored under its batch id, and the batch operators run on the
+Each micro-batch is stored by hour and batch id, and the batch operators run on the
 rows of the trailing window read back from that table. Overwriting a batch id makes
 a retried batch write the same rows, so results are exactly once. The stored table
 is the state: there is nothing per key in memory, and a hot source is as safe as in
-batch.
+batch. Only the hours of the window are read, and hours before it are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 # detect(new_flows, checks) -> results
 Detector = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+HOUR_US = 3_600_000_000
+
+
 def start_window_detector(
-    new_flows: DataFrame, store: str, out: str, checkpoint: str, window_us: int, detect: Detector, **trigger
+    new_flows: DataFrame, store: str, out: str, checkpoint: str, window_us: int, detect: Detector,
+    lateness_us: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Check every arriving flow against the window that ends at its time.
 
     ``detect`` is a batch operator such as
-    ``lambda flows, checks: ddos_windows(flows, checks, params)``.
+    ``lambda flows, checks: ddos_windows(flows, checks, params)``. With ``lateness_us`` the store drops hours that end
+    before the window of a flow that is that late; without it the store keeps everything.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        arrived = spark.read.schema(batch.schema).parquet(f"{store}/batch_id={batch_id}")
-        earliest = arrived.agg(F.min("ts_us")).first()[0]
+        placed = batch.withColumn("hour", F.expr(f"ts_us div {HOUR_US}L")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("hour", "batch_id").parquet(store)
+        schema = StructType([*batch.schema.fields, StructField("hour", LongType()), StructField("batch_id", LongType())])
+        stored = spark.read.schema(schema).parquet(store)
+        arrived = stored.filter(F.col("batch_id") == batch_id).select(*batch.columns)
+        earliest, latest = arrived.agg(F.min("ts_us"), F.max("ts_us")).first()
         if earliest is None:
             return
         # A replayed batch must not see batches after it.
-        trailing = spark.read.option("basePath", store).parquet(store).filter(
-            (F.col("batch_id") <= batch_id) & (F.col("ts_us") >= earliest - window_us)
+        trailing = stored.filter(
+            (F.col("batch_id") <= batch_id)
+            & (F.col("hour") >= (earliest - window_us) // HOUR_US)
+            & (F.col("ts_us") >= earliest - window_us)
         )
-        detect(trailing.drop("batch_id"), arrived).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        detect(trailing.select(*batch.columns), arrived).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if lateness_us is not None:
+            _drop_hours(spark, store, (latest - lateness_us - window_us) // HOUR_US)
 
     return new_flows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _drop_hours(spark: SparkSession, store: str, before: int) -> None:
+    """Delete the stored hours below ``before``: a listing of hour folders, and one call for each that goes."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("hour=") and int(name.removeprefix("hour=")) < before:
+            files.delete(status.getPath(), True)
+
+
 def start_evidence_sink(evidence: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append evidence; ids are deterministic and a batch id is overwritten, so a retry adds nothing."""
 

@@ -72,11 +72,21 @@ def test_window_detectors_equal_batch(spark, tmp_path):
         ("scan", scan.window_us, lambda f, c: W.port_scan_windows(f, c, scan), ["flow_id", "distinct_ports", "distinct_targets", "verdict"]),
     ):
         base = f"{tmp_path}/{name}"
-        q = SW.start_window_detector(source, f"{base}/store", f"{base}/out", f"{base}/state", window, detect, availableNow=True)
+        q = SW.start_window_detector(source, f"{base}/store", f"{base}/out", f"{base}/state", window, detect, 0, availableNow=True)
         q.awaitTermination()
         assert values(spark.read.parquet(f"{base}/out"), *columns) == values(detect(table, table), *columns)
 
 
+def test_store_drops_whole_hours(spark, tmp_path):
+    hour = SW.HOUR_US
+    table = spark.createDataFrame([(i, i, t, "a", "b", 1) for i, t in enumerate([0, hour, 5 * hour, 5 * hour + 1])], FLOWS)
+    source = arriving(table, str(tmp_path / "in"), 4, "ts_us")
+    q = SW.start_window_detector(source, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/state", hour, lambda f, c: c, 0, availableNow=True)
+    q.awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "store").glob("hour=*")) == ["hour=5"]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
 def test_brute_force_equals_batch(spark, tmp_path):
     rows = sorted(random_flows(22, 200, 120.0))
     table = spark.createDataFrame([(i, i, int(t * 10) * 100_000 + i, s, d, p) for i, (t, s, d, p) in enumerate(rows)], FLOWS)

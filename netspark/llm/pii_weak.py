@@ -293,7 +293,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets, and n_chars, if there, made to fit."""
-    found = with_candidates(docs.select("text"), "spans").select("spans").filter(F.size("spans") > 0)
+    found = cut(with_candidates(docs.select("text"), "spans").select("spans"))
     model = fit(found, "spans")
     name = "_spans"
     while any(c.startswith(name) for c in docs.columns):

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +139,24 @@ def scores(docs: DataFrame, target: str, params: LmParams = LmParams(), slice_by
     )
 
 
+#: Target ids that are sent to the tasks as one sorted array (32 MB); more are joined.
+MOST_SENT = 4 << 20
+
+
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with `is_target`: some label row calls them good (quality 1)."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("bigint").alias("labelled")).distinct()
+    good = cut(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("labelled")).distinct())
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if good.count() <= MOST_SENT:
+        ids = np.sort(good.toArrow().column("labelled").to_numpy())
+        sent = docs.sparkSession.sparkContext.broadcast(ids)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flags = pa.compute.is_in(batch.column(0), value_set=pa.array(sent.value))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=["doc_id", "text", "is_target"])
+
+        return own.mapInArrow(mark, "doc_id bigint, text string, is_target boolean")
     # Rows without an id match no label; their text's hash spreads them.
     spread = own.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
     joined = spread.join(good, spread["place"] == good["labelled"], "left")

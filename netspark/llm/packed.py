@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from netspark.llm.common import cut, slices, text_bytes
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Stands for a missing doc_id: after every other.
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "slice string, doc_ids binary, flags binary, sizes binary, body binary"
@@ -101,7 +101,7 @@ def dealt(keys: np.ndarray, partitions: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
-def plan(packed: DataFrame, per_partition: int = 48 << 20) -> tuple[int, int]:
+def plan(packed: DataFrame, per_partition: int = 12 << 20) -> tuple[int, int]:
     """(partitions for the keys, bytes of packed text)."""
     size = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -40,8 +40,9 @@ def expected(rows, good, params):
     return [(i, len(w), ours(w) if w else None, every(w) if w else None) for i, w in texts]
 
 
-@pytest.mark.parametrize("good", [{1, 4, 9, 16, 25, 36, 999_999}, set()])
-def test_scores_equal_brute_force(spark, good):
+@pytest.mark.parametrize(("good", "sent"), [({1, 4, 9, 16, 25, 36, 999_999}, 1 << 20), ({1, 4, 9, 16, 25}, 0), (set(), 1 << 20)])
+def test_scores_equal_brute_force(spark, monkeypatch, good, sent):
+    monkeypatch.setattr(lm_scoring, "MOST_SENT", sent)
     rng = random.Random(1)
     rows = [(0, None), (None, "x y"), (None, "x y"), (2, ""), (3, " \n"), (4, "one"), (4, "One two")]
     rows += [(5 + i, " ".join(rng.choice(["a", "B", "c", "ñu", "the"]) + rng.choice(["", "", "x"]) for _ in range(rng.randint(1, 60)))) for i in range(80)]

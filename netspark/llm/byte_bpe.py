@@ -29,7 +29,7 @@ from netspark.llm.common import CUT, Memory, slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces whose ids a worker keeps (twice that at most, and twice as many parts between spaces), and their most characters.
-MEMORY, KEPT = 100_000, 64
+MEMORY, KEPT = 50_000, 64
 #: Bytes of text that a task holds at once.
 SLICE = 8 << 20
 
@@ -42,7 +42,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # by left << 32 | right
         # Finds all tokens that end at each place, the longest first. Tokens that merging alone
         # never makes are left out: they stand only where they are a whole pre-token.
         self.ending = ahocorasick.Automaton()
@@ -68,9 +68,9 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Do these two tokens, side by side, stay as they are?"""
-        if len(self.known) >= 10 * MEMORY:
+        if len(self.known) >= 5 * MEMORY:
             self.known.clear()
-        stays = self.known[left, right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+        stays = self.known[left << 32 | right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return stays
 
 
@@ -91,7 +91,7 @@ class PrefixTable:
             if end > done and length <= end:
                 if length < end:
                     left = last[end - length]
-                    stays = known.get((left, token))
+                    stays = known.get(left << 32 | token)
                     if not (apart(left, token) if stays is None else stays):
                         continue
                 last.append(token)

@@ -22,15 +22,17 @@ have no bytes. An empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netspark.llm import packed
-from netspark.llm.common import cut, mix
+from netspark.llm.common import mix
 
 WIDTH, Q = 50, 20
 #: Bytes of text that are hashed at once.
@@ -97,8 +99,8 @@ def stretches(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.n
     out[:, 0], out[:, 1] = place - first, last - first + 1
     room = np.concatenate([data, np.zeros(size, np.uint8)])
     length = last - first + width
-    for start in range(0, len(place), 1 << 16):
-        some = slice(start, start + (1 << 16))
+    for start in range(0, len(place), 1 << 13):
+        some = slice(start, start + (1 << 13))
         at = np.arange(size)
         out[some, 2:] = np.where(at < length[some, None], room[first[some, None] + at], 0)
     return out
@@ -176,22 +178,31 @@ def repeated(matrix: np.ndarray, doc: np.ndarray, width: int, q: int) -> np.ndar
     grams = kept[mixed[:, None], 2 + kept[mixed, :1].astype(np.int64) + np.arange(q)]
     _, gram = classes(grams)
     mixed = mixed[np.bincount(gram, minlength=1)[gram] > 1]
-    if len(mixed):
-        count = kept[mixed, 1].astype(np.int64)
+    bits = np.zeros(len(first), np.uint64)
+    for some in _by_gram(mixed, gram[np.bincount(gram, minlength=1)[gram] > 1]):
+        count = kept[some, 1].astype(np.int64)
         length = count + width - 1
-        inside = np.arange(matrix.shape[1] - 2) < length[:, None]
-        flat = kept[mixed, 2:][inside]
+        flat = kept[some, 2:][np.arange(matrix.shape[1] - 2) < length[:, None]]
         start = np.cumsum(length) - length
         bucket = buckets(flat, start, length, width)
         j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(np.arange(len(mixed)), count)
+        row = np.repeat(np.arange(len(some)), count)
         _, number = np.unique(bucket[start[row] + j], return_inverse=True)
-        least = smallest(number, owner[mixed][row], number.max() + 1)
-        bits = np.zeros(len(first), np.uint64)
-        gone = owner[mixed][row] > least[number]
-        np.bitwise_or.at(bits, mixed[row[gone]], np.uint64(1) << j[gone].astype(np.uint64))
-        out |= np.where(doc == owner[of], bits[of], np.uint64(0))
-    return out
+        least = smallest(number, owner[some][row], number.max() + 1)
+        gone = owner[some][row] > least[number]
+        np.bitwise_or.at(bits, some[row[gone]], np.uint64(1) << j[gone].astype(np.uint64))
+    return out | np.where(doc == owner[of], bits[of], np.uint64(0))
+
+
+def _by_gram(rows: np.ndarray, gram: np.ndarray, size: int = 4096) -> Iterator[np.ndarray]:
+    """Rows in runs of whole q-gram buckets, of about `size` rows, so that memory follows one run."""
+    order = np.argsort(gram, kind="stable")
+    rows, gram = rows[order], gram[order]
+    start = 0
+    while start < len(rows):
+        end = int(np.searchsorted(gram, gram[min(start + size, len(rows)) - 1], "right"))
+        yield rows[start:end]
+        start = end
 
 
 #: Mark of a stretch that is a single window of a hot q-gram.
@@ -254,11 +265,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"part": [], "slice": [], "rows": [], "docs": [], "starts": [], "bits": []}
+        squeeze = zstandard.ZstdCompressor(level=3)
 
         def put(part: int, matrix: np.ndarray, doc: np.ndarray, start: np.ndarray, gone: np.ndarray | None) -> None:
             out["part"].append(part)
             out["slice"].append(one.name)
-            out["rows"].append(packed.squeeze(matrix) if gone is None else b"")
+            out["rows"].append(squeeze.compress(np.ascontiguousarray(matrix).tobytes()) if gone is None else b"")
             out["docs"].append(packed.squeeze(doc) if gone is None else b"")
             out["starts"].append(packed.squeeze(start))
             out["bits"].append(b"" if gone is None else packed.squeeze(gone))
@@ -288,7 +300,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
                 least = smallest(of, owner, len(head))
                 known = owner > least[of]
                 if known.any():
-                    put(-1, matrix, owner, start[known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1))
+                    put(-1 - zlib.crc32(one.name.encode()) % partitions, matrix, owner, start[known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1))
                 rest = np.flatnonzero(~known)
                 rest = rest[np.argsort(spread[rest], kind="stable")]
                 edge = packed.dealt(spread[rest], partitions, bits)
@@ -299,12 +311,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)})
 
     sent = slices.groupBy("slice").cogroup(states.groupBy("slice")).applyInArrow(send, "part int, slice string, rows binary, docs binary, starts binary, bits binary")
-    sent = cut(sent)
 
     def judge(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:  # what the slices could tell by themselves
+            return table.select(["slice", "starts", "bits"])
         parts = [np.frombuffer(packed.unsqueeze(x.as_buffer()), np.uint8) for x in table.column("rows")]
         wide = 2 * width - q + 2
-        matrix = np.concatenate([np.ascontiguousarray(x.reshape(wide, -1).T) for x in parts])
+        matrix = np.concatenate([x.reshape(-1, wide) for x in parts])
         doc = np.concatenate([packed.expand(x.as_buffer(), "<i8") for x in table.column("docs")])
         gone = repeated(matrix, doc, width, q)
         ends = np.cumsum([len(x) // wide for x in parts])
@@ -315,8 +328,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
             bits_.append(packed.squeeze(some[some != 0]))
         return pa.table({"slice": table.column("slice"), "starts": pa.array(starts, pa.binary()), "bits": pa.array(bits_, pa.binary())})
 
-    judged = sent.filter("part >= 0").groupBy("part").applyInArrow(judge, "slice string, starts binary, bits binary")
-    answers = judged.unionByName(sent.filter("part < 0").select("slice", "starts", "bits"))
+    answers = sent.groupBy("part").applyInArrow(judge, "slice string, starts binary, bits binary")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         done = []

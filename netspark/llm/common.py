@@ -107,9 +107,10 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each byte run: 8 bytes at a time, over all runs at once."""
-    out = mix((ends - starts).astype(np.uint64) * _MUL)
+    times = np.uint64((int(_MUL) + 2 * seed) % (1 << 64))
+    out = mix((ends - starts).astype(np.uint64) * times + np.uint64(seed))
     if len(out) == 0:
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -122,7 +123,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         short = left < 8
         shift = ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
         word = np.where(short, (word << shift) >> shift, word)
-        out[todo] = mix((out[todo] ^ word) * _MUL + np.uint64(1))
+        out[todo] = mix((out[todo] ^ word) * times + np.uint64(1))
         keep = left > 8
         todo, at = todo[keep], at[keep] + 8
     return out

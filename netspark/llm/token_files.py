@@ -21,7 +21,6 @@ a null doc_id comes first. An empty table has no documents in its files. Further
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -36,18 +35,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netspark.llm.common import CUT, Memory, slices
+from netspark.llm.common import slices, text_bytes, word_hashes
 from netspark.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-FRAME_BYTES, FILE_BYTES = 64 << 10, 32 << 20
-SLICE = 2 << 20
-#: Parts between spaces whose ids a worker keeps (twice that at most), and their most characters.
-MEMORY, KEPT = 300_000, 64
-#: Marks that never join with a letter before them into one pre-token.
-TAIL = ".,!?;:%$#*&|\")]"
-ODD_SPACE = re.compile(r" (?:\s|$)|^ ")
+FRAME_BYTES, FILE_BYTES = 64 << 10, 16 << 20
+SLICE = 3 << 20
+#: Parts whose ids a worker keeps (some 50 bytes each; all are forgotten when it is full), and their most bytes.
+MEMORY, KEPT = 1_000_000, 64
+#: Bytes that certainly begin a visible character: no ASCII control or space, and no lead byte of a wide space.
+VISIBLE, LETTER, MARK, ASCII_VISIBLE = np.ones(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = MARK[list(b".,!?;:%$#*&|\")]")] = ASCII_VISIBLE[0x21:0x7F] = True
+VISIBLE[[*range(0x21), 0x7F, *range(0x80, 0xC3), 0xE1, 0xE2, 0xE3]] = False
 SKIP, SEEK, FOOT = 0x184D2A50, 0x184D2A5E, b"NSF1"
 END = "P*M\x18\x00\x00\x00\x00"
 _TAIL = struct.Struct("<III4s")
@@ -55,59 +55,102 @@ _FRAME = np.dtype([("packed", "<u4"), ("size", "<u8"), ("crc", "<u4")])
 
 
 class Encoder:
-    """The tokenizer, with a memory of the ids of parts that stand after a space."""
+    """The tokenizer, with a memory of the ids of parts.
+
+    Texts are cut before a space that a visible character follows, between a letter and a mark, and around line ends
+    next to visible characters; no pre-token goes over such a place, so the ids of a text are those of its parts. Parts are told apart by two 64-bit hashes. Only parts that are not in the memory meet the tokenizer,
+    many of them as one text, whose ids are cut by the bytes that each token stands for.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         sizes = {i: len(token) for token, i in self.tokenizer.get_vocab().items()}  # a character of a token is a byte
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-        self.tails = Memory(lambda tail: self.whole(tail) if tail else b"", 10_000, KEPT)
-        self.parts = Memory(lambda part: self.whole(" " + part), MEMORY, KEPT)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode many parts as one text, which is cheaper, and cut the ids where the parts end."""
-        for start in range(0, len(parts), 5000):
-            some = [" " + part for part in parts[start : start + 5000]]
-            (found,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in some])) + 1
-            raw, begin = ids.tobytes(), 0
-            for part, end in zip(some, ends.tolist(), strict=True):
-                self.parts.keep(part[1:], raw[4 * begin : 4 * end])
-                begin = end
-
-    def _resolve(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not at hand. Punctuation after a letter is a pre-token of its own, so only the words before it are kept."""
-        split, new = [], set()
-        for part in parts:
-            core = part.rstrip(TAIL)
-            if len(core) == len(part) or not core or not core[-1].isalpha():
-                core = part
-            split.append((part, core))
-            if core not in self.parts:
-                if core in self.parts.older:
-                    self.parts.keep(core, self.parts.older[core])
-                elif len(core) <= KEPT:
-                    new.add(core)
-        self.learn(list(new))
-        return {part: self.parts[core] + self.tails[part[len(core) :]] for part, core in split}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        at_hand, cut = self.parts.get, []
-        for text in texts:
-            if not text or any(token in text for token in self.special):  # special tokens may hold spaces or stand inside a word
-                cut.append(([], [self.whole(text) if text else b""]))
-            else:
-                first, *parts = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-                cut.append((parts, [self.whole(first) if first else b"", *map(at_hand, parts)]))
-        found = self._resolve({p for parts, ids in cut for p, i in zip(parts, ids[1:], strict=True) if i is None})
-        for parts, ids in cut:
-            yield b"".join([ids[0], *(found[p] if i is None else i for p, i in zip(parts, ids[1:], strict=True))])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many belong to each part). A line end in front keeps parts that begin with a visible character apart."""
+        ids, counts = [], np.zeros(len(parts), np.int64)
+        for begin in range(0, len(parts), 5000):
+            some = parts[begin : begin + 5000]
+            spaced = [len(part) > 1 and part[0] == 0x20 and VISIBLE[part[1]] for part in some]
+            inner = [k for k, part in enumerate(some) if spaced[k] or VISIBLE[part[0]]]
+            split: dict[int, np.ndarray] = {k: self.whole(some[k].decode()) for k in set(range(len(some))).difference(inner)}
+            if inner:
+                apart = [some[k] if spaced[k] else b"\n" + some[k] for k in inner]
+                (found,) = self.tokenizer.encode_batch_fast([b"".join(apart).decode()], add_special_tokens=False)
+                joined = np.array(found.ids, "<u4")
+                ends = np.searchsorted(np.cumsum(self.sizes[joined]), np.cumsum([len(part) for part in apart])) + 1
+                for k, own in zip(inner, np.split(joined, ends[:-1]), strict=True):
+                    split[k] = own if spaced[k] else own[1:]
+            for k in range(len(some)):
+                ids.append(split[k])
+                counts[begin + k] = len(split[k])
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), counts
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column."""
+        data, offsets = text_bytes(column)
+        raw = data.tobytes()
+        alone = np.zeros(len(offsets) - 1, bool)
+        for token in self.special:  # these may hold spaces or stand inside a word
+            at = raw.find(token.encode())
+            while at >= 0:
+                alone[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token.encode(), at + 1)
+        begins = np.zeros(len(data) + 1, bool)
+        if len(data) > 1:
+            left, right = data[:-1], data[1:]
+            # Of white space before something visible, the last character is apart from those before it.
+            begins[:-2] = ((left == 0x20) | (left == 0x0A)) & VISIBLE[right]
+            begins[1:-1] |= (LETTER[left] & MARK[right]) | ((left == 0x0A) & VISIBLE[right]) | ((right == 0x0A) & ASCII_VISIBLE[left])
+        begins[offsets] = True
+        # What ends a text is followed by another text, not by a visible character of its own; no cut is always right.
+        begins[(offsets[1:] - 1)[np.diff(offsets) > 1]] = False
+        starts = np.flatnonzero(begins[:-1])
+        ends = np.append(starts[1:], len(data))
+        text = np.searchsorted(offsets, starts, "right") - 1
+        one, two = word_hashes(data, starts, ends), word_hashes(data, starts, ends, 0x5851F42D4C957F2D)
+        unique, first, of = np.unique(one, return_index=True, return_inverse=True)
+        alone[text[two != two[first][of]]] = True  # unequal parts with one hash; next to never
+
+        place = np.minimum(np.searchsorted(self.hash, unique), max(len(self.hash) - 1, 0))
+        known = (self.hash[place] == unique) & (self.other[place] == two[first]) if len(self.hash) else np.zeros(len(unique), bool)
+        begin, count = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        begin[known], count[known] = self.start[place[known]], self.count[place[known]]
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(ends[first[new]] - starts[first[new]] > KEPT, kind="stable")]  # those that are not kept come last
+        ids, count[new] = self._learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        begin[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+        pool = np.concatenate([self.pool, ids])
+
+        size = count[of]
+        total = np.cumsum(size)
+        out = pool[np.repeat(begin[of] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        edge = np.concatenate([[0], total])[np.searchsorted(text, np.arange(len(offsets)))]
+        self._keep(unique, two[first], begin, count, new[ends[first[new]] - starts[first[new]] <= KEPT], pool)
+        for k in range(len(offsets) - 1):
+            yield self.whole(raw[offsets[k] : offsets[k + 1]].decode()) if alone[k] else out[edge[k] : edge[k + 1]]
+
+    def _keep(self, unique, other, begin, count, new, pool) -> None:
+        if len(self.hash) + len(new) > MEMORY:
+            self._forget()
+            return
+        new = np.sort(new)
+        clash = np.isin(unique[new], self.hash)  # the same hash is kept for another part
+        new = new[~clash]
+        at = np.searchsorted(self.hash, unique[new])
+        self.hash, self.other = np.insert(self.hash, at, unique[new]), np.insert(self.other, at, other[new])
+        self.start, self.count = np.insert(self.start, at, begin[new]), np.insert(self.count, at, count[new])
+        self.pool = pool[: max(len(self.pool), int((begin[new] + count[new]).max(initial=0)))]
 
 
 @lru_cache(maxsize=2)
@@ -242,8 +285,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, frame_bytes: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out, end = encoder(tokenizer), FileWriter(frame_bytes, file_bytes), struct.pack("<I", END_ID)
         for part in slices(batches, SLICE):
-            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                if done := out.add(doc_id, ids + end):
+            for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1)), strict=True):
+                if done := out.add(doc_id, ids.tobytes() + end):
                     yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], names=["file"])
         if done := out.finish():
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], names=["file"])
@@ -293,7 +336,7 @@ def digests(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
-    # One row per file of some 32 MB, so this running sum stays small.
+    # One row per file of some 16 MB, so this running sum stays small.
     order = Window.orderBy(F.asc_nulls_first("first_doc"), "file").rowsBetween(Window.unboundedPreceding, -1)
     before = read_index(spark, path).select("file", F.coalesce(F.sum("file_tokens").over(order), F.lit(0)).alias("before"))
 

@@ -1,8 +1,10 @@
 import io
+import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -35,6 +37,20 @@ def test_empty_table(spark, tmp_path):
     assert token_files.digests(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/b").count() == 0
 
 
+def test_memory_holds_and_forgets(monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé.,' \n\u2003日") for _ in range(rng.randint(1, 6)))
+    texts = [*TEXTS, *(" ".join(word() for _ in range(rng.randrange(40))) for _ in range(600))]
+    for limit in (2_000_000, 300):
+        monkeypatch.setattr(token_files, "MEMORY", limit)
+        own = token_files.Encoder(token_files.TOKENIZER)
+        for start in range(0, len(texts), 50):
+            some = texts[start : start + 50]
+            for text, ids in zip(some, own.encode(pa.array(some, pa.string())), strict=True):
+                assert ids.tolist() == LIBRARY.encode(text or "", add_special_tokens=False).ids, repr(text)
+        assert len(own.hash) <= limit
+
+
 def file_of(docs, **sizes):
     writer, files = token_files.FileWriter(**sizes), []
     for doc_id, ids in docs:

@@ -2,11 +2,12 @@
 
 Each document has a vector of transformed statistics. For every (lang, source) the minimum covariance determinant is
 estimated by concentration steps: from medians and median deviations, the nearest `core` share of the group gives the
-next mean and covariance, and so on; every step lowers the determinant. The covariance is then scaled so that the
-median distance is what a normal sample would have, and a document whose squared Mahalanobis distance is beyond
+next mean and covariance, and so on; every step lowers the determinant. The covariance is then scaled, up or down, so
+that the median distance is what a normal sample would have, and a document whose squared Mahalanobis distance is beyond
 the chi-square quantile is rejected. Groups with fewer than `least_rows` documents that pass the base rules use the
-estimate over all documents. Statistics that hardly vary in a group get the spread `floor` at least, so that a
-majority of equal values does not make every other value an outlier.
+estimate over all documents. Statistics that hardly vary in a group get the spread `floor` at least, in every step and
+after scaling, so that a majority of equal values does not make every other value an outlier; what such a statistic
+takes from the distances is taken from the median of the normal sample too.
 
 Everything is DataFrame functions. Group estimates are one small row each. They are broadcast while there are at most
 MOST_GROUPS of them and joined on salted keys beyond that, so a hot source is never one task; sums and quantiles are
@@ -41,9 +42,11 @@ class McdParams:
     least_rows: int = 100
     least_words: int = 20
     most_repeat_percent: int = 30
-    #: Least standard deviation of each of FEATURES. A line that comes twice in a text of some hundred words moves its
-    #: logarithmic share of repeats by about 1.5, which is to be no outlier even where no other text repeats anything.
-    floor: tuple[float, ...] = (0.1, 0.5, 0.5, 1.0, 1.0, 0.5)
+    #: Least standard deviation of each of FEATURES. Where no other text repeats anything, copies of more than 54 % of the
+    #: lines are beyond the limit by themselves (ln(1 + 54)^2 / 0.75^2 = 28.5); one line that comes twice is not, with the
+    #: words that it repeats (at worst one of 7 equal lines, 7.4 / 0.75^2 + 11.5 = 24.7, or one of 3 short ones, 22.5).
+    #: Repeated words alone are left to `most_repeat_percent`.
+    floor: tuple[float, ...] = (0.1, 0.5, 0.5, 1.0, 0.75, 0.5)
 
 
 def chi_square(quantile: float, degrees: int) -> float:
@@ -133,16 +136,26 @@ _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
 def _with_factor(moments: DataFrame, params: McdParams) -> DataFrame:
-    """group, mean_i, l_i_j from group, mean_i, v_i_j; one projection per column of the factor."""
+    """group, mean_i, v_i_j and the factor l_i_j, of the variances with their floors, from group, mean_i, v_i_j; one
+    projection per column of the factor."""
     means = [f"mean_{i}" for i in range(len(FEATURES))]
     out = moments
     for i, j in sorted(_PAIRS, key=lambda p: (p[1], p[0])):
-        rest = F.col(f"v_{i}_{j}") + F.lit(params.floor[i] ** 2 if i == j else 0.0)
+        rest = F.greatest(F.col(f"v_{i}_{j}"), F.lit(params.floor[i] ** 2)) if i == j else F.col(f"v_{i}_{j}")
         for k in range(j):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
         value = F.sqrt(F.greatest(rest, F.lit(params.floor[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}_{j}")
         out = out.withColumn(f"l_{i}_{j}", value)
-    return out.select("group", *means, *(f"l_{i}_{j}" for i, j in _PAIRS))
+    return out.select("group", *means, *(f"{x}_{i}_{j}" for x in "vl" for i, j in _PAIRS))
+
+
+def _normal_median(params: McdParams) -> Column:
+    """Median squared distance of a normal sample of covariance v_i_j: statistics below their floor count in part."""
+    degrees = F.lit(0.0)
+    for i in range(len(FEATURES)):
+        degrees = degrees + F.least(F.col(f"v_{i}_{i}") / params.floor[i] ** 2, F.lit(1.0))
+    degrees = F.greatest(degrees, F.lit(1.0))
+    return degrees * F.pow(1 - 2 / (9 * degrees), F.lit(3))
 
 
 def attach(rows: DataFrame, group: Column, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -155,7 +168,7 @@ def attach(rows: DataFrame, group: Column, estimates: DataFrame, n_groups: int)
 
 
 def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]:
-    """group, mean_i, l_i_j, scale for every group of `statistics` (rows of the struct) that has a member, and their number."""
+    """group, mean_i, l_i_j for every group of `statistics` (rows of the struct) that has a member, and their number."""
     ok = statistics.filter(~F.col("base_failed"))
     sizes = cut(statistics.groupBy("group").agg(F.count_if(~F.col("base_failed")).alias("rows")))
     n_groups = sizes.count()
@@ -188,8 +201,10 @@ def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]
         )
         now = cut(_with_factor(moments, params))
     far = attach(rows, F.col("mine"), now, n_groups + 1).select("mine", _distance().alias("d2"))
-    scale = far.groupBy(F.col("mine").alias("group")).agg((F.percentile_approx("d2", 0.5, 1000) / chi_square(0.5, len(FEATURES))).alias("scale"))
-    final = now.join(scale, "group").withColumn("scale", F.greatest("scale", F.lit(1.0)))
+    half = far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
+    scale = F.col("half") / _normal_median(params)
+    scaled = now.join(half, "group").select("group", *(f"mean_{i}" for i in range(len(FEATURES))), *((F.col(f"v_{i}_{j}") * scale).alias(f"v_{i}_{j}") for i, j in _PAIRS))
+    final = cut(_with_factor(scaled, params)).drop(*(f"v_{i}_{j}" for i, j in _PAIRS))
     # Every group that there is gets its own estimate or that of the whole.
     found = sizes.select(F.col("group").alias("name"), F.when(F.col("rows") >= params.least_rows, F.col("group")).otherwise(F.lit("*")).alias("group"))
     return cut(found.join(final, "group").drop("group").withColumnRenamed("name", "group")), n_groups
@@ -206,7 +221,7 @@ def judged(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
 def _verdict(statistics: DataFrame, group: Column, found: DataFrame, n_groups: int, params: McdParams, columns: list[str]) -> DataFrame:
     named = statistics.withColumnRenamed("group", "group_of")
     rows = attach(named, group, found, n_groups)
-    distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
+    distance = F.when(~F.col("base_failed"), _distance())
     # A table whose documents all fail has no estimate; then there is nothing to be told apart from.
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= chi_square(params.quantile, len(FEATURES)))
     base = [c for c in columns if c not in ("group", *FEATURES)]

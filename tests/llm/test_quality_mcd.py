@@ -86,3 +86,42 @@ def test_without_an_estimate(spark, texts):
 def test_chi_square():
     assert np.isclose(quality_mcd.chi_square(0.5, 6), 5.348, rtol=0.01)
     assert np.isclose(quality_mcd.chi_square(0.999, 6), 22.46, rtol=0.01)
+
+
+def test_copied_lines_go_and_one_line_twice_stays(spark):
+    rng = random.Random(7)
+    lines = lambda n: [prose(rng, 12) for _ in range(n)]
+    rows = [(i, "\n".join(lines(rng.randint(6, 30)))) for i in range(400)]
+    twice = {}
+    for i in range(400, 420):
+        text = lines(rng.randint(8, 20))
+        twice[i] = "\n".join([*text, text[2]])
+    copied = {}
+    for i in range(420, 430):  # two of three lines are copies; no eight words in a row come again
+        copied[i] = "\n".join(x for _ in range(20) for x in ("see also here", "back to top", prose(rng, 30)))
+    assert not any(base(t)[-1] for t in [*twice.values(), *copied.values()]) and not any(base(t)[4] for t in copied.values())
+    rows += [*twice.items(), *copied.items()]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_mcd.judged(docs).collect() if r.kept}
+    assert not kept & set(copied)
+    assert set(twice) <= kept
+
+
+@pytest.mark.parametrize("wide, outer", [(3.0, 1.0), (3.0, 30.0), (0.2, 1.0)])
+def test_scale_and_floor(spark, wide, outer):
+    rng, params = np.random.default_rng(8), McdParams()
+    # The last third is `outer` times as wide, so that the core holds some of it and is to be scaled down.
+    values = rng.normal(size=(3000, 6)) * np.array(params.floor) * wide * np.where(np.arange(3000) < 2000, 1, outer)[:, None]
+    rows = [(i, False, "g", *map(float, v)) for i, v in enumerate(values)]
+    columns = ", ".join(f"{x} double" for x in quality_mcd.FEATURES)
+    found, _ = quality_mcd.estimates(spark.createDataFrame(rows, f"doc_id long, base_failed boolean, `group` string, {columns}"), params)
+    (row,) = found.collect()
+    factor = np.zeros((6, 6))
+    for i, j in quality_mcd._PAIRS:
+        factor[i, j] = row[f"l_{i}_{j}"]
+    solved = np.linalg.solve(factor, (values - [row[f"mean_{i}"] for i in range(6)]).T)
+    median = np.median((solved**2).sum(axis=0))
+    if wide > 1:
+        assert np.isclose(median, quality_mcd.chi_square(0.5, 6), rtol=0.05)
+    else:
+        assert np.allclose(np.diag(factor), params.floor, rtol=0.05)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from netspark.llm import license_scan
 from netspark.llm.license_scan import TEMPLATES
@@ -71,5 +72,29 @@ def test_any_long_enough_common_run_shares_a_pick():
         assert picks[0] & picks[1]
 
 
+def scanned(text):
+    index = license_scan.Index(license_scan.LicenseParams())
+    words, _, _, first = license_scan.words_with_places(*license_scan.text_bytes(pa.array([text])))
+    return [(index.names[number], a, b, matched / len(index.words[number])) for _, number, a, b, matched in index.scan(words, first)]
+
+
+def test_bare_reservation_is_found_anywhere():
+    rng = random.Random(5)
+    for _ in range(200):
+        before = rng.randrange(30)
+        assert scanned(f"{prose(rng, before)} All rights reserved. {prose(rng, 20)}") == [("Proprietary", before, before + 3, 1.0)]
+
+
+def test_relatives_are_told_apart():
+    texts = {}
+    for name, text in TEMPLATES:
+        if len(text.split()) > 50:
+            texts[name] = text
+    assert {"BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0"} <= set(texts)
+    assert "POSSIBILITY OF SUCH DAMAGE" in texts["BSD-2-Clause"] and "Neither the name" in texts["BSD-3-Clause"]
+    for name, text in texts.items():
+        assert [(m[0], m[3]) for m in scanned(text)] == [(name, 1.0)]
+
+
 def test_empty_table(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -4,8 +4,8 @@ Templates and documents are split into words (runs of a-z, 0-9 and non-ASCII cha
 `window` hashes of `gram` words in a row the smallest is picked, so any `gram + window - 1` words that a document shares
 with a template share a picked hash. Templates of fewer words are looked up by
 all their grams, picked or not. An inverted index from picked hashes to template places turns each hit into a diagonal
-(document word less template word); hits whose diagonals lie within a band are a candidate. The document's words around
-it are aligned with the template inside the band (longest common subsequence), and `coverage` is the share of the
+(document word less template word); each hit outside the matches found so far is a candidate. The document's words around
+it that are in no match of that template yet are aligned with it inside the band (longest common subsequence), and `coverage` is the share of the
 template's words that stand in order in the document. Candidates below `least_coverage` are dropped, and of overlapping ones the most
 matched words win, then the template that is listed first.
 
@@ -17,6 +17,7 @@ different places and gives a row for each; repeated rows each give theirs. An em
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -141,16 +142,24 @@ class Index:
         low, high = np.searchsorted(self.key, hashes[hits], "left"), np.searchsorted(self.key, hashes[hits], "right")
         for at, a, b in zip(hits.tolist(), low.tolist(), high.tolist(), strict=True):
             for number, place in self.at[a:b].tolist():
-                candidates.add((number, at - place))
-        matches, last = [], None
-        # Diagonals of one template within a band are one candidate, tried at its first diagonal.
-        for number, diagonal in sorted(candidates):
-            if last and last[0] == number and diagonal - last[1] <= p.band:
+                candidates.add((number, at - place, at))
+        matches, tried = [], set()
+        spans: dict[int, list[tuple[int, int]]] = {}
+        # A hit inside a span of its template belongs to it; any other is aligned with the words between the spans around it.
+        for number, diagonal, at in sorted(candidates):
+            own = spans.setdefault(number, [])
+            k = bisect.bisect_right(own, at, key=lambda span: span[0])
+            low, high = own[k - 1][1] if k else 0, own[k][0] if k < len(own) else len(words)
+            if at < low or (number, diagonal, low, high) in tried:
                 continue
-            last = (number, diagonal)
-            start, stop, matched = aligned(self.words[number], words, diagonal, p.band)
-            if matched >= p.least_coverage * len(self.words[number]):
+            tried.add((number, diagonal, low, high))
+            least = p.least_coverage * len(self.words[number])
+            if min(high, diagonal + len(self.words[number]) + p.band) - max(low, diagonal - p.band) < least:
+                continue
+            start, stop, matched = aligned(self.words[number], words, diagonal, p.band, low, high)
+            if matched >= least:
                 matches.append((number, start, stop, matched))
+                own.insert(k, (start, stop))
         chosen: list[tuple[int, int, int, int]] = []
         for match in sorted(matches, key=lambda m: (-m[3], m[0], m[1])):
             if all(match[2] <= c[1] or c[2] <= match[1] for c in chosen):
@@ -158,17 +167,18 @@ class Index:
         return chosen
 
 
-def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+def aligned(template: np.ndarray, words: np.ndarray, diagonal: int, band: int, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
     """(first word, end word, matched words): the longest common subsequence of the template and the document's words, both
-    taken within `band` words of the diagonal, with the shortest span of those that end first."""
-    width = 2 * band + 1
+    taken within `band` words of the diagonal, with the shortest span of those that end first. Of the document's words those
+    from `low` to before `high` count."""
+    width, high = 2 * band + 1, len(words) if high is None else high
     # Cell k of row i stands for document word i + diagonal - band + k; values are (matched, -start) packed to compare.
     best = np.zeros(width, np.int64)
     begin = np.full(width, -1, np.int64)
     top, span = 0, (0, 0)
     for i, word in enumerate(template.tolist()):
         place = i + diagonal - band + np.arange(width)
-        inside = (place >= 0) & (place < len(words))
+        inside = (place >= low) & (place < high)
         same = inside & (np.where(inside, words[np.clip(place, 0, len(words) - 1)], 0) == word)
         # The row above in document terms is one cell to the right; the diagonal neighbour is the same cell.
         skip, skip_begin = np.append(best[1:], 0), np.append(begin[1:], -1)

@@ -96,5 +96,14 @@ def test_relatives_are_told_apart():
         assert [(m[0], m[3]) for m in scanned(text)] == [(name, 1.0)]
 
 
+def test_every_place_of_a_repeated_notice_is_found():
+    for number in (1, 6, 12, len(TEMPLATES) - 1):
+        name, text = TEMPLATES[number]
+        size = len(license_scan.Index(license_scan.LicenseParams()).words[number])
+        for times in (2, 3, 7):
+            found = sorted(scanned(f"one two. {' '.join([text] * times)} three"))
+            assert found == [(name, 2 + k * size, 2 + (k + 1) * size, 1.0) for k in range(times)]
+
+
 def test_empty_table(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -7,7 +7,8 @@ an item is shorter) begin no benchmark suffix can't be found by any search, so s
 
 Words are runs of 0-9, a-z and non-ASCII characters after A-Z is lower-cased, held as 64-bit hashes. A window is `window`
 words; an item of fewer words, but not none, is one window. The benchmark is sent to the tasks in blocks of at most
-`block_words` words, so neither driver nor tasks hold more of it at once; each block is searched over all documents.
+`block_words` words, so no task holds more of it at once; each block is searched over all documents. A longer item is
+cut to pieces that overlap by `window` - 1 words, each a block; what they find is put together again.
 
 Null and empty texts have no words and are never hit. Items with equal ids count as one; an item without an id
 marks words but is not named. Repeated documents each get their row. An empty benchmark hits nothing, an empty
@@ -93,6 +94,8 @@ class Block:
     owner_item: np.ndarray
     owner_word: np.ndarray
     window: int
+    #: Words of the item before this piece of it.
+    base: int = 0
 
 
 def block_of(items: list[tuple[str | None, str | None]], window: int) -> Block | None:
@@ -215,6 +218,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
 def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
     """The benchmark in blocks of bounded size; one is held at a time."""
+    block_words = min(block_words, (1 << BITS) - 1)
     held, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"), F.octet_length("text")).toLocalIterator():
         words = (row[2] or 0) // 2 + 1
@@ -222,12 +226,39 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Bloc
             if block := block_of(held, window):
                 yield block
             held, size = [], 0
+        if words > block_words:
+            for base, text in pieces(row[1], window, block_words):
+                if block := block_of([(row[0], text)], window):
+                    block.base = base
+                    yield block
+            continue
         held.append((row[0], row[1]))
         size += words
     if block := block_of(held, window) if held else None:
         yield block
 
 
+def pieces(text: str, window: int, block_words: int) -> Iterator[tuple[int, str]]:
+    """(words before it, text) of pieces of at most `block_words` words, a window at least, that hold every window of the text once."""
+    data, offsets = text_bytes(pa.array([text], pa.string()))
+    starts, ends, _ = word_spans(IS_WORD[lower_ascii(data)], offsets)
+    n, step = len(starts), max(1, block_words - window + 1)
+    for base in range(0, max(n - window + 1, min(n, 1)), step):
+        yield base, data[starts[base] : ends[min(n, base + step + window - 1) - 1]].tobytes().decode()
+
+
+def _joined(found: list[dict], match: dict, block: Block) -> bool:
+    """Whether a match that begins a piece of an item goes on from one that ends the piece before; then that one is longer now."""
+    if block.base == 0 or match["item_word"] != block.base:
+        return False
+    for last in found:
+        end = last["item_word"] + last["n_words"]
+        if last["item_id"] == match["item_id"] and end == block.base + block.window - 1 and last["doc_word"] - last["item_word"] == match["doc_word"] - match["item_word"]:
+            last["n_words"] += match["n_words"] - block.window + 1
+            return True
+    return False
+
+
 def _search(sent, with_matches: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
@@ -267,11 +298,13 @@ def _searched(part: pa.RecordBatch, block: Block | None, with_matches: bool) ->
         in_doc, which = np.divmod(pair, block.suffixes.shape[1])
         source, own = owners(which, block)
         for d, i in np.unique(np.stack([in_doc[source], block.owner_item[own]]), axis=1).T.tolist():
-            if block.ids[i] is not None:
+            if block.ids[i] is not None and not (block.base and block.ids[i] in names[d]):
                 names[d].append(block.ids[i])
         if with_matches:
             for d, i, at, word, size in zip(*(x.tolist() for x in longest_matches(place, suffix, doc, block)), strict=True):
-                found[d].append({"item_id": block.ids[i], "doc_word": at - int(first[d]), "item_word": word, "n_words": size})
+                match = {"item_id": block.ids[i], "doc_word": at - int(first[d]), "item_word": word + block.base, "n_words": size}
+                if not _joined(found[d], match, block):
+                    found[d].append(match)
     columns = [part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), *runs, pa.array(names, pa.list_(pa.string())), pa.array(found, pa.list_(_MATCH))]
     return pa.RecordBatch.from_arrays(columns, names=["row_id", "text", "n_words", "hit_start", "hit_end", "items", "matches"])
 

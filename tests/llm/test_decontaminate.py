@@ -75,3 +75,19 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.digests(docs, none).collect()] == [(1, 3, 0, 0)]
     assert decontaminate.digests(docs.limit(0), none).count() == 0
+
+
+def test_an_item_above_the_bound_is_searched_in_pieces(spark):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(40)}" for _ in range(90)]
+    texts = [" ".join(item), "x " + " ".join(item[20:60]) + " y", " ".join(item[8:13]), "é, ".join(item[:50] + ["z"] + item[9:80]), "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([("long", " é ".join(item)), ("long2", ", ".join(item)), (None, " ".join(item[30:70]))], "item_id string, text string")
+    blocks = list(decontaminate.blocks(benchmark, 4, 50))
+    assert len(blocks) > 4 and all(len(b.vocabulary.numbers) <= 50 and len(b.owner_word) <= 50 for b in blocks)
+    key = lambda m: (m[0] or "", *m[1:])
+    whole, cut = (
+        {r.doc_id: (r.hit_start, r.hit_end, sorted(r.items), sorted(map(tuple, r.matches), key=key)) for r in decontaminate.scan(docs, benchmark, 4, n).collect()} for n in (1 << 20, 50)
+    )
+    assert whole == cut and ("long2", 0, 0, 90) in whole[0][3]
+    assert list(decontaminate.pieces("a b", 4, 1)) == [(0, "a b")] and list(decontaminate.pieces("--", 4, 1)) == []

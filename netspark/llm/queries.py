@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from netspark.llm import (
     byte_bpe,
     decontaminate,
+    hilbert_shards,
     language_id,
     license_scan,
     lm_scoring,
+    merkle_manifest,
     pii_weak,
     quality_mcd,
     simhash_vp,
+    spelling_fst,
     suffix_dedup,
     token_files,
 )
+from netspark.llm.checks import CHECKS as CHECKS
 from netspark.llm.common import read
 
 
@@ -62,6 +66,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_fst.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.shards(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_personal_data": op2_personal_data,
@@ -73,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hilbert_sharding": op13_hilbert_sharding,
 }
-
-CHECKS: dict[str, str] = {}

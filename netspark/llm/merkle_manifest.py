@@ -370,11 +370,11 @@ def paths(made: Manifest, params: MerkleParams = MerkleParams()) -> DataFrame:
     return found
 
 
-FOLDED = "tree string, doc_id long, leaf string, proof_sha256 string, folded_root string"
+FOLDED = "tree string, doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string"
 
 
 def fold(made: Manifest, params: MerkleParams = MerkleParams()) -> DataFrame:
-    """tree, doc_id, leaf, proof_sha256 and folded_root of every leaf: its carried digest climbs to the root in its place."""
+    """tree, doc_id, leaf, subroot, proof_sha256 and folded_root of every leaf: its carried digest climbs to the root in its place."""
     arity = params.arity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,11 +389,20 @@ def fold(made: Manifest, params: MerkleParams = MerkleParams()) -> DataFrame:
                 for step in path_steps(row["path"] or b"", arity, n):
                     climb.step(*step)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["tree"]] * n, pa.string()), pa.array(ids, mask=carried[:, 8] == 0), *map(as_text, (unpack(row["leaves"]), climb.proofs(), climb.digest))],
-                    names=["tree", "doc_id", "leaf", "proof_sha256", "folded_root"],
+                    [
+                        pa.array([row["tree"]] * n, pa.string()),
+                        pa.array(ids, mask=carried[:, 8] == 0),
+                        as_text(unpack(row["leaves"])),
+                        pa.array([row["subroot"].hex()] * n, pa.string()),
+                        as_text(climb.proofs()),
+                        as_text(climb.digest),
+                    ],
+                    names=["tree", "doc_id", "leaf", "subroot", "proof_sha256", "folded_root"],
                 )
 
-    blocks = made.rounds[0].join(paths(made, params), ["tree", "block"], "left")
+    # What all leaves of a tree share is joined to its blocks, not to its leaves.
+    subroots = made.subroots.select("tree", F.col("node").alias("subroot"))
+    blocks = made.rounds[0].join(paths(made, params), ["tree", "block"], "left").join(subroots, "tree")
     return blocks.mapInArrow(run, FOLDED)
 
 
@@ -409,9 +418,6 @@ def digests(docs: DataFrame, params: MerkleParams = MerkleParams()) -> DataFrame
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every document."""
     chosen = docs.select(*FIELDS)
     made = manifest(chosen.select(tree_of().alias("tree"), F.col("doc_id").cast("bigint").alias("doc_id"), leaf().alias("leaf"), F.unhex(tampered()).alias("carried")), params)
-    subroots = made.subroots.select("tree", F.lower(F.hex("node")).alias("subroot"))
     root = made.root.select(F.lower(F.hex("node")).alias("root")).first()
     top = F.lit(root["root"] if root else None).cast("string")
-    return fold(made, params).join(subroots, "tree").select(
-        "doc_id", "leaf", "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified")
-    )
+    return fold(made, params).select("doc_id", "leaf", "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified"))

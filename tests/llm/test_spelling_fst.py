@@ -69,6 +69,8 @@ def documents():
     rng = random.Random(4)
     rows = [(i, " ".join("".join(rng.choice("abA") for _ in range(rng.randint(5, 9))) for _ in range(50))) for i in range(300)]
     rows += [(1000 + i, f"separate separate, separate receive {rng.choice(['seperate', 'separat', 'recieve', 'receve'])}") for i in range(60)]
+    # A variant's variant.
+    rows += [(3000, "alphabet " * 400), (3001, "alphabett " * 50), (3002, "alphabettt " * 8)]
     rows += [(None, None), (None, ""), (3, "éàçüÿ× éàçüÿ× éàçüÿx " * 9), (None, "Hellow helloww helloww! " * 4), (2000, ("q" * 3000 + " ") * 6 + ("q" * 2999 + " ") * 40)]
     return rows + rows[:5]
 

@@ -147,6 +147,13 @@ class Encoder:
     def split(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def forget(self) -> None:
+        """Empty the memories; the vocabulary stays."""
+        for memory in (self.pieces, self.parts):
+            memory.clear()
+            memory.older = {}
+        self.vocabulary.known.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         first, *rest = CUT.split(text)
@@ -159,17 +166,39 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and `ids` (binary, little-endian unsigned 32-bit) of every row's whole text."""
+def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """key and `ids` (binary, little-endian unsigned 32-bit) of every row's whole text; with `decoded` also the bytes that the ids stand for.
+
+    Memories of pieces last for a task and are emptied when it ends, so a worker that waits for other work holds the
+    vocabulary alone. Decoding in the same pass spares a second worker with a vocabulary of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for part in slices(batches, SLICE):
-            ids = [own.encode(value) if value else b"" for value in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
+        try:
+            for part in slices(batches, SLICE):
+                ids = [own.encode(value) if value else b"" for value in part.column(1).to_pylist()]
+                columns, names = [part.column(0), pa.array(ids, pa.binary())], [key, "ids"]
+                if decoded:
+                    columns.append(pa.array([_bytes_of(x, own.vocabulary.bytes) for x in ids], pa.binary()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            own.forget()
 
     chosen = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+    return chosen.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary" + ", decoded binary" * decoded)
+
+
+def _bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    with open(path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
 
 
 def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -177,10 +206,9 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(path, public_tokenizers.PATTERN).vocabulary.bytes.__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            texts = [b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in batch.column(at)]
+            texts = [_bytes_of(x.as_buffer(), tokens(path)) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
@@ -188,7 +216,7 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document's round trip."""
-    done = decode(encode(docs, path), path)
+    done = encode(docs, path, decoded=True)
     return done.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),

@@ -400,9 +400,9 @@ def fold(made: Manifest, params: MerkleParams = MerkleParams()) -> DataFrame:
                     names=["tree", "doc_id", "leaf", "subroot", "proof_sha256", "folded_root"],
                 )
 
-    # What all leaves of a tree share is joined to its blocks, not to its leaves.
-    subroots = made.subroots.select("tree", F.col("node").alias("subroot"))
-    blocks = made.rounds[0].join(paths(made, params), ["tree", "block"], "left").join(subroots, "tree")
+    # What all leaves of a tree share is joined to its paths, the smallest rows; blocks move once, by their own number.
+    shared = paths(made, params).join(made.subroots.select("tree", F.col("node").alias("subroot")), "tree")
+    blocks = made.rounds[0].join(shared, ["tree", "block"])
     return blocks.mapInArrow(run, FOLDED)
 
 

@@ -70,10 +70,15 @@ def ip_number(ip: Column) -> Column:
 
 
 def _within(number: Column, blocks: list[tuple[str, str]]) -> Column:
-    test = F.lit(False)
-    for first, last in blocks:
-        test = test | number.between(to_number(first), to_number(last))
-    return F.coalesce(test, F.lit(False))
+    """Is the number in one of the blocks? It is bound once, in an array of one, instead of standing in every comparison."""
+
+    def test(n: Column) -> Column:
+        found = F.lit(False)
+        for first, last in blocks:
+            found = found | n.between(to_number(first), to_number(last))
+        return found
+
+    return F.coalesce(F.get(F.transform(F.array(number), test), F.lit(0)), F.lit(False))
 
 
 def is_multicast_or_broadcast(ip: Column) -> Column:

@@ -85,8 +85,10 @@ def from_ddos(results: DataFrame, window_seconds: float) -> DataFrame:
 def from_port_scan(results: DataFrame, window_seconds: float) -> DataFrame:
     window = F.lit(float(window_seconds))
     reasoning = F.concat(
-        _text("distinct_ports"), F.lit(" distinct ports touched across "), _text("distinct_targets"),
-        F.lit(" targets in a "), float_text(window), F.lit("s window."),
+        _text("distinct_ports"), F.lit(" distinct ports touched"),
+        # Unknown for normal rows where only flagged ones have details.
+        F.coalesce(F.concat(F.lit(" across "), _text("distinct_targets"), F.lit(" targets")), F.lit("")),
+        F.lit(" in a "), float_text(window), F.lit("s window."),
     )
     payload = F.struct(
         "verdict",

@@ -176,9 +176,14 @@ def port_scan_windows(
     new_flows: DataFrame,
     checks: DataFrame | None = None,
     p: PortScanParams = PortScanParams(),
-    detail: bool = True,
+    detail: bool | str = True,
 ) -> DataFrame:
-    """Distinct ports, verdict and confidence per check row; ``detail`` adds targets, span and rate."""
+    """Distinct ports, verdict and confidence per check row; ``detail`` adds targets, span and rate.
+
+    ``detail="flagged"`` works them out for rows whose verdict is not normal and leaves them null on all others.
+    """
+    if detail == "flagged":
+        return _flagged_port_scan_windows(new_flows, new_flows if checks is None else checks, p)
     checks = (new_flows if checks is None else checks).withColumn("src", host_number(F.col("src_ip")))
     hosts = [host_number(F.col(f"{end}_ip")).alias(end) for end in ("src", "dst")]
     events = new_flows.select(*hosts, "dst_port", "ts_us")
@@ -226,6 +231,23 @@ def port_scan_windows(
     )
 
 
+def _flagged_port_scan_windows(new_flows: DataFrame, checks: DataFrame, p: PortScanParams) -> DataFrame:
+    """Port counts for all rows, then the sweep over targets for what the flagged rows can see.
+
+    Windows that end in a bucket of one window's width begin in that bucket or the one before, so a contact matters only
+    if its source has a flagged check in its own bucket or the next. Contacts beyond a window leave its counts before it
+    is checked, so the counts over this part of the contacts are those over all of them. The (source, bucket) pairs are few
+    where scans are few; the semi-join is an equi join in which a source is spread over its buckets.
+    """
+    counted = stage(port_scan_windows(new_flows, checks, p, detail=False), "port-counts")
+    flagged = counted.filter(F.col("verdict") != NORMAL)
+    bucket = F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(p.window_us))
+    seen = flagged.select("src_ip", F.explode(F.array(bucket, bucket - F.lit(p.window_us))).alias("_bucket")).distinct()
+    contacts = new_flows.withColumn("_bucket", bucket).join(seen, ["src_ip", "_bucket"], "left_semi").drop("_bucket")
+    detailed = port_scan_windows(contacts, flagged.select(*checks.columns), p)
+    return detailed.unionByName(counted.filter(F.col("verdict") == NORMAL), allowMissingColumns=True)
+
+
 # ---- password guessing ----------------------------------------------------------
 TRIPLE = ["src_ip", "dst_ip", "dst_port"]
 

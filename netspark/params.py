@@ -73,7 +73,23 @@ class AnomalyParams:
 @dataclass(frozen=True)
 class VerdictParams:
     min_score: float = -0.03
-    calls_per_minute: int = 35
+    calls_per_minute: int = 35  # in any trailing ``budget_seconds``
+    budget_seconds: float = 60.0
+    queue_length: int = 500
+    poll_seconds: float = 2.0
+    chunk_seconds: float = 3600.0  # folded in one task
+
+    @property
+    def budget_us(self) -> int:
+        return int(self.budget_seconds * 1_000_000)
+
+    @property
+    def poll_us(self) -> int:
+        return int(self.poll_seconds * 1_000_000)
+
+    @property
+    def chunk_us(self) -> int:
+        return int(self.chunk_seconds * 1_000_000)
 
 
 @dataclass(frozen=True)

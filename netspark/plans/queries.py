@@ -13,6 +13,7 @@ from netspark.functions import ip as ipf
 from netspark.functions.text import utc_text
 from netspark.operators import (
     anomaly,
+    budget as bud,
     evidence as ev,
     features as fe,
     flows as fl,
@@ -374,6 +375,16 @@ query("w3_port_scan_ports", "select flow_id, src_ip, distinct_ports from port_sc
 query("w4_port_scan_targets", "select flow_id, src_ip, distinct_ports, distinct_targets from port_scan")(
     lambda t: win.port_scan_windows(t.new_flows(), None, PORT_SCAN).select("flow_id", "src_ip", "distinct_ports", "distinct_targets")
 )
+query(
+    "w4_flagged",
+    f"""select flow_id, distinct_ports, verdict, {r6('confidence_pct')}, case when verdict <> 'NORMAL' then distinct_targets end distinct_targets,
+  case when verdict <> 'NORMAL' then scan_start_us end scan_start_us, case when verdict <> 'NORMAL' then scan_end_us end scan_end_us,
+  case when verdict <> 'NORMAL' then round(ports_per_second::double, 6) end ports_per_second from port_scan""",
+)(
+    lambda t: win.port_scan_windows(t.new_flows(), None, PORT_SCAN, detail="flagged").select(
+        "flow_id", "distinct_ports", "verdict", "confidence_pct", "distinct_targets", "scan_start_us", "scan_end_us", "ports_per_second"
+    )
+)
 query(
     "w5_scan_span",
     f"select flow_id, scan_start_us, scan_end_us, {r6('duration_seconds', 'ports_per_second')} from port_scan",
@@ -520,6 +531,25 @@ query(
     """select flow_id, row_number() over (partition by last_us // 60000000 order by finish_seq) <= 2 admitted
 from scored_features where verdict = 'SUSPICIOUS' and score < -0.03""",
 )(lambda t: ver.admit(ver.candidates(t.scored_features()), "finish_seq", _BUDGET).select("flow_id", "admitted"))
+# Events are minutes apart, so the trailing window is hours long; no queue, as SQL has the plain admission.
+_TRAILING = VerdictParams(calls_per_minute=3, budget_seconds=6 * 3600.0, queue_length=0, chunk_seconds=86_400.0)
+query(
+    "l2_trailing_budget",
+    f"""select * from (with recursive c as (
+  select flow_id, last_us t, row_number() over (order by last_us, finish_seq) i from scored_features where verdict = 'SUSPICIOUS' and score < -0.03),
+calls as (
+  select i, flow_id, t, [t] held from c where i = 1
+  union all
+  select n.i, n.flow_id, n.t, list_append(if(len(held) < {_TRAILING.calls_per_minute}, held, held[2:]), n.t)
+  from calls p, lateral (
+    select min(c.i) i, arg_min(c.flow_id, c.i) flow_id, arg_min(c.t, c.i) t from c
+    where c.i > p.i and (len(p.held) < {_TRAILING.calls_per_minute} or c.t > p.held[1] + {_TRAILING.budget_us})) n where n.i is not null)
+select c.flow_id, case when a.i is null then 'dropped' else 'called' end outcome, a.t called_us from c left join calls a using (i))""",
+)(
+    lambda t: bud.schedule(
+        ver.candidates(t.scored_features()).withColumn("ts_us", F.col("last_us")), "finish_seq", _TRAILING
+    ).select("flow_id", "outcome", "called_us")
+)
 query("l3_parsed_responses", "select flow_id, available, attack_type, confidence, review_reasoning, error from parsed")(
     lambda t: ver.parse_verdicts(t.responses())
 )

@@ -162,7 +162,7 @@ class Tables:
         return evidence.evidence(
             evidence.from_anomaly(judged, IDENTITY_COLUMNS + FEATURE_COLUMNS),
             evidence.from_ddos(windows.ddos_windows(started, checks, PACKET_DDOS), PACKET_DDOS.window_seconds),
-            evidence.from_port_scan(windows.port_scan_windows(started, checks, PACKET_SCAN), PACKET_SCAN.window_seconds),
+            evidence.from_port_scan(windows.port_scan_windows(started, checks, PACKET_SCAN, "flagged"), PACKET_SCAN.window_seconds),
             evidence.from_brute_force(windows.brute_force_windows(attempts, PACKET_GUESS), PACKET_GUESS.window_seconds),
         )
 

@@ -84,6 +84,20 @@ def test_geo_lookup(spark):
     assert len(got) == 6
 
 
+def test_geo_lookup_of_many_ranges_and_a_hot_address(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = sorted(rng.sample(range(ipf.to_number("11.0.0.0"), ipf.to_number("12.0.0.0"), 7), 80))
+    ranges = [(a, b, f"C{a}", "CC", None, 0.0, 0.0, "AS1 x", "o") for a, b in zip(edges[::2], edges[1::2])]
+    numbers = [rng.randrange(edges[0] - 9, edges[-1] + 9) for _ in range(300)] + edges + [edges[0]] * 400
+    text = lambda n: ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
+    rows = spark.createDataFrame([(i, text(n)) for i, n in enumerate(numbers)], "i int, ip string")
+    expected = [next((r[2] for r in ranges if r[0] <= n <= r[1]), None) for n in numbers]
+    for most in (geo.MOST_SENT, 0):
+        monkeypatch.setattr(geo, "MOST_SENT", most)
+        got = geo.geo_enrich(rows, "ip", spark.createDataFrame(ranges, GEO_RANGES)).orderBy("i").collect()
+        assert [r["country"] for r in got] == expected
+
+
 def test_alert_text(spark):
     df = spark.createDataFrame([(1, "x", "ddos", "", "  a: 1")], "seq int, src_ip string, attack_type string, reasoning string, detail string")
     row = R.alert_messages(df, "brand").collect()[0]

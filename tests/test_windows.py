@@ -152,3 +152,18 @@ def test_transitions_buffer_and_summary(spark):
     assert [tuple(r) for r in counted] == [(3, 1, 0, 2, 0), (6, 2, 1, 3, 0)]
     recent = spark.createDataFrame([(i, i * 100 * S) for i in range(6)], "arrival_seq bigint, ts_us bigint")
     assert [r["arrival_seq"] for r in W.evidence_buffer(recent, EvidenceParams(300.0)).collect()] == [2, 3, 4, 5]
+
+
+def test_flagged_detail_equals_full(spark):
+    p = PortScanParams(10.0, 5, 4)
+    rows = random_flows(5, 200, 200.0) + [(90 + i / 10, "10.0.0.9", f"192.168.0.{i % 4}", 7000 + i) for i in range(12)]
+    table = new_flows(spark, rows)
+    some = checks(spark, [(t, s) for t, s, *_ in rows[::3]] + [(95.0, "10.0.0.9"), (-3.0, "10.0.0.9"), (150.0, "none")])
+    for check in (None, some):
+        key = "flow_id" if check is None else "check_id"
+        full = {r[key]: r.asDict() for r in W.port_scan_windows(table, check, p).collect()}
+        got = {r[key]: r.asDict() for r in W.port_scan_windows(table, check, p, detail="flagged").collect()}
+        hidden = {"distinct_targets", "scan_start_us", "scan_end_us", "duration_seconds", "ports_per_second"}
+        assert got.keys() == full.keys() and {r["verdict"] for r in full.values()} > {"NORMAL"}
+        for k, row in full.items():
+            assert got[k] == {c: None if c in hidden and row["verdict"] == "NORMAL" else v for c, v in row.items()}

@@ -1,7 +1,8 @@
-"""Per-key folds over streams: password guessing, incidents, alert limits.
+"""Per-key folds over streams: password guessing, incidents, alert limits, verdict changes.
 
 The state of a key is small and bounded: the attempt times inside one window, an open
-flag with a number, or one time. Rows of a micro-batch are taken in arrival order.
+flag with a number, one time, or one verdict. Rows of a micro-batch are taken in arrival order. Alert limits and verdict changes
+forget keys by timers of event time; start them inside ``windows.rocksdb_state``, which their state needs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from netspark.operators.incidents import incident_id, incident_key, never_counts
 from netspark.operators.windows import TRIPLE, watched
@@ -119,29 +122,94 @@ def stream_correlate(rows: DataFrame) -> DataFrame:
     return attached.withColumn("incident_id", incident_id(F.col("key"), F.col("incident_no")))
 
 
-def stream_alerts(events: DataFrame, p: AlertParams = AlertParams(), idle_seconds: float | None = None) -> DataFrame:
-    """Attack events with ``sent``: at most one per source and rate limit.
+class _Keyed(StatefulProcessor):
+    """One value per key, forgotten by a timer of event time."""
 
-    A source without events for ``idle_seconds`` of processing time (choose more than the limit) is forgotten.
-    """
-    limit = p.rate_limit_us
+    schema = "value bigint"
 
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _rows(batches, "seq").sort_values("ts_us", kind="stable")
-        last = state.get[0] if state.exists else None
-        sent = []
-        for t in rows["ts_us"]:
-            go = last is None or t - last >= limit
-            last = int(t) if go else last
-            sent.append(go)
-        state.update((last,))
-        if idle_seconds is not None:
-            state.setTimeoutDuration(int(idle_seconds * 1000))
-        yield pd.DataFrame({"seq": rows["seq"], "ts_us": rows["ts_us"], "src_ip": key[0], "sent": sent})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.schema)
+
+    def keep(self, value: tuple, until_us: int | None) -> None:
+        """The value, until the watermark has passed `until_us`."""
+        self.value.update(value)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until_us is not None:
+            self.handle.registerTimer(-(-until_us // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Alerts(_Keyed):
+    schema = "last bigint"
+
+    def __init__(self, limit_us: int):
+        self.limit_us = limit_us
 
-    return events.select("src_ip", "seq", "ts_us").groupBy("src_ip").applyInPandasWithState(
-        fold, "seq bigint, ts_us bigint, src_ip string, sent boolean", "last bigint", "append", _timeout(idle_seconds)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
+        times = frame["ts_us"].to_numpy()
+        sent = np.zeros(len(times), bool)
+        last = self.value.get()[0] if self.value.exists() else None
+        at = 0 if last is None else int(np.searchsorted(times, last + self.limit_us))
+        while at < len(times):  # from one sent alert to the next
+            sent[at], last = True, int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, last + self.limit_us)))
+        # Once the limit has run out, an event is sent whether the last one is known or not.
+        self.keep((last,), last + self.limit_us)
+        yield pd.DataFrame({"seq": frame["seq"].to_numpy(), "ts_us": times, "src_ip": key[0], "sent": sent})
+
+
+def stream_alerts(events: DataFrame, p: AlertParams = AlertParams(), delay: str = "0 seconds") -> DataFrame:
+    """Attack events with ``sent``: at most one per source and rate limit; times must not run backwards per source.
+
+    A source is in the state while its limit runs, by event time, which changes no result and makes a replay the same as the
+    live run. Events behind the watermark, which is ``delay`` behind the newest event, are dropped.
+    """
+    timed = events.select("src_ip", "seq", "ts_us", F.timestamp_micros("ts_us").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("src_ip").transformWithStateInPandas(
+        _Alerts(p.rate_limit_us), "seq bigint, ts_us bigint, src_ip string, sent boolean", "append", "eventTime"
     )
+
+
+class _Transitions(_Keyed):
+    schema = "verdict string"
+
+    def __init__(self, columns: list[str], order: str, to: str | None, idle_us: int | None):
+        self.columns, self.order, self.to, self.idle_us = columns, order, to, idle_us
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order)
+        before = self.value.get()[0] if self.value.exists() else NORMAL
+        previous = frame["verdict"].shift(1)
+        previous.iloc[0] = before
+        self.keep((frame["verdict"].iloc[-1],), None if self.idle_us is None else int(frame["ts_us"].max()) + self.idle_us)
+        changed = frame["verdict"] != previous
+        if self.to is not None:
+            changed &= frame["verdict"] == self.to
+        if changed.any():
+            yield frame.assign(previous_verdict=previous)[changed][[*self.columns, "previous_verdict"]]
+
+
+def stream_transitions(
+    results: DataFrame, keys: list[str], order: str, to: str | None = ATTACK, idle_seconds: float | None = None, delay: str = "0 seconds"
+) -> DataFrame:
+    """Rows whose verdict differs from the key's previous one, like ``verdict_transitions``; ``results`` has ``ts_us``.
+
+    The state of a key is its last verdict. Micro-batches must follow ``order``, as the window detectors' do. With
+    ``idle_seconds`` a key without results for so long, by event time, counts as normal again.
+    """
+    timed = results.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
+    by = keys or ["_all"]
+    if not keys:
+        timed = timed.withColumn("_all", F.lit(0))
+    out = StructType([*results.schema.fields, StructField("previous_verdict", StringType())])
+    idle_us = None if idle_seconds is None else int(idle_seconds * 1e6)
+    return timed.groupBy(*by).transformWithStateInPandas(_Transitions(results.columns, order, to, idle_us), out, "append", "eventTime")

@@ -60,31 +60,47 @@ def test_flows_span_micro_batches(spark, tmp_path):
     assert {r for r in every if r[9]} <= set(done) and len(done) > len([r for r in every if r[9]])
 
 
+def shuffled(rows, delay_us, seed):
+    """Arrival order in which a row is behind others by less than the delay."""
+    rng = random.Random(seed)
+    return sorted(rows, key=lambda r: r[2] + rng.randrange(delay_us))
+
+
 def test_window_detectors_equal_batch(spark, tmp_path):
-    rows = sorted(random_flows(21, 160))
-    table = spark.createDataFrame([(i, i, int(t * 10) * 100_000, s, d, p) for i, (t, s, d, p) in enumerate(rows)], FLOWS)
+    """Ten micro-batches whose rows come up to five seconds late and out of order; the last flows only close what is before."""
+    rows = random_flows(21, 200) + [(float(i), "10.0.0.7", "192.168.0.9", 9000 + i) for i in range(20, 26)]
+    flows = [(i, i, int(t * 10) * 100_000, s, d, p) for i, (t, s, d, p) in enumerate(rows)]
+    late = shuffled(flows, 5 * S, 1)
+    assert late != sorted(flows, key=lambda r: r[2])
+    ends = [(9000 + i, 9000 + i, (200 + 100 * i) * S, "end", "end", 1) for i in range(2)]
+    order = [(*r, i) for i, r in enumerate(late + ends)]
+    source = arriving(spark.createDataFrame(order, FLOWS + ", seq bigint"), str(tmp_path / "in"), 10, "seq").drop("seq")
+    table = spark.createDataFrame(flows, FLOWS)
     ddos, scan = DdosParams(10.0, 40, 3, 30, 3), PortScanParams(10.0, 5, 3)
-    # Files are cut between distinct times, so no row's peers arrive later.
-    table = table.dropDuplicates(["ts_us"])
-    source = arriving(table, str(tmp_path / "in"), 3, "ts_us")
     for name, window, detect, columns in (
         ("ddos", ddos.window_us, lambda f, c: W.ddos_windows(f, c, ddos), ["flow_id", "total_flows", "distinct_sources", "verdict"]),
         ("scan", scan.window_us, lambda f, c: W.port_scan_windows(f, c, scan), ["flow_id", "distinct_ports", "distinct_targets", "verdict"]),
     ):
         base = f"{tmp_path}/{name}"
-        q = SW.start_window_detector(source, f"{base}/store", f"{base}/out", f"{base}/state", window, detect, 0, availableNow=True)
+        q = SW.start_window_detector(source, f"{base}/out", f"{base}/state", window, detect, "5 seconds", 4, availableNow=True)
         q.awaitTermination()
-        assert values(spark.read.parquet(f"{base}/out"), *columns) == values(detect(table, table), *columns)
-
-
-def test_store_drops_whole_hours(spark, tmp_path):
-    hour = SW.HOUR_US
-    table = spark.createDataFrame([(i, i, t, "a", "b", 1) for i, t in enumerate([0, hour, 5 * hour, 5 * hour + 1])], FLOWS)
-    source = arriving(table, str(tmp_path / "in"), 4, "ts_us")
-    q = SW.start_window_detector(source, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/state", hour, lambda f, c: c, 0, availableNow=True)
+        found = spark.read.parquet(f"{base}/out").filter("flow_id < 9000")
+        assert values(found, *columns) == values(detect(table, table), *columns)
+        kept = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+        assert not any(p["numRowsDroppedByWatermark"] for p in kept)
+        # What lies behind the watermark leaves the state.
+        assert kept[-1]["numRowsTotal"] < max(p["numRowsTotal"] for p in kept)
+
+
+def test_flows_after_their_bucket_are_dropped(spark, tmp_path):
+    times = [1, 2, 50, 51, 3, 120, 300]  # seconds; the fifth comes when its bucket has closed
+    rows = [(i, i, t * S, "a", "b", 1, i) for i, t in enumerate(times)]
+    source = arriving(spark.createDataFrame(rows, FLOWS + ", seq bigint"), str(tmp_path / "in"), 7, "seq").drop("seq")
+    p = DdosParams(10.0)
+    q = SW.start_window_detector(source, f"{tmp_path}/out", f"{tmp_path}/state", p.window_us, lambda f, c: W.ddos_windows(f, c, p), salts=2, availableNow=True)
     q.awaitTermination()
-    assert sorted(x.name for x in (tmp_path / "store").glob("hour=*")) == ["hour=5"]
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    found = {r.flow_id: r.total_flows for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {0: 1, 1: 2, 2: 1, 3: 2, 5: 1}
 
 
 def test_brute_force_equals_batch(spark, tmp_path):
@@ -114,11 +130,42 @@ def test_incidents_equal_batch(spark, tmp_path):
     assert values(got, *columns) == values(I.correlate(ev, acts), *columns)
 
 
-def test_alerts_equal_batch(spark, tmp_path):
+def run_in_rocksdb(stream, out, checkpoint):
+    with SW.rocksdb_state(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), q
+
+
+def test_alerts_equal_batch_and_leave_the_state(spark, tmp_path):
     rng = random.Random(4)
     times = rng.sample(range(5000), 200)
-    table = spark.createDataFrame([(t, t, rng.choice(["a", "b"])) for t in times], "seq bigint, ts_us bigint, src_ip string")
-    p = AlertParams(rate_limit_seconds=70e-6)
-    source = arriving(table, str(tmp_path / "in"), 3, "ts_us")
-    got = run(stateful.stream_alerts(source, p), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = [(t, t * 1000, rng.choice(["a", "b"]) if t < 2500 else "c") for t in times]
+    table = spark.createDataFrame(rows, "seq bigint, ts_us bigint, src_ip string")
+    p = AlertParams(rate_limit_seconds=0.07)
+    source = arriving(table, str(tmp_path / "in"), 5, "ts_us")
+    got, q = run_in_rocksdb(stateful.stream_alerts(source, p), str(tmp_path / "out"), str(tmp_path / "state"))
     assert values(got, "seq", "sent") == values(R.rate_limited_alerts(table, p), "seq", "sent")
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 2 and kept[-1] <= 1  # a and b went quiet
+
+
+def test_transitions_equal_batch_over_restarts(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, (i + 1) * S, f"k{rng.randrange(4)}", rng.choice(["NORMAL", "NORMAL", "SUSPICIOUS", "ATTACK"])) for i in range(160)]
+    schema = "flow_id bigint, ts_us bigint, src_ip string, verdict string"
+    table = spark.createDataFrame(rows, schema)
+    for name, keys, to in (("keyed", ["src_ip"], "ATTACK"), ("global", [], None)):
+        base = f"{tmp_path}/{name}"
+        for part in (rows[:90], rows[90:]):  # the second run goes on from the first one's checkpoint
+            source = arriving(spark.createDataFrame(part, schema), f"{base}/in", 2, "flow_id")
+            got, _ = run_in_rocksdb(stateful.stream_transitions(source, keys, "flow_id", to), f"{base}/out", f"{base}/state")
+        columns = ["flow_id", "src_ip", "verdict", "previous_verdict"]
+        assert values(got, *columns) == values(W.verdict_transitions(table, keys, "flow_id", to), *columns)
+
+
+def test_idle_keys_are_normal_again(spark, tmp_path):
+    rows = [(0, 1, "k", "ATTACK"), (1, 1 * S, "other", "NORMAL"), (2, 100 * S, "other", "NORMAL"), (3, 101 * S, "other", "NORMAL"), (4, 102 * S, "k", "ATTACK")]
+    source = arriving(spark.createDataFrame(rows, "flow_id bigint, ts_us bigint, src_ip string, verdict string"), str(tmp_path / "in"), 5, "flow_id")
+    got, _ = run_in_rocksdb(stateful.stream_transitions(source, ["src_ip"], "flow_id", idle_seconds=30.0), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert values(got, "flow_id") == [(0,), (4,)]

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netspark.operators.flows import _LEFTOVER, KEY, closes, with_flow_key
@@ -97,6 +98,32 @@ def _sums(packed: pd.Series) -> pd.Series:
     return packed.map(np.frombuffer)
 
 
+def _arrays(rows: pd.DataFrame, order: np.ndarray) -> dict[str, np.ndarray]:
+    p = {c: rows[c].to_numpy()[order] for c in _PACKET_COLUMNS}
+    for c in ("size", "header_size", "payload_size"):
+        p[c] = p[c].astype(float)
+    return p
+
+
+def _take(p: dict[str, np.ndarray], held: tuple | None, timeout_us: int, protocol: int) -> tuple[list[tuple], tuple | None]:
+    """The flows that a key's next packets, in order, finish, and the one that stays open."""
+    done, times, ends = [], p["ts_us"], p["closes"].astype(bool)
+    if held is not None and times[0] - held[6] >= timeout_us:
+        done.append((protocol, False, int(held[8][0]), *_pack(held)))
+        held = None
+    breaks = np.flatnonzero(ends[:-1] | (np.diff(times) >= timeout_us)) + 1
+    edges = [0, *breaks.tolist(), len(times)]
+    for i in range(len(edges) - 1):
+        part = slice(edges[i], edges[i + 1])
+        summary = _summarise(p, part, held)
+        held = summary if held is None else _extend(held, summary)
+        closed = bool(ends[edges[i + 1] - 1])
+        if closed or i < len(edges) - 2:
+            done.append((protocol, closed, int(held[8][0]), *_pack(held)))
+            held = None
+    return done, held
+
+
 def _assemble(params: FlowParams):
     timeout_us = params.idle_timeout_us
     if timeout_us is None:
@@ -117,23 +144,9 @@ def _assemble(params: FlowParams):
             frames = list(batches)
             rows = frames[0] if len(frames) == 1 else pd.concat(frames)
             order = np.argsort(rows["arrival_seq"].to_numpy(), kind="stable")
-            p = {c: rows[c].to_numpy()[order] for c in _PACKET_COLUMNS}
-            for c in ("size", "header_size", "payload_size"):
-                p[c] = p[c].astype(float)
-            times, ends = p["ts_us"], p["closes"].astype(bool)
-            if held is not None and times[0] - held[6] >= timeout_us:
-                done.append((protocol, False, int(held[8][0]), *_pack(held)))
-                held = None
-            breaks = np.flatnonzero(ends[:-1] | (np.diff(times) >= timeout_us)) + 1
-            edges = [0, *breaks.tolist(), len(times)]
-            for i in range(len(edges) - 1):
-                part = slice(edges[i], edges[i + 1])
-                summary = _summarise(p, part, held)
-                held = summary if held is None else _extend(held, summary)
-                closed = bool(ends[edges[i + 1] - 1])
-                if closed or i < len(edges) - 2:
-                    done.append((protocol, closed, int(held[8][0]), *_pack(held)))
-                    held = None
+            p = _arrays(rows, order)
+            more, held = _take(p, held, timeout_us, protocol)
+            done += more
         if held is None:
             if state.exists:
                 state.remove()
@@ -148,6 +161,83 @@ def _assemble(params: FlowParams):
     return assemble
 
 
+class _Reorder(StatefulProcessor):
+    """One flow key: packets that wait for the watermark, the open flow, and one timer for whichever is due first."""
+
+    def __init__(self, timeout_us: int, packets: StructType):
+        self.timeout_us, self.packets = timeout_us, packets
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.packets)
+        self.open = handle.getValueState("open", _STATE)
+
+    def _wake(self, due_us: int, sooner: bool = False) -> None:
+        """Set the one timer; with `sooner` only if it comes before the one that is set."""
+        due, set_for = -(-due_us // 1000), list(self.handle.listTimers())
+        if sooner and set_for and min(set_for) <= due:
+            return
+        for timer in set_for:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))[self.packets.names].astype(object)
+        self.waiting.appendList(list(frame.where(frame.notna(), None).itertuples(index=False, name=None)))
+        self._wake(int(frame["ts_us"].min()), sooner=True)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, protocol, done = timerValues.getCurrentWatermarkInMs() * 1000, int(key[4]), []
+        held = _unpack(tuple(self.open.get())) if self.open.exists() else None
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.packets.names).sort_values("arrival_seq", kind="stable")
+        # By arrival number, as far as the watermark has passed every packet.
+        ahead = np.flatnonzero(rows["ts_us"].to_numpy() > passed)
+        ready = int(ahead[0]) if len(ahead) else len(rows)
+        if ready:
+            more, held = _take(_arrays(rows, np.arange(ready)), held, self.timeout_us, protocol)
+            done += more
+            left = rows.iloc[ready:].astype(object)
+            if len(left):
+                self.waiting.put(list(left.where(left.notna(), None).itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+        if held is not None and ready == len(rows) and held[6] + self.timeout_us <= passed:
+            done.append((protocol, False, int(held[8][0]), *_pack(held)))
+            held = None
+        if held is None:
+            self.open.clear()
+        else:
+            self.open.update(_pack(held))
+        if ready < len(rows):
+            self._wake(int(rows["ts_us"].iloc[ready]))
+        elif held is not None:
+            self._wake(held[6] + self.timeout_us)
+        if done:
+            yield pd.DataFrame(done, columns=["protocol", "finished_cleanly", "total_packets", *_STATE_COLUMNS])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_flows_reordered(packets: DataFrame, params: FlowParams, delay: str = "10 seconds") -> DataFrame:
+    """Finished flows of a packet stream whose micro-batches come out of order, the same as those of the ordered table.
+
+    Packets wait in the state until the watermark, ``delay`` behind the newest packet, has passed them and all of their key with a
+    smaller arrival number; then they are taken by arrival number. ``delay`` covers how late packets come and how far times
+    run against arrival numbers. What comes later is dropped and counted in the query's progress. The state of a key ends
+    with its last flow. Start the query inside ``windows.rocksdb_state``.
+    """
+    if params.idle_timeout_us is None:
+        raise ValueError("a stream needs an idle timeout: it has no end at which to flush flows")
+    keyed = with_flow_key(packets).withColumn("closes", closes(F.col("tcp_flags")))
+    timed = keyed.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
+    kept = StructType([keyed.schema[c] for c in _PACKET_COLUMNS])
+    finished = timed.select(*KEY, *_PACKET_COLUMNS, "ts").groupBy(*KEY).transformWithStateInPandas(_Reorder(params.idle_timeout_us, kept), _FLOW, "append", "eventTime")
+    finish = F.when(F.col("finished_cleanly"), F.col("last_seq")).otherwise(F.lit(_LEFTOVER).cast("bigint") + F.col("flow_id"))
+    return finished.withColumn("finish_seq", finish)
+
+
 def stream_flows(packets: DataFrame, params: FlowParams, delay: str = "10 seconds") -> DataFrame:
     """Finished flows of a packet stream. Rows later than ``delay`` behind the newest are dropped."""
     keyed = with_flow_key(packets).withColumn("closes", closes(F.col("tcp_flags")))

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from netspark.llm.common import CUT, Memory, slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces whose ids a worker keeps (twice that at most, and twice as many parts between spaces), and their most characters.
-MEMORY, KEPT = 50_000, 64
+#: Pieces whose ids a worker keeps (twice that at most, and twice as many parts between spaces), and their most characters:
+#: for a task, and where a worker does nothing else.
+MEMORY, LASTING_MEMORY, KEPT = 50_000, 100_000, 64
 #: Bytes of text that a task holds at once.
 SLICE = 8 << 20
 
@@ -37,7 +38,8 @@ SLICE = 8 << 20
 class Vocabulary:
     """Token ranks, which tokens the merges can make, and which neighbours stay apart."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.most_known = 5 * memory
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
@@ -68,7 +70,7 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Do these two tokens, side by side, stay as they are?"""
-        if len(self.known) >= 5 * MEMORY:
+        if len(self.known) >= self.most_known:
             self.known.clear()
         stays = self.known[left << 32 | right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return stays
@@ -133,10 +135,10 @@ class PrefixTable:
 class Encoder:
     """Texts to ids with memories of pieces and of the parts between spaces."""
 
-    def __init__(self, path: str, pattern: str):
-        self.vocabulary, self.pattern = Vocabulary(path), regex.compile(pattern)
-        self.pieces = Memory(self._piece, MEMORY, KEPT)
-        self.parts = Memory(lambda part: self.split(" " + part), 2 * MEMORY, KEPT)
+    def __init__(self, path: str, pattern: str, memory: int = MEMORY):
+        self.vocabulary, self.pattern = Vocabulary(path, memory), regex.compile(pattern)
+        self.pieces = Memory(self._piece, memory, KEPT)
+        self.parts = Memory(lambda part: self.split(" " + part), 2 * memory, KEPT)
 
     def _piece(self, text: str) -> bytes:
         raw = text.encode()
@@ -161,20 +163,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, memory: int = MEMORY) -> Encoder:
     """One per worker and vocabulary; a worker that dies loses only its memories."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, memory)
 
 
-def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id", decoded: bool = False, lasting: bool = False) -> DataFrame:
     """key and `ids` (binary, little-endian unsigned 32-bit) of every row's whole text; with `decoded` also the bytes that the ids stand for.
 
-    Memories of pieces last for a task and are emptied when it ends, so a worker that waits for other work holds the
-    vocabulary alone. Decoding in the same pass spares a second worker with a vocabulary of its own.
+    Memories of pieces are emptied when a task ends, so a worker that waits for other work holds the vocabulary alone; with
+    `lasting` they are larger and stay for the worker's next task, which suits an application that only encodes. Decoding
+    in the same pass spares a second worker with a vocabulary of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, LASTING_MEMORY if lasting else MEMORY)
         try:
             for part in slices(batches, SLICE):
                 ids = [own.encode(value) if value else b"" for value in part.column(1).to_pylist()]
@@ -184,7 +187,8 @@ def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokeniz
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
-            own.forget()
+            if not lasting:
+                own.forget()
 
     chosen = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary" + ", decoded binary" * decoded)
@@ -216,7 +220,7 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document's round trip."""
-    done = encode(docs, path, decoded=True)
+    done = encode(docs, path, decoded=True, lasting=True)
     return done.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),

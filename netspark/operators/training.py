@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netspark.functions.ip import is_multicast_or_broadcast
 from netspark.operators.features import feature_keys, is_current_schema, is_stale
-from netspark.operators.scan import Running, scan
 from netspark.params import TrainingParams
 from netspark.schemas import FEATURE_COLUMNS, STALE_MARKER_KEYS
 from netspark.session import stage
@@ -76,23 +75,52 @@ def split_quotas(counts: dict[str, int], share: float = 0.2) -> dict[str, int]:
     return quota
 
 
-# A 64-bit hash cut into 2^20 chunks: each holds about a millionth of a class.
-HASH_CHUNKS = (1 << 44,)
+# Hexadecimal digits a round adds: 4096 buckets a class.
+ROUND_DIGITS = 3
+DRAW_DIGITS = 32
+
+
+def smallest_draws(rows: DataFrame, quotas: dict[str, int]) -> dict[str, str]:
+    """Per class the prefix of ``draw`` with which its smallest ``quota`` draws end.
+
+    ``rows`` has (label, draw), draws being md5 texts. A round counts, per class, the rows of the open
+    bucket by their next digits and goes on in the bucket that holds the quota's end; a class is done when that bucket
+    ends with the quota. Counting combines map-side, so a hot class costs at most 4096 rows a map task; no row
+    is ranked or moved, and a class of n rows takes about log(n) / log(4096) + 1 rounds.
+    """
+    open_at, found = {label: ("", n) for label, n in quotas.items()}, {}
+    length = 0
+    while open_at:
+        at = F.create_map(*[F.lit(x) for label, (prefix, _) in open_at.items() for x in (label, prefix)])
+        need = F.create_map(*[F.lit(x) for label, (_, n) in open_at.items() for x in (label, n)])
+        here = rows.filter(F.substring("draw", 1, length) == F.element_at(at, F.col("label"))) if length else rows
+        length += ROUND_DIGITS
+        steps = here.groupBy("label", F.substring("draw", 1, length).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("label").orderBy("next"))
+        ends = steps.withColumn("upto", upto).filter(F.col("upto") >= F.element_at(need, F.col("label")))
+        first = ends.groupBy("label").agg(F.min(F.struct("next", "n", "upto")).alias("end"))
+        for label, end in first.collect():
+            left = open_at[label][1] - (end["upto"] - end["n"])
+            if left == end["n"] or length >= DRAW_DIGITS:
+                found[label] = end["next"]
+                del open_at[label]
+            else:
+                open_at[label] = (end["next"], left)
+    return found
 
 
 def stratified_split(samples: DataFrame, p: TrainingParams = TrainingParams(), id_column: str = "id") -> DataFrame:
-    """Add ``in_test``: per class the quota of rows with the smallest hash of (id, seed).
+    """Add ``in_test``: per class the quota of rows with the smallest md5 of ``id:seed``.
 
-    The rank is a running count over hash order, so a class with most of the rows is
-    still ranked in many tasks. The driver sees one count per class.
+    The cut of each class is searched in rounds of counts; the rows themselves are compared with it and never
+    shuffled. Rows with the same id go to the same side, even where that oversteps the quota. The driver sees a count and a
+    cut per class and round.
     """
     counts = {r["label"]: r["n"] for r in samples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    quotas = split_quotas(counts, p.test_share)
-    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    # A bijection of a long id, so the order is unique.
-    hashed = samples.withColumn("_hash", F.xxhash64(F.col(id_column).cast("bigint"), F.lit(p.seed))).withColumn("_one", F.lit(1))
-    ranked = scan(hashed, ["label"], "_hash", {"_rank": Running("sum", "_one")}, HASH_CHUNKS)
-    return ranked.withColumn("in_test", F.col("_rank") <= F.element_at(quota, F.col("label"))).drop("_hash", "_one", "_rank")
+    draw = F.md5(F.concat_ws(":", F.col(id_column).cast("bigint").cast("string"), F.lit(str(p.seed))))
+    cuts = smallest_draws(stage(samples.select("label", draw.alias("draw")), "draws"), split_quotas(counts, p.test_share))
+    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("label"))
+    return samples.withColumn("in_test", F.substring(draw, F.lit(1), F.length(cut)) <= cut)
 
 
 def sample_features(labelled: DataFrame, also: list[str] | None = None) -> DataFrame:

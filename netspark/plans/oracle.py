@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from netspark.functions.ip import IPV4_PATTERN, MULTICAST_BLOCK, PRIVATE_BLOCKS, to_number
 from netspark.operators.incidents import TRUST
 from netspark.operators.techniques import BY_ATTACK_TYPE, BY_DETECTOR
+from netspark.params import AnomalyParams
 from netspark.plans import tables as T
 from netspark.plans.adapters import HALF_US, LATE_US, PREFIXES, RESPONSE_CASES
 from netspark.schemas import ATTACK_TYPES, DETECTORS, FEATURE_COLUMNS, IDENTITY_COLUMNS, STALE_MARKER_KEYS
@@ -490,7 +492,73 @@ where best is null or f1_macro > best""",
     "active": "select arg_max(version, promoted_seq) as version from promotions",
 }
 
-_WORD = re.compile(r"\b(?:from|join)\s+([a-z_]+)")
+_WORD = re.compile(r"\b(?:from|join)\s+([a-z_][a-z_0-9]*)")
+
+
+def anomaly_verdict(score: str) -> str:
+    p = AnomalyParams()
+    return f"""case when {score} is null then 'WARMING_UP' when total_packets >= {p.flood_min_packets} and packets_per_second > {p.flood_packets_per_second}
+  then 'ATTACK' when {score} < {p.suspicious_score} then 'SUSPICIOUS' else 'NORMAL' end"""
+
+
+def forest(p: AnomalyParams) -> dict[str, str]:
+    """An isolation forest unrolled level by level: its nodes, then every flow's way down every tree."""
+    limit = math.ceil(math.log2(p.warmup_flows))
+    stem = f"'{p.seed}:' || tree_id || ':' || node_id || ':'"
+    path = (
+        "case when n <= 1 then 0.0::double when n = 2 then 1.0::double "
+        "else 2.0::double * (ln(n - 1) + 0.5772156649015329::double) - 2.0::double * (n - 1) / n end"
+    )
+    long = " union all ".join(f"select flow_id, finish_seq, '{c}' feature, {c}::double v from features" for c in FEATURE_COLUMNS)
+    parts = {
+        "forest_columns": f"""select feature, mean, case when std = 0 then 1.0::double else std end std, row_number() over (order by feature) - 1 j
+from warm_statistics where scaled_variance > {p.min_variance}""",
+        "forest_values": f"select flow_id, finish_seq, j, (v - mean) / std v from ({long}) join forest_columns using (feature)",
+        "forest_points": "select finish_seq, j, v from forest_values semi join warm using (finish_seq)",
+        "forest_at_0": f"select t.range::int tree_id, 1 node_id, finish_seq from warm, range({p.trees}) t",
+        "forest_way_0": f"select flow_id, t.range::int tree_id, 1 node_id from features, range({p.trees}) t",
+    }
+    for depth in range(limit + 1):
+        parts[f"forest_size_{depth}"] = f"select tree_id, node_id, count(*) n from forest_at_{depth} group by all"
+        parts[f"forest_ends_{depth}"] = f"""
+select tree_id, node_id, arg_min(j, draw) f, arg_min(low, draw) low, arg_min(high, draw) high
+from (select *, md5({stem} || j) draw from (select tree_id, node_id, j, min(v) low, max(v) high
+  from forest_at_{depth} join forest_points using (finish_seq) group by all) where high > low) group by all"""
+        parts[f"forest_cut_{depth}"] = f"""
+select tree_id, node_id, f, case when drawn >= high then low else drawn end threshold
+from (select *, low + ('0x' || left(md5({stem} || 'threshold'), 13))::bigint::double / 4503599627370496::double * (high - low) drawn
+  from forest_ends_{depth}) where {depth} < {limit}"""
+        parts[f"forest_at_{depth + 1}"] = f"""
+select tree_id, 2 * node_id + (v > threshold)::int node_id, finish_seq
+from forest_at_{depth} join forest_cut_{depth} c using (tree_id, node_id) join forest_points using (finish_seq) where j = f"""
+        parts[f"forest_way_{depth + 1}"] = f"""
+select flow_id, tree_id, case when f is null then node_id else 2 * node_id + (v > threshold)::int end node_id
+from forest_way_{depth} left join forest_cut_{depth} using (tree_id, node_id) left join (select flow_id, j f, v from forest_values) using (flow_id, f)"""
+    parts["forest_nodes"] = " union all ".join(
+        f"""select tree_id, node_id, coalesce(f, -1)::int feature, coalesce(threshold, 0.0) threshold,
+  case when f is null then {depth} + {path} else 0.0::double end path from forest_size_{depth} left join forest_cut_{depth} using (tree_id, node_id)"""
+        for depth in range(limit + 1)
+    )
+    size = p.warmup_flows
+    scale = 2 * (math.log(size - 1) + 0.5772156649015329) - 2 * (size - 1) / size
+    parts["forest_raw"] = f"""select flow_id, -pow(2.0::double, -avg(path) / {scale!r}::double) raw
+from forest_way_{limit} join forest_nodes using (tree_id, node_id) group by flow_id"""
+    parts["forest_scores"] = f"""
+select f.*, case when finish_seq >= (select max(finish_seq) from warm) then raw - (
+  select quantile_cont(raw, {p.contamination}) from forest_raw semi join warm using (flow_id)) end score
+from features f join forest_raw using (flow_id)"""
+    return parts
+
+
+FRAGMENTS["split"] = """
+with c as (select label, count(*) k from usable group by 1),
+s as (select sum(k) total, least(greatest(count(*), round_even(0.2 * sum(k), 0)), sum(k) - count(*)) size from c),
+e as (select label, k, k * size / total exact, least(greatest(1, floor(k * size / total)), k - 1) base, size from c, s),
+m as (select *, size - sum(base) over () short from e),
+q as (select label, base + case
+    when base < k - 1 and row_number() over (partition by base < k - 1 order by base - exact, label) <= short then 1
+    when base > 1 and row_number() over (partition by base > 1 order by base - exact desc, label desc) <= -short then -1 else 0 end quota from m)
+select id, u.label, row_number() over (partition by u.label order by md5(id || ':42'), id) <= quota in_test from usable u join q using (label)"""
 
 
 def _needs(sql: str, own: str | None, done: list[str]) -> None:

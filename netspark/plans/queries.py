@@ -30,6 +30,7 @@ from netspark.operators import (
     windows as win,
 )
 from netspark.params import (
+    AnomalyParams,
     BlockParams,
     EvidenceParams,
     FlowParams,
@@ -477,15 +478,16 @@ query(
 )(lambda t: anomaly.kept_columns(anomaly.baseline_statistics(anomaly.baseline_flows(t.features()))))
 
 
-@query("n4_forest_nodes")
+o.FRAGMENTS |= o.forest(AnomalyParams())
+_FOREST_SCORES = f"select flow_id, {r6('score')}, {o.anomaly_verdict('score')} verdict from forest_scores"
+
+
+@query("n4_forest_nodes", f"select tree_id, node_id, feature, {r6('threshold', 'path')} from forest_nodes")
 def n4(t: Tables) -> DataFrame:
-    model = anomaly.fit_baseline(t.features())
-    return t.spark.createDataFrame(model.nodes, anomaly.NODES).groupBy("tree_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("path").alias("longest_path")
-    )
+    return t.spark.createDataFrame(anomaly.fit_baseline(t.features()).nodes, anomaly.NODES)
 
 
-@query("n5_forest_scores")
+@query("n5_forest_scores", _FOREST_SCORES)
 def n5(t: Tables) -> DataFrame:
     model = anomaly.fit_baseline(t.features())
     return anomaly.score(t.features(), model).select("flow_id", "score", "verdict")
@@ -496,7 +498,7 @@ query("n6_anomaly_verdicts", "select flow_id, round(score, 6) score, verdict fro
 )
 
 
-@query("n7_saved_model_scores")
+@query("n7_saved_model_scores", _FOREST_SCORES)
 def n7(t: Tables) -> DataFrame:
     import uuid
 
@@ -833,7 +835,7 @@ def a2(t: Tables) -> DataFrame:
     return sizes.withColumn("test_rows", rows.cast("bigint"))
 
 
-@query("a3_stratified_split")
+@query("a3_stratified_split", "select id, label, in_test from split")
 def a3(t: Tables) -> DataFrame:
     return tr.stratified_split(tr.training_set(t.labelled())).select("id", "label", "in_test")
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -23,32 +24,69 @@ def feature_rows(n, seed=0, **changed):
 def walk(nodes, point):
     """One point down one tree, node by node."""
     by_id = nodes.set_index("node_id")
-    at = 0
+    at = 1
     while by_id.loc[at, "feature"] >= 0:
-        at = by_id.loc[at, "left"] if point[int(by_id.loc[at, "feature"])] <= by_id.loc[at, "threshold"] else by_id.loc[at, "right"]
+        at = 2 * at + int(point[int(by_id.loc[at, "feature"])] > by_id.loc[at, "threshold"])
     return by_id.loc[at, "path"]
 
 
-def test_forest_scores_equal_node_walk():
+def drawn_tree(points, seed, tree):
+    """The same tree, grown by recursion in plain Python."""
+    limit = math.ceil(math.log2(max(len(points), 2)))
+
+    def digits(*parts):
+        return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+    def grow(node, here, depth):
+        low, high = here.min(axis=0), here.max(axis=0)
+        varying = [j for j in range(points.shape[1]) if high[j] > low[j]]
+        if depth == limit or not varying:
+            return {node: (-1, 0.0, depth + A.average_path(len(here)))}
+        j = min(varying, key=lambda j: digits(seed, tree, node, j))
+        at = low[j] + int(digits(seed, tree, node, "threshold")[:13], 16) / 2**52 * (high[j] - low[j])
+        at = low[j] if at >= high[j] else at
+        right = here[:, j] > at
+        return {node: (j, at, 0.0)} | grow(2 * node, here[~right], depth + 1) | grow(2 * node + 1, here[right], depth + 1)
+
+    return grow(1, points, 0)
+
+
+def grow(spark, points, trees, seed):
+    rows = spark.createDataFrame([(i, points.tolist()) for i in range(trees)], "tree_id int, points array<array<double>>")
+    made = A.grown(F.col("points"), F.col("tree_id"), seed, A.depth_limit(len(points)), points.shape[1])
+    return rows.select("tree_id", F.explode(made).alias("n")).select("tree_id", "n.*").toPandas()
+
+
+def test_trees_equal_a_plain_recursion(spark):
+    rng = np.random.default_rng(5)
+    ties = rng.integers(0, 3, size=(37, 4)).astype(float)  # equal rows and constant sides
+    for points in (rng.normal(size=(40, 5)), ties, np.ones((6, 2)), rng.normal(size=(1, 3))):
+        nodes = grow(spark, points, 8, 7)
+        for tree in range(8):
+            got = {r.node_id: (r.feature, r.threshold, r.path) for r in nodes[nodes.tree_id == tree].itertuples()}
+            want = drawn_tree(points, 7, tree)
+            assert got.keys() == want.keys()
+            for node in want:
+                assert got[node][0] == want[node][0] and np.allclose(got[node][1:], want[node][1:])
+
+
+def test_forest_scores_equal_node_walk(spark):
     rng = np.random.default_rng(1)
-    points = rng.normal(size=(40, 5))
-    trees = [A.grow_tree(points, np.random.default_rng([7, i])) for i in range(12)]
-    columns = ["node_id", "feature", "threshold", "left", "right", "path"]
-    nodes = pd.concat([pd.DataFrame(t, columns=columns).assign(tree_id=i) for i, t in enumerate(trees)])
-    forest = A.Forest.from_nodes(nodes, 40)
+    nodes = grow(spark, rng.normal(size=(40, 5)), 12, 7)
     probes = rng.normal(size=(9, 5)) * 2
+    got = A.Forest.from_nodes(nodes, 40).score_samples(probes, batch=4)
     want = [
         -(2 ** (-np.mean([walk(nodes[nodes.tree_id == i], p) for i in range(12)]) / A.average_path(40))) for p in probes
     ]
-    assert np.allclose(forest.score_samples(probes, batch=4), want)
-    assert max(len(t) for t in trees) <= 2 * 40 - 1
+    assert np.allclose(got, want)
+    assert nodes.groupby("tree_id").size().max() <= 2 * 40 - 1
 
 
-def test_neighbouring_values_split_into_two_sides():
+def test_neighbouring_values_split_into_two_sides(spark):
     points = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
-    for seed in range(50):
-        rows = A.grow_tree(points, np.random.default_rng(seed))
-        assert len(rows) == 3 and all(r[2] < points[1, 0] for r in rows if r[1] >= 0)
+    nodes = grow(spark, points, 50, 3)
+    assert (nodes.groupby("tree_id").size() == 3).all()
+    assert (nodes[nodes.feature >= 0].threshold < points[1, 0]).all()
 
 
 def test_average_path():

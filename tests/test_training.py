@@ -1,8 +1,8 @@
+import hashlib
 import json
-
-import pytest
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from netspark.operators import registry as G, retention as Ret, training as T, verdicts as V
@@ -61,6 +61,21 @@ def test_stratified_split_is_exact_and_repeatable(spark):
     assert {r["id"] for r in split.filter("in_test").collect()} == {r["id"] for r in again.filter("in_test").collect()}
 
 
+def test_split_takes_the_smallest_draws(spark):
+    """Every class size against a plain sort; copies of an id stay together."""
+    for sizes in ({"a": 9000, "b": 40, "c": 2}, {"a": 5, "b": 5}):
+        rows = [(i, label) for label, n in sizes.items() for i in range(n)]
+        quotas = T.split_quotas(sizes)
+        want = set()
+        for label, n in sizes.items():
+            drawn = sorted(range(n), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+            want |= {(i, label) for i in drawn[: quotas[label]]}
+        got = T.stratified_split(spark.createDataFrame(rows, "id long, label string").repartition(5)).filter("in_test").collect()
+        assert {(r["id"], r["label"]) for r in got} == want and len(got) == len(want)
+    copies = spark.createDataFrame([(7, "a")] * 10 + [(8, "b"), (9, "b")], "id long, label string")
+    assert [r[0] for r in T.stratified_split(copies).filter("label = 'a'").select("in_test").distinct().collect()] == [True]
+
+
 def test_train_and_classify(spark):
     df = labelled(spark, [("ddos", "llm", False, 0)] * 30 + [("benign", "llm", False, 50)] * 30)
     best = T.train_best(df, TrainingParams(trees=5, boosting_rounds=2, forest_depth=3, boosting_depth=3))

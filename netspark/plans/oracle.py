@@ -134,24 +134,45 @@ def _keys(columns) -> str:
     return "[" + text_list(columns) + "]"
 
 
+_TEXT = {"src_ip", "dst_ip", "verdict", "attack_type", "confidence", "reasoning", "error", "detection_type", "available"}
+NO_TIE = 0.31830988  # added before rounding down, so that values of few digits don't lie on an edge
+
+
+def _pair(name: str, source: str | None = None) -> str:
+    """``name=value`` as text: numbers in millionths, from 1000 on in thousandths."""
+    column = source or name
+    number = f"floor({column}::double * case when abs({column}::double) < 1000 then 1e6 else 1e3 end + {NO_TIE}::double)::bigint"
+    return f"'{name}=' || coalesce({column if name in _TEXT else number}::varchar, 'null')"
+
+
+def _pairs(columns, **sources: str) -> str:
+    named = [_pair(c) for c in columns] + [_pair(name, source) for name, source in sources.items()]
+    return "[" + ", ".join(named) + "]"
+
+
+def joined_pairs(pairs: str) -> str:
+    return f"array_to_string(list_sort({pairs}), ',')"
+
+
 _STORED = IDENTITY_COLUMNS + FEATURE_COLUMNS
 _OLDER = [c for c in _STORED if c not in STALE_MARKER_KEYS]
 
 
-def _labelled_part(source: str, keys: str, rows: str, stored: str = "stored_verdict") -> str:
+def _labelled_part(source: str, keys: str, pairs: str, rows: str, stored: str = "stored_verdict") -> str:
     return (
         f"select {rows} id, {iso_text('ts_us')} \"timestamp\", label, label_source, confidence, score anomaly_score, "
-        f"{stored} verdict, reasoning, {keys} keys, src_ip, dst_ip, cast(src_port as int) src_port, cast(dst_port as int) dst_port, "
+        f"{stored} verdict, reasoning, {keys} keys, {pairs} pairs, src_ip, dst_ip, cast(src_port as int) src_port, cast(dst_port as int) dst_port, "
         f"cast(protocol as int) protocol, total_packets, packets_per_second, syn_ratio, zero_payload_ratio from {source}"
     )
 
 
-def _tracker(source: str, name: str, rank: int, reasoning: str, keys: list[str], identity: tuple) -> str:
+def _tracker(source: str, name: str, rank: int, reasoning: str, kind: str, keys: dict[str, str], identity: tuple) -> str:
     src, dst, port = identity
+    described = _pairs([], detection_type=quoted(kind), window_seconds=repr(float(T.SECONDS[name])), **keys)
     return (
         f"select -1000000000 - (finish_seq * 8 + {rank}) id, {iso_text('ts_us')} \"timestamp\", '{name}' as label, "
         f"'{name}_tracker' label_source, 'high' confidence, null anomaly_score, 'ATTACK' verdict, {reasoning} reasoning, "
-        f"{_keys(['detection_type', 'window_seconds'] + keys)} keys, {src} src_ip, {dst} dst_ip, null src_port, {port} dst_port, "
+        f"{_keys(['detection_type', 'window_seconds', *keys])} keys, {described} pairs, {src} src_ip, {dst} dst_ip, null src_port, {port} dst_port, "
         f"null protocol, null total_packets, null packets_per_second, null syn_ratio, null zero_payload_ratio from {source}"
     )
 
@@ -452,25 +473,27 @@ select 184549376 + s_suppkey * 300 start_ip, 184549376 + s_suppkey * 300 + 249 e
 from supplier join nation on s_nationkey = n_nationkey""",
     "labelled": " union all ".join(
         [
-            _labelled_part("feature_labels", f"case when flow_id // 100 % 6 = 0 then {_keys(_OLDER)} else {_keys(_STORED)} end", "flow_id"),
-            _labelled_part("labels", _keys(T.SCORED_FEATURES), "-1 - flow_id"),
+            _labelled_part(
+                "feature_labels", f"case when flow_id // 100 % 6 = 0 then {_keys(_OLDER)} else {_keys(_STORED)} end",
+                f"case when flow_id // 100 % 6 = 0 then {_pairs(_OLDER)} else {_pairs(_STORED)} end", "flow_id"),
+            _labelled_part("labels", _keys(T.SCORED_FEATURES), _pairs(T.SCORED_FEATURES), "-1 - flow_id"),
             _tracker(
                 "ddos_changes", "ddos", 2,
                 "'Aggregate rate tracker: ' || total_flows || ' flows from ' || distinct_sources || "
                 f"' distinct sources within a {T.SECONDS['ddos']:.0f}s window (both thresholds exceeded).'",
-                ["total_flows_in_window", "distinct_sources_in_window"], _NONE),
+                "aggregate_ddos", {"total_flows_in_window": "total_flows", "distinct_sources_in_window": "distinct_sources"}, _NONE),
             _tracker(
                 "port_scan_changes", "port_scan", 3,
                 "'Port scan tracker: source ' || src_ip || ' touched ' || distinct_ports || ' distinct destination ports across ' || "
                 "distinct_targets || case when distinct_targets = 1 then ' target' else ' targets' end || "
                 f"' within a {T.SECONDS['port_scan']:.0f}s window (threshold exceeded).'",
-                ["src_ip", "distinct_ports_in_window", "distinct_targets_in_window"], ("src_ip", "null", "null")),
+                "port_scan", {"src_ip": "src_ip", "distinct_ports_in_window": "distinct_ports", "distinct_targets_in_window": "distinct_targets"}, ("src_ip", "null", "null")),
             _tracker(
                 "brute_force_changes", "brute_force", 4,
                 "'Brute-force tracker: source ' || src_ip || ' made ' || attempts || ' connection attempts to ' || dst_ip || ':' || dst_port || "
                 f"' within a {T.SECONDS['brute_force']:.0f}s window (threshold exceeded). Note: reflects connection rate only, "
                 "not a confirmed authentication failure.'",
-                ["src_ip", "dst_ip", "dst_port", "attempts_in_window"], _ALL),
+                "brute_force", {"src_ip": "src_ip", "dst_ip": "dst_ip", "dst_port": "dst_port", "attempts_in_window": "attempts"}, _ALL),
         ]
     ),
     "reviewed": f"""
@@ -550,6 +573,11 @@ from features f join forest_raw using (flow_id)"""
     return parts
 
 
+FRAGMENTS["flow_payloads"] = f"""
+select finish_seq * 8 + {DETECTORS.index('anomaly')} arrival_seq, 'anomaly' detector, {joined_pairs(_pairs(['verdict', 'score']))} stated,
+  {joined_pairs(_pairs(T.SCORED_FEATURES))} features from scored
+union all select finish_seq * 8 + {DETECTORS.index('llm')}, 'llm',
+  {joined_pairs(_pairs(['available', 'attack_type', 'confidence', 'error'], reasoning='review_reasoning'))}, null from reviews"""
 FRAGMENTS["split"] = """
 with c as (select label, count(*) k from usable group by 1),
 s as (select sum(k) total, least(greatest(count(*), round_even(0.2 * sum(k), 0)), sum(k) - count(*)) size from c),

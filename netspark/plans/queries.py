@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
@@ -123,12 +123,25 @@ def s3(t: Tables) -> DataFrame:
 LABELLED = (
     "id, \"timestamp\", label, label_source, confidence, round(anomaly_score::double, 6) anomaly_score, verdict, reasoning, "
     "src_ip, dst_ip, src_port, dst_port, protocol, total_packets, round(packets_per_second::double, 6) packets_per_second, "
-    "round(syn_ratio::double, 6) syn_ratio, round(zero_payload_ratio::double, 6) zero_payload_ratio, len(keys) n_keys"
+    "round(syn_ratio::double, 6) syn_ratio, round(zero_payload_ratio::double, 6) zero_payload_ratio, len(keys) n_keys, "
+    + o.joined_pairs("pairs") + " all_values"
 )
 
 
+def json_values(text: Column) -> Column:
+    """The sorted ``key=value`` pairs of a JSON object; numbers in millionths, from 1000 on in thousandths."""
+
+    def pair(key: Column, value: Column) -> Column:
+        number = value.try_cast("double")
+        scale = F.when(F.abs(number) < 1000, F.lit(1e6)).otherwise(F.lit(1e3))
+        return F.concat(key, F.lit("="), F.coalesce(F.floor(number * scale + F.lit(o.NO_TIE)).cast("string"), value, F.lit("null")))
+
+    return F.array_join(F.array_sort(F.map_values(F.transform_values(F.from_json(text, "map<string,string>"), pair))), ",")
+
+
 def labelled_view(df: DataFrame) -> DataFrame:
-    return df.withColumn("n_keys", F.size(F.json_object_keys("all_features"))).drop("all_features")
+    stored = F.col("all_features")
+    return df.withColumns({"n_keys": F.size(F.json_object_keys(stored)), "all_values": json_values(stored)}).drop("all_features")
 
 
 query("s4_labelled_append", f"select {LABELLED} from labelled")(lambda t: labelled_view(t.labelled()))
@@ -575,14 +588,15 @@ query("l6_promotion", "select flow_id, verdict, stored_verdict, label from label
 
 @query(
     "l7_tracker_labels",
-    """select label, label_source, confidence, reasoning, src_ip, dst_ip, dst_port, len(keys) n_keys from labelled where label_source like '%_tracker'""",
+    f"""select label, label_source, confidence, reasoning, src_ip, dst_ip, dst_port, len(keys) n_keys, {o.joined_pairs('pairs')} all_values
+from labelled where label_source like '%_tracker'""",
 )
 def l7(t: Tables) -> DataFrame:
     moved = t.transitions()
     rows = ver.tracker_labels(moved["ddos"], moved["port_scan"], moved["brute_force"], SECONDS)
     return rows.select(
         "label", "label_source", "confidence", "reasoning", "src_ip", "dst_ip", "dst_port",
-        F.size(F.json_object_keys("all_features")).alias("n_keys"),
+        F.size(F.json_object_keys("all_features")).alias("n_keys"), json_values(F.col("all_features")).alias("all_values"),
     )
 
 
@@ -603,6 +617,12 @@ union all select finish_seq * 8 + 4, 'brute_force', verdict, '259200.0', attempt
         "coalesce(get_json_object(payload, '$.distinct_sources_in_window'), get_json_object(payload, '$.distinct_targets_in_window'), get_json_object(payload, '$.repeat_offender_count')) second_count",
     )
 )
+query("e2_flow_payloads", "select arrival_seq, detector, stated, features from flow_payloads")(
+    lambda t: t.evidence().filter("detector in ('anomaly', 'llm')").select(
+        "arrival_seq", "detector", json_values(F.expr("to_json(map_filter(from_json(payload, 'map<string,string>'), (k, v) -> k <> 'features'))")).alias("stated"),
+        json_values(F.get_json_object("payload", "$.features")).alias("features"),
+    )
+)
 query("e3_evidence_ids", "select arrival_seq, evidence_id from evidence")(lambda t: t.evidence().select("arrival_seq", "evidence_id"))
 query(
     "i1_correlation",

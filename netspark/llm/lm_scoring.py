@@ -70,9 +70,7 @@ def scores(docs: DataFrame, target: str, params: LmParams = LmParams(), slice_by
                 key, of = np.unique(np.concatenate(keys_of(words, doc, bits)), return_inverse=True)
                 wanted = np.tile(one.flags[doc], 2)
                 every, ours = np.bincount(of, minlength=len(key)), np.bincount(of[wanted], minlength=len(key))
-                edge = packed.dealt(key, partitions, bits)
-                parts = [p for p in range(partitions) if edge[p] < edge[p + 1]]
-                cuts = [slice(edge[p], edge[p + 1]) for p in parts]
+                parts, cuts = packed.dealt(key, partitions, bits)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(parts, pa.int32()),
@@ -102,7 +100,7 @@ def scores(docs: DataFrame, target: str, params: LmParams = LmParams(), slice_by
 
     asked = slices.mapInArrow(ask, "part int, slice string, keys binary, every binary, ours binary")
     answers = "slice string, part int, every binary, ours binary, types bigint, n_every bigint, n_ours bigint"
-    counted = cut(asked.groupBy("part").applyInArrow(add, answers))
+    counted = cut(asked.repartition(partitions, "part").groupBy("part").applyInArrow(add, answers))
     types, n_every, n_ours = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("n_every"), F.sum("n_ours")).first())
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

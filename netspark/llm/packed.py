@@ -95,14 +95,15 @@ def expand_sorted(buffer: pa.Buffer | bytes) -> np.ndarray:
     return np.cumsum(expand(buffer, "<u8"), dtype=np.uint64)
 
 
-def dealt(keys: np.ndarray, partitions: int, bits: int) -> np.ndarray:
-    """Where the sorted keys of each of `partitions` equal ranges of a `bits`-bit key space begin and end."""
-    edges = [-(-(p << bits) // partitions) for p in range(partitions)]
-    return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
+def dealt(keys: np.ndarray, partitions: int, bits: int) -> tuple[list[int], list[slice]]:
+    """The equal ranges of a `bits`-bit key space that sorted keys fall into, and where: work grows with the keys, not with the ranges."""
+    part, first = np.unique(keys >> np.uint64(bits + 1 - partitions.bit_length()), return_index=True)
+    ends = np.append(first, len(keys))
+    return part.tolist(), [slice(*pair) for pair in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def plan(packed: DataFrame, per_partition: int = 12 << 20) -> tuple[int, int]:
-    """(partitions for the keys, bytes of packed text)."""
+    """(partitions for the keys, a power of two of at least two; bytes of packed text)."""
     size = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     least = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, 4 * size // per_partition, 1), size
+    return 1 << (max(least, 4 * size // per_partition, 2) - 1).bit_length(), size

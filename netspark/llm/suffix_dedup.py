@@ -237,14 +237,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
                 key, of = np.unique(keys, return_inverse=True)
                 low, high = smallest(of, doc, len(key)), np.full(len(key), np.iinfo(np.int64).min)
                 np.maximum.at(high, of, doc)
-                edge = packed.dealt(key, partitions, bits)
-                parts = [p for p in range(partitions) if edge[p] < edge[p + 1]]
+                parts, cuts = packed.dealt(key, partitions, bits)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(parts, pa.int32()),
                         "slice": pa.array([one.name] * len(parts), pa.string()),
-                        "keys": pa.array([packed.squeeze_sorted(key[edge[p] : edge[p + 1]]) for p in parts], pa.binary()),
-                        "several": pa.array([packed.squeeze((low < high)[edge[p] : edge[p + 1]]) for p in parts], pa.binary()),
+                        "keys": pa.array([packed.squeeze_sorted(key[c]) for c in cuts], pa.binary()),
+                        "several": pa.array([packed.squeeze((low < high)[c]) for c in cuts], pa.binary()),
                     }
                 )
 
@@ -261,7 +260,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         return pa.table({"slice": table.column("slice"), "part": table.column("part"), "state": pa.array(answers, pa.binary())})
 
     asked = slices.mapInArrow(ask, "part int, slice string, keys binary, several binary")
-    states = asked.groupBy("part").applyInArrow(meet, "slice string, part int, state binary")
+    states = asked.repartition(partitions, "part").groupBy("part").applyInArrow(meet, "slice string, part int, state binary")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"part": [], "slice": [], "rows": [], "docs": [], "starts": [], "bits": []}
@@ -303,11 +302,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
                     put(-1 - zlib.crc32(one.name.encode()) % partitions, matrix, owner, start[known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1))
                 rest = np.flatnonzero(~known)
                 rest = rest[np.argsort(spread[rest], kind="stable")]
-                edge = packed.dealt(spread[rest], partitions, bits)
-                for p in range(partitions):
-                    if edge[p] < edge[p + 1]:
-                        some = rest[edge[p] : edge[p + 1]]
-                        put(p, matrix[some], owner[some], start[some], None)
+                for p, c in zip(*packed.dealt(spread[rest], partitions, bits), strict=True):
+                    some = rest[c]
+                    put(p, matrix[some], owner[some], start[some], None)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)})
 
     sent = slices.groupBy("slice").cogroup(states.groupBy("slice")).applyInArrow(send, "part int, slice string, rows binary, docs binary, starts binary, bits binary")
@@ -328,7 +325,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
             bits_.append(packed.squeeze(some[some != 0]))
         return pa.table({"slice": table.column("slice"), "starts": pa.array(starts, pa.binary()), "bits": pa.array(bits_, pa.binary())})
 
-    answers = sent.groupBy("part").applyInArrow(judge, "slice string, starts binary, bits binary")
+    answers = sent.repartition(partitions, "part").groupBy("part").applyInArrow(judge, "slice string, starts binary, bits binary")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         done = []

@@ -2,9 +2,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from netspark.llm import lm_scoring
+from netspark.llm import lm_scoring, packed
 from netspark.llm.lm_scoring import LmParams
 
 
@@ -68,3 +69,12 @@ def test_targets_score_lower(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.scores(docs, "false").count() == 0
+
+
+def test_keys_are_dealt_by_equal_ranges():
+    rng = np.random.default_rng(2)
+    for bits, partitions, n in ((64, 8, 500), (20, 64, 30), (16, 2, 1), (24, 16, 0)):
+        keys = np.sort(rng.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        parts, cuts = packed.dealt(keys, partitions, bits)
+        got = [(p, int(k)) for p, c in zip(parts, cuts) for k in keys[c]]
+        assert got == [(int(k) * partitions >> bits, int(k)) for k in keys] and len(parts) <= min(partitions, n)

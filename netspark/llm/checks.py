@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netspark.llm.decontaminate import WINDOW
 from netspark.llm.hilbert_shards import KEY, HilbertParams, automaton
 from netspark.llm.merkle_manifest import FIELDS
 from netspark.llm.spelling_fst import SpellingParams
@@ -120,4 +121,35 @@ select f.word, f.form, ways.at as root, f.n, f.n_near, f.form_n
 from forms f join ways on f.word = ways.word join forms g on g.word = ways.at and g.form is null"""
 
 
-CHECKS = {"op11_spelling_variants": spelling(), "op12_merkle_manifest": merkle(), "op13_hilbert_sharding": sharding()}
+def decontamination(window: int = WINDOW) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w"
+    return f"""
+with sized as (
+  select *, least(len(w), {window}) as k from (select row_number() over () as b, item_id::varchar as item, {words} from benchmark) where len(w) > 0),
+item_places as (
+  select b, item, k, i, array_to_string(w[i + 1 : i + k], ' ') as t from (select *, unnest(range(len(w) - k + 1)) as i from sized)),
+docs as (select row_number() over () as r, doc_id, {words} from documents),
+doc_places as (
+  select r, k, j, array_to_string(w[j + 1 : j + k], ' ') as t
+  from (select r, w, k, unnest(range(greatest(len(w) - k + 1, 0))) as j from docs, (select distinct k from sized))),
+hits as (select r, b, item, k, i, j, j - i as diagonal from doc_places join item_places using (k, t)),
+runs as (select *, j - row_number() over (partition by r, b, diagonal order by j) as run from hits),
+found as (
+  select distinct r, item, min(j) as j, min(i) as i, max(j) - min(j) + k as n from runs group by r, b, item, k, diagonal, run),
+told as (
+  select r, count(distinct item) as n_items, list_sort(list(distinct item) filter (where item is not null)) as items, max(n) as longest,
+         string_agg(concat(coalesce(item, ''), ':', j, ':', i, ':', n), ',' order by j, coalesce(item, ''), i, n) as matches
+  from found group by r),
+covered as (select r, count(distinct place) as n_hit from (select r, unnest(range(j, j + n)) as place from found) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+       n_hit is not null as contaminated, coalesce(longest, 0) as longest, coalesce(matches, '') as matches
+from docs left join told using (r) left join covered using (r)"""
+
+
+CHECKS = {
+    "op5_decontamination": decontamination(),
+    "op11_spelling_variants": spelling(),
+    "op12_merkle_manifest": merkle(),
+    "op13_hilbert_sharding": sharding(),
+}

@@ -11,7 +11,8 @@ words; an item of fewer words, but not none, is one window. The benchmark is sen
 cut to pieces that overlap by `window` - 1 words, each a block; what they find is put together again.
 
 Null and empty texts have no words and are never hit. Items with equal ids count as one; an item without an id
-marks words but is not named. Repeated documents each get their row. An empty benchmark hits nothing, an empty
+marks words but is not named. Repeated documents each get their row. Very long texts are searched whole; a text that
+repeats a passage which an item repeats too has a match for each pair of places. An empty benchmark hits nothing, an empty
 documents table gives no rows. Further columns are not read by `scan` and kept by `clean`.
 """
 
@@ -338,13 +339,18 @@ def n_hit():
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document, and its longest matches: the words of
+    the longest one, and all of them as item_id:doc_word:item_word:n_words, by place, comma-joined."""
     items = F.array_sort(F.array_distinct("items"))
-    return scan(docs, benchmark, window, block_words, with_matches=False).select(
+    # Equal items under one id match at the same places; an item without an id is named by nothing.
+    found = "array_sort(array_distinct(transform(matches, m -> struct(m.doc_word, coalesce(m.item_id, '') as item_id, m.item_word, m.n_words))))"
+    return scan(docs, benchmark, window, block_words).select(
         "doc_id",
         "n_words",
         n_hit().alias("n_hit"),
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         (n_hit() > 0).alias("contaminated"),
+        F.expr("cast(coalesce(array_max(transform(matches, m -> m.n_words)), 0) as bigint)").alias("longest"),
+        F.expr(f"array_join(transform({found}, m -> concat_ws(':', m.item_id, m.doc_word, m.item_word, m.n_words)), ',')").alias("matches"),
     )

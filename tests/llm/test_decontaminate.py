@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from netspark.llm import decontaminate
+from netspark.llm.checks import CHECKS
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -11,6 +14,25 @@ def words_of(text):
     return WORDS.findall((text or "").encode().lower())
 
 
+def matches_of(words, items, window):
+    """(doc_word, item_id, item_word, n_words) of the maximal runs of equal windows, by trying every pair of places."""
+    out = set()
+    for item_id, text in items:
+        item = words_of(text)
+        size = min(window, len(item))
+        spots = {}
+        for i in range(len(item) - size + 1 if item else 0):
+            spots.setdefault(tuple(item[i : i + size]), []).append(i)
+        pairs = {(j, i) for j in range(len(words) - size + 1) for i in spots.get(tuple(words[j : j + size]), [])}
+        for j, i in pairs:
+            if (j - 1, i - 1) not in pairs:
+                n = 0
+                while (j + n, i + n) in pairs:
+                    n += 1
+                out.add((j, "" if item_id is None else str(item_id), i, n - 1 + size))
+    return sorted(out)
+
+
 def expected(rows, items, window):
     wanted = {}
     for item_id, text in items:
@@ -26,7 +48,9 @@ def expected(rows, items, window):
                     hit |= set(range(i, i + size))
                     found |= wanted[tuple(words[i : i + size])] - {None}
         names = ",".join(sorted(map(str, found)))
-        out.append((doc_id, len(words), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+        long = matches_of(words, items, window)
+        told = ",".join(f"{name}:{j}:{i}:{n}" for j, name, i, n in long)
+        out.append((doc_id, len(words), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit), max((m[3] for m in long), default=0), told))
     return out
 
 
@@ -91,3 +115,17 @@ def test_an_item_above_the_bound_is_searched_in_pieces(spark):
     )
     assert whole == cut and ("long2", 0, 0, 90) in whole[0][3]
     assert list(decontaminate.pieces("a b", 4, 1)) == [(0, "a b")] and list(decontaminate.pieces("--", 4, 1)) == []
+
+
+def test_sql_equals_the_operator(spark, tmp_path):
+    rows, items = data(4)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    db = duckdb.connect()
+    for name, table in (("documents", docs), ("benchmark", benchmark)):
+        table.write.parquet(str(tmp_path / name))
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    found = decontaminate.digests(docs, benchmark)
+    theirs = db.execute(CHECKS["op5_decontamination"])
+    assert [d[0] for d in theirs.description] == found.columns
+    assert sorted_rows(theirs.fetchall()) == sorted_rows(found.collect())

@@ -6,12 +6,13 @@ A byte goes if some `width`-byte string that covers it also starts in a document
    windows pick equal q-grams at equal places. Slices send their anchors' hashes to hash partitions and learn which
    ones other documents have too: all other windows are unique.
 2. Suffixes. Each shared anchor goes, with the bytes of the windows that picked it, to the partition of its q-gram: the
-   q-gram buckets, so equal windows meet. Equal stretches within a slice are sent once. Where a bucket holds different
-   stretches, their suffixes are sorted to `width` bytes: first by 8 bytes, then again and again by the pair of
-   the bucket and the bucket of the suffix that many bytes later, each round using the buckets of the last; buckets
-   of one suffix are left as they are. Suffixes that end in one bucket are equal byte for byte, and the smallest doc_id
-   of a bucket keeps its copy. A q-gram that very many slices share is dealt by whole windows instead, so its different
-   neighbourhoods spread over all partitions.
+   q-gram buckets, so equal windows meet. Equal stretches are packed into one. Where a bucket holds different
+   stretches, their suffixes are sorted by bucket-pointer refinement: buckets by the first 8 bytes, of which one run after
+   another is refined to the end. A bucket is parted by the pointers of the suffixes that come after its common bytes; the new
+   pointers are stored at once, its parts are refined by them in turn, and later runs find them, so a look at a refined
+   bucket gives more than 8 bytes. Buckets of one suffix and those that agree in `width` bytes are left. Windows that agree in
+   `width` bytes are neighbours then, and the smallest doc_id among them keeps its copy. A q-gram that very many slices
+   share is dealt by whole windows instead, so its different neighbourhoods spread over all partitions.
 3. Removal. Slices get their repeated windows back and cut them out.
 
 Hashes only bring candidates together; what is removed has been compared byte by byte.
@@ -37,6 +38,8 @@ from netspark.llm.common import mix
 WIDTH, Q = 50, 20
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
+#: Suffixes that are refined together; the next ones use their pointers.
+RUN = 1 << 15
 #: Slices that share a q-gram before its windows are dealt singly.
 HOT_SLICES = 2000
 _BASE = 0x9E3779B97F4A7C15
@@ -121,49 +124,68 @@ def smallest(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def buckets(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+def buckets(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, run: int = RUN) -> np.ndarray:
     """Bucket of the suffix at each place of `data`, equal for suffixes that agree in `width` bytes.
 
-    Only places from which `width` bytes follow within a stretch have one that means anything. A bucket's number is
-    the place of its first suffix in the sorted order, so parting a bucket leaves all other numbers as they are.
+    Only places from which `width` bytes follow within a stretch have one that means anything. The order is that of whole
+    suffixes, an end before every byte. A bucket's pointer is the place of its first suffix in the sorted order, so
+    parting a bucket leaves all other pointers as they are; `depth` is the number of bytes its suffixes are known to share.
     """
+    n = len(data)
     at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    left = np.repeat(length, length) - at
-    place = np.repeat(start, length) + at
-    depth = min(8, width)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(data) + 1,), (1,))
-    bucket = np.zeros(len(data), np.int64)
-    whole = place[left >= depth]
-    left = left[left >= depth]
-    key = word[whole].astype(np.uint64) >> np.uint64(8 * (8 - depth))
-    bucket[whole] = _numbers(key, np.zeros(len(whole), np.int64))
-    while depth < width:
-        step = min(depth, width - depth)
-        whole, left = whole[left >= depth + step], left[left >= depth + step]
-        size = np.bincount(bucket[whole], minlength=1) if len(whole) else np.zeros(1, np.int64)
-        several = whole[size[bucket[whole]] > 1]
-        key = bucket[several].astype(np.uint64) * np.uint64(len(data) + 1) + bucket[several + step].astype(np.uint64)
-        # All new numbers come from those before, so that each round has one depth.
-        bucket[several] = _numbers(key, bucket[several])
-        depth += step
-    return bucket
-
-
-def _numbers(key: np.ndarray, old: np.ndarray) -> np.ndarray:
-    """New bucket numbers of suffixes with these sort keys, which agree with the order of the old numbers."""
-    order = np.argsort(key, kind="stable")
-    sorted_key, sorted_old = key[order], old[order]
-    index = np.arange(len(key))
-    begins = np.append(True, sorted_key[1:] != sorted_key[:-1])[: len(key)]
-    bucket_begins = np.append(True, sorted_old[1:] != sorted_old[:-1])[: len(key)]
-    sub = np.maximum.accumulate(np.where(begins, index, 0))
-    whole = np.maximum.accumulate(np.where(bucket_begins, index, 0))
-    out = np.empty(len(key), np.int64)
-    out[order] = sorted_old + sub - whole
+    left = np.zeros(n, np.int64)
+    left[np.repeat(start, length) + at] = np.repeat(length, length) - at
+    word = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)])[:8].view(">u8"), (n + 1,), (1,))[:n].astype(np.uint64)
+    inside = np.minimum(left, 8)
+    gram = np.where(inside > 0, word >> (8 * (8 - np.maximum(inside, 1))).astype(np.uint64) << (8 * (8 - np.maximum(inside, 1))).astype(np.uint64), np.uint64(0))
+    order = np.lexsort((inside, gram))
+    begins = np.append(True, (gram[order[1:]] != gram[order[:-1]]) | (inside[order[1:]] != inside[order[:-1]]))[:n]
+    first = np.flatnonzero(begins)
+    pointer, depth = np.empty(n, np.int64), np.zeros(n, np.int64)
+    pointer[order] = np.repeat(first, np.diff(np.append(first, n)))
+    # Suffixes that end within their gram are equal to their ends, and done.
+    depth[first] = np.where(inside[order[first]] < 8, width, 8)
+    size = np.diff(np.append(first, n))
+    open_ = (size > 1) & (depth[first] < width)
+    waiting = np.flatnonzero(np.repeat(open_, size))
+    begin = 0
+    while begin < len(waiting):
+        # Whole buckets; they are refined to the end before the next ones, which find their pointers.
+        last = pointer[order[waiting[min(begin + run, len(waiting)) - 1]]]
+        end = int(np.searchsorted(waiting, last + size[np.searchsorted(first, last)]))
+        todo, begin = waiting[begin:end], end
+        while len(todo):
+            todo = _refined(todo, order, pointer, depth, left, width)
+    # Buckets may be parted by what comes after `width` bytes: neighbours that agree that far are one again.
+    window = order[left[order] >= width]
+    same = np.ones(max(len(window) - 1, 0), bool)
+    for k in [*range(0, width - 7, 8), max(width - 8, 0)]:
+        seen = word[window + k] >> np.uint64(8 * max(8 - width, 0))
+        same &= seen[1:] == seen[:-1]
+    out = np.zeros(n, np.int64)
+    out[window] = np.cumsum(np.append(True, ~same)[: len(window)])
     return out
 
 
+def _refined(todo: np.ndarray, order: np.ndarray, pointer: np.ndarray, depth: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """Part the buckets that fill the places `todo` of the order by the pointers of what comes after their common bytes,
+    store the new pointers, and return the places of the buckets that are still open."""
+    suffix = order[todo]
+    old = pointer[suffix]
+    shared = depth[old]
+    later = np.where(left[suffix] > shared, pointer[np.minimum(suffix + shared, len(order) - 1)] + 1, 0)
+    place = np.argsort(old.astype(np.uint64) * np.uint64(len(order) + 1) + later.astype(np.uint64), kind="stable")
+    suffix, later = suffix[place], later[place]
+    head = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (later[1:] != later[:-1])))
+    size = np.diff(np.append(head, len(todo)))
+    # A pointer that was refined before tells of more bytes than a gram.
+    known = np.where(later[head] > 0, shared[head] + depth[later[head] - 1], width)
+    order[todo] = suffix
+    pointer[suffix] = np.repeat(todo[head], size)
+    depth[todo[head]] = known
+    return todo[np.repeat((size > 1) & (known < width), size)]
+
+
 def repeated(matrix: np.ndarray, doc: np.ndarray, width: int, q: int) -> np.ndarray:
     """For each stretch, a bit per window: does it also stand in a document with a smaller id?"""
     windows = matrix[:, 1].astype(np.uint64)

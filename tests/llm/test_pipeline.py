@@ -45,7 +45,7 @@ def test_each_stage_on_its_own_input(spark, folder):
     heads = {x: min((r[0] for r, y in zip(quality, label) if x == y and r[0] is not None), default=None) for x in label}
     assert sorted(r[0] for r in single if r[0] is not None) == sorted(h for h in heads.values() if h is not None)
     assert sum(r[0] is None for r in single) == sum(h is None for h in heads.values())
-    hit = {r[0]: r[-1] for r in test_decontaminate.expected(single, items, 10)}
+    hit = {r[0]: r[5] for r in test_decontaminate.expected(single, items, 10)}
     assert clean == [r for r in single if not hit[r[0]]]
     assert len(redacted) == len(clean)
     for before, after in zip(sorted(clean, key=lambda r: str(r[0])), sorted(redacted, key=lambda r: str(r[0]))):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from netspark.llm import packed, suffix_dedup
 
@@ -80,16 +81,55 @@ def test_pieces_meet_at_their_edges(monkeypatch):
         assert ((place >= last - 0) | (place >= first)).all() and (place + 8 <= first + 20).all()
 
 
-def test_buckets_equal_windows():
+@pytest.mark.parametrize("run", [1, 60, 1 << 15])
+def test_buckets_equal_windows(run):
     rng = np.random.default_rng(4)
     for width in (5, 8, 13, 16, 50):
         length = rng.integers(width, width + 12, 40)
         data = rng.integers(97, 99 if width > 13 else 101, length.sum()).astype(np.uint8)
         data[: len(data) // 2] = 97
+        data[-30:] = 0
         start = np.cumsum(length) - length
-        bucket = suffix_dedup.buckets(data, start, length, width)
+        bucket = suffix_dedup.buckets(data, start, length, width, run)
         raw, seen = data.tobytes(), {}
         for s, n in zip(start, length):
             for i in range(s, s + n - width + 1):
                 assert seen.setdefault(raw[i : i + width], bucket[i]) == bucket[i]
         assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("run", [1, 40, 1 << 15])
+def test_refinement_gives_the_suffix_array(run, monkeypatch):
+    rng = np.random.default_rng(5)
+    for letters in (1, 2, 4):
+        length = rng.integers(1, 60, 25)
+        data = rng.integers(0, letters, length.sum()).astype(np.uint8)
+        start = np.cumsum(length) - length
+        ends = np.repeat(start + length, length)
+        held = {}
+        refined = suffix_dedup._refined
+
+        def watched(todo, order, pointer, depth, left, width):
+            held.update(order=order, pointer=pointer)
+            return refined(todo, order, pointer, depth, left, width)
+
+        monkeypatch.setattr(suffix_dedup, "_refined", watched)
+        suffix_dedup.buckets(data, start, length, 64, run)  # no suffix has as many bytes, so all are sorted to their ends
+        monkeypatch.setattr(suffix_dedup, "_refined", refined)
+        suffixes = [data[i : ends[i]].tobytes() for i in held["order"]]
+        assert suffixes == sorted(suffixes)
+        pointers = held["pointer"][held["order"]]
+        assert all((a == b) == (p == q) for a, b, p, q in zip(suffixes, suffixes[1:], pointers, pointers[1:]))
+
+
+def test_later_runs_use_the_new_pointers(monkeypatch):
+    text = np.frombuffer(bytes(range(65, 91)) * 40, np.uint8)
+    start, length = np.zeros(1, np.int64), np.array([len(text)])
+    steps = []
+    refined = suffix_dedup._refined
+    monkeypatch.setattr(suffix_dedup, "_refined", lambda todo, *rest: (steps.append(len(todo)), refined(todo, *rest))[1])
+    suffix_dedup.buckets(text, start, length, 400, 1)
+    reused = sum(steps)
+    steps.clear()
+    suffix_dedup.buckets(text, start, length, 400, 1 << 15)
+    assert reused < sum(steps)  # buckets that look at refined ones need fewer steps

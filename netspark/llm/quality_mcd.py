@@ -1,11 +1,13 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 Each document has a vector of transformed statistics. For every (lang, source) the minimum covariance determinant is
-estimated by concentration steps: from medians and median deviations, the nearest `core` share of the group gives the
-next mean and covariance, and so on; every step lowers the determinant. The covariance is then scaled, up or down, so
-that the median distance is what a normal sample would have, and a document whose squared Mahalanobis distance is beyond
-the chi-square quantile is rejected. Groups with fewer than `least_rows` documents that pass the base rules use the
-estimate over all documents. Statistics that hardly vary in a group get the spread `floor` at least, in every step and
+estimated by concentration steps: the nearest `core` share of the group gives the next mean and covariance, and so on,
+until the determinant falls by no more than `least_fall` (in its logarithm) or after `steps` steps. There are two starts, medians with median
+deviations and the moments of all rows; the one that ends with the smaller determinant counts. The covariance is then
+scaled, up or down, so that the median distance is what a normal sample would have, and a document whose squared Mahalanobis
+distance is beyond the chi-square quantile is rejected. A group of n documents that pass the base rules is judged by the
+moments of a mixture: its own estimate with the share n / (n + `shrink`), that of all documents with the rest, so nothing
+jumps as a group grows. Statistics that hardly vary in a group get the spread `floor` at least, in every step and
 after scaling, so that a majority of equal values does not make every other value an outlier; what such a statistic
 takes from the distances is taken from the median of the normal sample too.
 
@@ -14,7 +16,7 @@ MOST_GROUPS of them and joined on salted keys beyond that, so a hot source is ne
 taken in each task first.
 
 Null and empty texts have no words and fail the base rules. A null lang or source is a group of its own.
-Repeated rows count as often as they stand. An empty table gives no rows. Columns of clashing names do not matter:
+Very long texts are taken whole. Repeated rows count as often as they stand. An empty table gives no rows. Columns of clashing names do not matter:
 only doc_id, text, lang and source are read, and `keep` hands on all columns as they are.
 """
 
@@ -37,9 +39,10 @@ FEATURES = ["word_length", "symbols", "capitals", "repeats", "dup_lines", "lengt
 @dataclass(frozen=True)
 class McdParams:
     core: float = 0.75
-    steps: int = 4
+    steps: int = 20
+    least_fall: float = 0.01
     quantile: float = 0.9999
-    least_rows: int = 100
+    shrink: int = 50
     least_words: int = 20
     most_repeat_percent: int = 30
     #: Least standard deviation of each of FEATURES. Where no other text repeats anything, copies of more than 54 % of the
@@ -167,47 +170,87 @@ def attach(rows: DataFrame, group: Column, estimates: DataFrame, n_groups: int)
     return rows.join(salted, (group == salted["group"]) & (salt == salted["salt"]), "left").drop(salted["group"], salted["salt"])
 
 
-def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]:
-    """group, mean_i, l_i_j for every group of `statistics` (rows of the struct) that has a member, and their number."""
-    ok = statistics.filter(~F.col("base_failed"))
-    sizes = cut(statistics.groupBy("group").agg(F.count_if(~F.col("base_failed")).alias("rows")))
-    n_groups = sizes.count()
-    # Small groups share the estimate over all documents, which is group * here.
-    named = attach(ok.select("doc_id", F.col("group").alias("own"), *FEATURES), F.col("own"), sizes, n_groups)
-    own = named.select("doc_id", F.when(F.col("rows") >= params.least_rows, F.col("own")).alias("mine"), *FEATURES)
-    # A row of a large group counts for its group and for the whole.
-    rows = own.select("doc_id", F.explode(F.array_distinct(F.array(F.coalesce("mine", F.lit("*")), F.lit("*")))).alias("mine"), *FEATURES)
-    middle = rows.groupBy(F.col("mine").alias("group")).agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"mean_{i}") for i, x in enumerate(FEATURES)))
-    middle = cut(middle)
-    away = attach(rows, F.col("mine"), middle, n_groups + 1)
-    spread = away.groupBy(F.col("mine").alias("group")).agg(
-        *(F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(len(FEATURES))),
-        *(F.percentile_approx(F.abs(F.col(x) - F.col(f"mean_{i}")), 0.5, 1000).alias(f"mad_{i}") for i, x in enumerate(FEATURES)),
+def _moments(rows: DataFrame, *more: Column) -> DataFrame:
+    """group, means mean_i and covariances v_i_j of FEATURES for each `mine`, and further aggregates."""
+    return rows.groupBy(F.col("mine").alias("group")).agg(
+        *(F.avg(x).alias(f"mean_{i}") for i, x in enumerate(FEATURES)),
+        *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"v_{i}_{j}") for i, j in _PAIRS),
+        *more,
     )
-    moments = spread.select(
-        "group",
+
+
+def starts(rows: DataFrame, params: McdParams, n_groups: int) -> DataFrame:
+    """The two starts of each group, named 0 and 1 before its name: medians with median deviations, and all its moments."""
+    plain = cut(_moments(rows, *(F.percentile_approx(x, 0.5, 1000).alias(f"middle_{i}") for i, x in enumerate(FEATURES))))
+    middle = plain.select("group", *(f"middle_{i}" for i in range(len(FEATURES))))
+    spread = attach(rows, F.col("mine"), middle, n_groups).groupBy(F.col("mine").alias("group")).agg(
+        *(F.first(f"middle_{i}").alias(f"mean_{i}") for i in range(len(FEATURES))),
+        *(F.percentile_approx(F.abs(F.col(x) - F.col(f"middle_{i}")), 0.5, 1000).alias(f"mad_{i}") for i, x in enumerate(FEATURES)),
+    )
+    robust = spread.select(
+        F.concat(F.lit("0"), "group").alias("group"),
         *(f"mean_{i}" for i in range(len(FEATURES))),
         *((F.pow(F.col(f"mad_{i}") * 1.4826, F.lit(2)) if i == j else F.lit(0.0)).alias(f"v_{i}_{j}") for i, j in _PAIRS),
     )
-    now = cut(_with_factor(moments, params))
+    return robust.unionByName(plain.select(F.concat(F.lit("1"), "group").alias("group"), *robust.columns[1:]))
+
+
+def concentrate(rows: DataFrame, first: DataFrame, params: McdParams, n_groups: int) -> DataFrame:
+    """Concentration steps of each group of `first` over its rows, until its determinant falls no more: the estimate with its
+    log determinant `size`. A step that would raise the determinant, which floors and approximate quantiles can do, is not taken."""
+    columns = ["group", *(f"mean_{i}" for i in range(len(FEATURES))), *(f"{x}_{i}_{j}" for x in "vl" for i, j in _PAIRS)]
+    now = cut(_with_factor(first, params).select("*", F.lit(None).cast("double").alias("size"), F.lit(True).alias("open")))
+    log_determinant = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(len(FEATURES))), F.lit(0.0)) * 2
     for _ in range(params.steps):
-        far = attach(rows, F.col("mine"), now, n_groups + 1).select("mine", *FEATURES, _distance().alias("d2"))
-        edge = cut(far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", params.core, 1000).alias("edge")))
-        bounds = now.join(edge, "group")
-        core = attach(rows, F.col("mine"), cut(bounds), n_groups + 1).filter(_distance() <= F.col("edge"))
-        moments = core.groupBy(F.col("mine").alias("group")).agg(
-            *(F.avg(x).alias(f"mean_{i}") for i, x in enumerate(FEATURES)),
-            *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"v_{i}_{j}") for i, j in _PAIRS),
-        )
-        now = cut(_with_factor(moments, params))
+        # Only groups that still fall have their rows read on.
+        live = now.filter("open")
+        far = attach(rows, F.col("mine"), live, n_groups).filter(F.col("mean_0").isNotNull()).select("mine", _distance().alias("d2"))
+        edge = far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", params.core, 1000).alias("edge"))
+        core = attach(rows, F.col("mine"), cut(live.join(edge, "group")), n_groups).filter(_distance() <= F.col("edge"))
+        new = _with_factor(_moments(core), params).select(*columns, log_determinant.alias("size"))
+        before = live.select(F.col("group").alias("name"), F.col("size").alias("was"), F.struct(*columns[1:], "size").alias("old"))
+        met = before.join(new.select(F.col("group").alias("name"), F.struct(*columns[1:], "size").alias("new")), "name")
+        falls = F.col("was").isNull() | (F.col("new.size") < F.col("was"))
+        on = F.col("was").isNull() | (F.col("new.size") < F.col("was") - params.least_fall)
+        step = met.select(F.col("name").alias("group"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), on.alias("open")).select("group", "e.*", "open")
+        now = cut(step.unionByName(now.filter("not open")))
+        if now.filter("open").isEmpty():
+            break
+    return now
+
+
+def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]:
+    """group, mean_i, l_i_j for every group of `statistics` (rows of the struct) that has a member, and their number."""
+    ok = statistics.filter(~F.col("base_failed"))
+    sizes = cut(statistics.groupBy("group").agg(F.count_if(~F.col("base_failed")).alias("rows")))
+    n_groups = sizes.count()
+    # Each row counts for its group and for the whole, which is group * here.
+    rows = ok.select("doc_id", F.explode(F.array(F.col("group"), F.lit("*"))).alias("mine"), *FEATURES)
+    twice = rows.select("doc_id", F.explode(F.array(*(F.concat(F.lit(x), "mine") for x in "01"))).alias("mine"), *FEATURES)
+    found = concentrate(twice, starts(rows, params, n_groups + 1), params, 2 * n_groups + 2)
+    # Of both starts, the one that came to the smaller determinant.
+    parts = [c for c in found.columns if c not in ("group", "size", "open")]
+    best = found.groupBy(F.expr("substr(group, 2)").alias("group")).agg(F.min(F.struct("size", F.col("group").alias("start"), *parts)).alias("e"))
+    now = cut(best.select("group", *(f"e.{c}" for c in parts)))
     far = attach(rows, F.col("mine"), now, n_groups + 1).select("mine", _distance().alias("d2"))
     half = far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
     scale = F.col("half") / _normal_median(params)
-    scaled = now.join(half, "group").select("group", *(f"mean_{i}" for i in range(len(FEATURES))), *((F.col(f"v_{i}_{j}") * scale).alias(f"v_{i}_{j}") for i, j in _PAIRS))
-    final = cut(_with_factor(scaled, params)).drop(*(f"v_{i}_{j}" for i, j in _PAIRS))
-    # Every group that there is gets its own estimate or that of the whole.
-    found = sizes.select(F.col("group").alias("name"), F.when(F.col("rows") >= params.least_rows, F.col("group")).otherwise(F.lit("*")).alias("group"))
-    return cut(found.join(final, "group").drop("group").withColumnRenamed("name", "group")), n_groups
+    means = [f"mean_{i}" for i in range(len(FEATURES))]
+    scaled = cut(now.join(half, "group").select("group", *means, *((F.col(f"v_{i}_{j}") * scale).alias(f"v_{i}_{j}") for i, j in _PAIRS)))
+    # Moments of a mixture: a group of n rows has the share n / (n + shrink), the whole has the rest.
+    whole = scaled.filter("group = '*'").select(F.col("group").alias("all"), *(F.col(c).alias(f"w_{c}") for c in scaled.columns if c != "group"))
+    met = sizes.withColumn("all", F.lit("*")).join(whole, "all").join(scaled, "group", "left")
+    share = F.col("rows") / (F.col("rows") + params.shrink)
+    apart = lambda i: F.coalesce(F.col(f"mean_{i}") - F.col(f"w_mean_{i}"), F.lit(0.0))
+    mixed = met.select(
+        "group",
+        *((F.col(f"w_mean_{i}") + share * apart(i)).alias(f"mean_{i}") for i in range(len(FEATURES))),
+        *(
+            (share * F.coalesce(F.col(f"v_{i}_{j}"), F.lit(0.0)) + (1 - share) * F.col(f"w_v_{i}_{j}") + share * (1 - share) * apart(i) * apart(j)).alias(f"v_{i}_{j}")
+            for i, j in _PAIRS
+        ),
+    )
+    return cut(_with_factor(mixed, params).drop(*(f"v_{i}_{j}" for i, j in _PAIRS))), n_groups
 
 
 def judged(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:

@@ -5,9 +5,8 @@ order with a learned n-gram add their mean log frequency; if none is known, the
 The language with the largest sum wins; the score is its share under equal priors.
 
 The model is fitted on a bounded sample: of every language about `docs_per_lang` labelled documents, whole, chosen by a
-hash of their id, and keeps the most frequent `words` words and `grams` n-grams of each order and language. These bounds
-are parameters of the fit, so the model that goes to every task has at most (words + 4 * grams) * languages rows. Every
-document is predicted from its whole text.
+hash of their id, and keeps every word and n-gram of these. This bound is a parameter of the fit: the model that goes to
+every task has the vocabulary of at most about `docs_per_lang` documents a language. Every document is predicted from its whole text.
 
 A null text or one without letters is `und` with score 0, as is any text if nothing could be learned. A null lang
 teaches nothing; a null doc_id teaches nothing and is not held out. Equal sums go to the language that sorts first.
@@ -24,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netspark.llm.common import slices
@@ -40,8 +39,6 @@ MEMORY, BLOCK = 200_000, 50_000
 @dataclass(frozen=True)
 class LanguageParams:
     docs_per_lang: int = 3000
-    words: int = 30_000
-    grams: int = 5_000
     smooth: float = 0.5
 
 
@@ -103,10 +100,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["lang", "kind", "token", "n"]) if out else _nothing()
 
     counted = sample.mapInArrow(count, "lang string, kind bigint, token string, n bigint").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    totals = {(r["lang"], r["kind"]): r["n"] for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token"))
-    top = counted.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("kind") == 0, params.words).otherwise(params.grams))
-    kept = top.select("lang", "kind", "token", "n").toArrow()
+    kept = counted.toArrow()
     number = {lang: i for i, lang in enumerate(languages)}
     rows, tables = [], []
     for kind in (0, *ORDERS):
@@ -116,9 +110,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
         counts = np.zeros((len(names), len(languages)))
         for lang, token, n in zip(part.column("lang").to_pylist(), part.column("token").to_pylist(), part.column("n").to_pylist(), strict=True):
             counts[row[token], number[lang]] = n
-        total = np.array([totals.get((lang, kind), 0) for lang in languages], float)
         rows.append(row)
-        tables.append(np.log((counts + params.smooth) / (total + params.smooth * max(1, len(names)))).astype(np.float32))
+        tables.append(np.log((counts + params.smooth) / (counts.sum(axis=0) + params.smooth * max(1, len(names)))).astype(np.float32))
     return Model(languages, rows, tables)
 
 

@@ -1,5 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter
+
+import pytest
 
 from netspark.llm import language_id
 from netspark.llm.language_id import LanguageParams
@@ -28,6 +32,55 @@ def test_held_out_documents_are_recognised(spark):
     assert all(0 <= r.score <= 1 for r in found) and {r.lang_pred for r in found} <= set(COMMON)
 
 
+def plain_predictions(rows, smooth):
+    """(lang, score) of every text by the definition: counted words and n-grams of the taught rows, backed off word by word."""
+    counts = {}
+    for doc_id, text, lang in rows:
+        if doc_id is not None and lang is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            for w in language_id.words_of(text):
+                marked = f" {w} "
+                tokens = [(0, w), *((k, marked[i : i + k]) for k in (2, 3, 4) for i in range(len(marked) - k + 1)), *((1, c) for c in w)]
+                for kind, token in tokens:
+                    counts.setdefault(lang, {}).setdefault(kind, Counter())[token] += 1
+    langs = sorted(counts)
+    known = {k: set().union(*(counts[x].get(k, ()) for x in langs)) for k in range(5)}
+
+    def log(lang, kind, token):
+        c = counts[lang].get(kind, Counter())
+        return math.log((c[token] + smooth) / (c.total() + smooth * len(known[kind])))
+
+    out = []
+    for _, text, _ in rows:
+        words = language_id.words_of(text or "")
+        if not any(c.isalpha() for w in words for c in w):
+            out.append(("und", 0.0))
+            continue
+        total = dict.fromkeys(langs, 0.0)
+        for w in words:
+            for kind in (0, 4, 3, 2, 1):
+                marked = f" {w} "
+                tokens = [w] if kind == 0 else list(w) if kind == 1 else [marked[i : i + kind] for i in range(len(marked) - kind + 1)]
+                tokens = [t for t in tokens if t in known[kind]]
+                if tokens:
+                    for lang in langs:
+                        total[lang] += sum(log(lang, kind, t) for t in tokens) / len(tokens)
+                    break
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)))
+    return out
+
+
+def test_predictions_equal_the_definition(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, lang, rng.randint(1, 25)), lang) for i in range(200) for lang in [rng.choice(list(COMMON))]]
+    rows += [(300, "zzqq Übung", None), (301, "12 !", "en"), (302, None, "de"), (None, "the der", "en"), (303, "日本 the", "es")]
+    found = language_id.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()
+    assert [r.doc_id for r in found] == [r[0] for r in rows]
+    for r, (lang, score) in zip(found, plain_predictions(rows, LanguageParams().smooth)):
+        # Sums of 32-bit logarithms: equal up to rounding.
+        assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == lang or score < 0.5001)
+
+
 def test_words_first_then_shorter_grams(spark):
     docs = spark.createDataFrame([(0, "gift gift xylo", "de"), (1, "gift xyz", "en"), (3, "ñandu", "es")], "doc_id long, text string, lang string")
     model = language_id.fit(docs.filter("doc_id < 9"), LanguageParams(smooth=0.5))

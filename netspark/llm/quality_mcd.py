@@ -33,6 +33,8 @@ from netspark.llm.common import cut
 SPACE, VISIBLE = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
 MOST_GROUPS, SALTS = 10_000, 64
+#: Rows of statistics that a task of a step reads at least, where there are as many.
+TASK_ROWS = 20_000
 FEATURES = ["word_length", "symbols", "capitals", "repeats", "dup_lines", "length"]
 
 
@@ -223,7 +225,9 @@ def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]
     """group, mean_i, l_i_j for every group of `statistics` (rows of the struct) that has a member, and their number."""
     ok = statistics.filter(~F.col("base_failed"))
     sizes = cut(statistics.groupBy("group").agg(F.count_if(~F.col("base_failed")).alias("rows")))
-    n_groups = sizes.count()
+    n_groups, total = sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    # Texts come in many partitions; their statistics are small, and each step would leave files for every one of them.
+    ok = ok.coalesce(max(ok.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS)))
     # Each row counts for its group and for the whole, which is group * here.
     rows = ok.select("doc_id", F.explode(F.array(F.col("group"), F.lit("*"))).alias("mine"), *FEATURES)
     twice = rows.select("doc_id", F.explode(F.array(*(F.concat(F.lit(x), "mine") for x in "01"))).alias("mine"), *FEATURES)

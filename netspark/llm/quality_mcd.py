@@ -181,9 +181,14 @@ def _moments(rows: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def _held(estimates_: DataFrame, n_groups: int) -> DataFrame:
+    """A table of a row per group, cut, in as many partitions as its rows need, however many partitions it was made from."""
+    return cut(estimates_.repartition(1 + n_groups // 1000))
+
+
 def starts(rows: DataFrame, params: McdParams, n_groups: int) -> DataFrame:
     """The two starts of each group, named 0 and 1 before its name: medians with median deviations, and all its moments."""
-    plain = cut(_moments(rows, *(F.percentile_approx(x, 0.5, 1000).alias(f"middle_{i}") for i, x in enumerate(FEATURES))))
+    plain = _held(_moments(rows, *(F.percentile_approx(x, 0.5, 1000).alias(f"middle_{i}") for i, x in enumerate(FEATURES))), n_groups)
     middle = plain.select("group", *(f"middle_{i}" for i in range(len(FEATURES))))
     spread = attach(rows, F.col("mine"), middle, n_groups).groupBy(F.col("mine").alias("group")).agg(
         *(F.first(f"middle_{i}").alias(f"mean_{i}") for i in range(len(FEATURES))),
@@ -201,21 +206,21 @@ def concentrate(rows: DataFrame, first: DataFrame, params: McdParams, n_groups:
     """Concentration steps of each group of `first` over its rows, until its determinant falls no more: the estimate with its
     log determinant `size`. A step that would raise the determinant, which floors and approximate quantiles can do, is not taken."""
     columns = ["group", *(f"mean_{i}" for i in range(len(FEATURES))), *(f"{x}_{i}_{j}" for x in "vl" for i, j in _PAIRS)]
-    now = cut(_with_factor(first, params).select("*", F.lit(None).cast("double").alias("size"), F.lit(True).alias("open")))
+    now = _held(_with_factor(first, params).select("*", F.lit(None).cast("double").alias("size"), F.lit(True).alias("open")), n_groups)
     log_determinant = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(len(FEATURES))), F.lit(0.0)) * 2
     for _ in range(params.steps):
         # Only groups that still fall have their rows read on.
         live = now.filter("open")
         far = attach(rows, F.col("mine"), live, n_groups).filter(F.col("mean_0").isNotNull()).select("mine", _distance().alias("d2"))
         edge = far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", params.core, 1000).alias("edge"))
-        core = attach(rows, F.col("mine"), cut(live.join(edge, "group")), n_groups).filter(_distance() <= F.col("edge"))
+        core = attach(rows, F.col("mine"), _held(live.join(edge, "group"), n_groups), n_groups).filter(_distance() <= F.col("edge"))
         new = _with_factor(_moments(core), params).select(*columns, log_determinant.alias("size"))
         before = live.select(F.col("group").alias("name"), F.col("size").alias("was"), F.struct(*columns[1:], "size").alias("old"))
         met = before.join(new.select(F.col("group").alias("name"), F.struct(*columns[1:], "size").alias("new")), "name")
         falls = F.col("was").isNull() | (F.col("new.size") < F.col("was"))
         on = F.col("was").isNull() | (F.col("new.size") < F.col("was") - params.least_fall)
         step = met.select(F.col("name").alias("group"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), on.alias("open")).select("group", "e.*", "open")
-        now = cut(step.unionByName(now.filter("not open")))
+        now = _held(step.unionByName(now.filter("not open")), n_groups)
         if now.filter("open").isEmpty():
             break
     return now
@@ -235,7 +240,7 @@ def estimates(statistics: DataFrame, params: McdParams) -> tuple[DataFrame, int]
     # Of both starts, the one that came to the smaller determinant.
     parts = [c for c in found.columns if c not in ("group", "size", "open")]
     best = found.groupBy(F.expr("substr(group, 2)").alias("group")).agg(F.min(F.struct("size", F.col("group").alias("start"), *parts)).alias("e"))
-    now = cut(best.select("group", *(f"e.{c}" for c in parts)))
+    now = _held(best.select("group", *(f"e.{c}" for c in parts)), n_groups)
     far = attach(rows, F.col("mine"), now, n_groups + 1).select("mine", _distance().alias("d2"))
     half = far.groupBy(F.col("mine").alias("group")).agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
     scale = F.col("half") / _normal_median(params)

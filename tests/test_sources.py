@@ -111,6 +111,17 @@ def test_packets_written_as_captures_come_back(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == sorted((r[1:] for r in rows), key=str)
 
 
+def test_hosts_without_an_address_come_back_from_captures(spark, tmp_path):
+    """Client numbers beyond 65 535 give texts like 10.0.360.1, which no IPv4 header can hold."""
+    rows = [(1_000_000, 6, "10.0.360.1", "192.168.1.2", 1, 22, 60, "S"), (2_500_001, 17, "192.168.1.2", "printer", 53, 9, 48, None),
+            (3_000_000, 1, "240.0.0.1", "255.255.255.255", 0, 0, 40, None), (4_000_000, 6, "printer", "10.0.360.1", 2, 3, 61, "FA")]
+    columns = "ts_us bigint, protocol int, src_ip string, dst_ip string, src_port int, dst_port int, size int, tcp_flags string"
+    df = spark.createDataFrame(rows, columns).coalesce(1)
+    captures.write_captures(df, str(tmp_path / "named"))
+    got = captures.decode_captures(spark, str(tmp_path / "named"), "part-*").select(*df.columns).collect()
+    assert sorted(map(tuple, got)) == rows
+
+
 def test_packet_files_and_audit(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(capture([(1.5, ETHER + ip_packet(6, A, B, tcp(1, 2, 0x02)))]))
     rows = captures.decode_captures(spark, str(tmp_path))

@@ -202,3 +202,7 @@ def test_labelled_table_round_trip(spark, tmp_path):
     assert sorted(r["id"] for r in high.collect()) == [1, 2, 11, 12]
     assert "PushedFilters: [IsNotNull(confidence), EqualTo(confidence,high)]" in high._jdf.queryExecution().executedPlan().toString()
     assert with_features(high).first()["features"]["protocol"] is not None
+
+
+def test_training_tasks_follow_the_rows():
+    assert [T.training_tasks(n) for n in (0, 10, 20_000, 20_001, 1_000_000)] == [1, 1, 1, 2, 50]

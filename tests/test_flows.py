@@ -135,3 +135,10 @@ def test_direction_per_packet(spark):
             want[p[0]] = "forward" if (p[3], p[5]) == f["src"] else "backward"
     got = {r["arrival_seq"]: r["direction"] for r in with_direction(assembled(spark, packets)).collect()}
     assert got == want
+
+
+def test_flows_are_hashed_not_sorted(spark):
+    sessions = assembled(spark, random_packets(3))
+    for df in (flows(sessions), flow_features(sessions)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan

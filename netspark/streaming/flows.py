@@ -1,7 +1,7 @@
 """Continuous flow assembly: packets in, finished flows out.
 
-State per flow key is one open flow as partial aggregates (35 doubles), never its packets. A flow
-is emitted when a packet closes it, or when the watermark passes its last packet by
+State per flow key is one open flow as partial aggregates (35 doubles), never its packets; keys share the
+state rows of their buckets, and a bucket's packets are folded together by array operations. A flow is emitted when a packet closes it, or when the watermark passes its last packet by
 the idle timeout. The features follow from the aggregates as column expressions.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -124,39 +125,171 @@ def _take(p: dict[str, np.ndarray], held: tuple | None, timeout_us: int, protoco
     return done, held
 
 
+#: Flow keys share the state of their bucket, so a call of the Python worker serves many of them.
+BUCKETS = 1024
+ROWS_PER_BUCKET = 16_384
+_HELD_COLUMNS = [*KEY, *(c for c in _STATE_COLUMNS if c != "sums")]
+
+
+def _codes(*columns: pd.DataFrame) -> list[np.ndarray]:
+    """The flow keys of several frames as numbers, equal where the keys are."""
+    keys = pd.concat([c[KEY] for c in columns], ignore_index=True)
+    code = np.zeros(len(keys), dtype=np.int64)
+    for name in KEY:
+        part, values = pd.factorize(keys[name], use_na_sentinel=False)
+        code = pd.factorize(code * max(len(values), 1) + part)[0]
+    return np.split(code, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _segment_measure(values: np.ndarray, mask: np.ndarray, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """``_measure`` of the masked values of each segment, a row each."""
+    n = np.add.reduceat(mask.astype(float), starts)
+    some = n > 0
+    mean = np.add.reduceat(np.where(mask, values, 0.0), starts) / np.where(some, n, 1.0)
+    deviation = np.where(mask, values - mean[segment], 0.0)
+    low = np.minimum.reduceat(np.where(mask, values, np.inf), starts)
+    high = np.maximum.reduceat(np.where(mask, values, -np.inf), starts)
+    spread = np.add.reduceat(deviation * deviation, starts)
+    return np.where(some[:, None], np.column_stack([n, mean, spread, low, high]), 0.0)
+
+
+def _merge_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_extend`` of the sums of many flows, a row each."""
+    out, n = a.copy(), len(_PLAIN)
+    out[:, :n] += b[:, :n]
+    for i in range(n, a.shape[1], len(_EMPTY)):
+        x, y = a[:, i : i + len(_EMPTY)], b[:, i : i + len(_EMPTY)]
+        total = x[:, 0] + y[:, 0]
+        safe, delta = np.where(total > 0, total, 1.0), y[:, 1] - x[:, 1]
+        both = np.column_stack(
+            [total, x[:, 1] + delta * y[:, 0] / safe, x[:, 2] + y[:, 2] + delta * delta * x[:, 0] * y[:, 0] / safe,
+             np.minimum(x[:, 3], y[:, 3]), np.maximum(x[:, 4], y[:, 4])]
+        )
+        out[:, i : i + len(_EMPTY)] = np.where((x[:, 0] == 0)[:, None], y, np.where((y[:, 0] == 0)[:, None], x, both))
+    return out
+
+
+_WIDTH = len(_PLAIN) + len(_MEASURES) * len(_EMPTY)
+
+
+def _nothing_held() -> tuple[pd.DataFrame, np.ndarray]:
+    return pd.DataFrame(columns=_HELD_COLUMNS), np.empty((0, _WIDTH))
+
+
+def _pack_held(held: pd.DataFrame, sums: np.ndarray) -> bytes:
+    table = pa.Table.from_pandas(held, preserve_index=False)
+    table = table.append_column("sums", pa.array(list(sums), pa.list_(pa.float64())))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack_held(packed: bytes) -> tuple[pd.DataFrame, np.ndarray]:
+    table = pa.ipc.open_stream(packed).read_all()
+    sums = table["sums"].combine_chunks().flatten().to_numpy().reshape(-1, _WIDTH)
+    return table.drop_columns(["sums"]).to_pandas(), sums
+
+
+def _finished(flows: pd.DataFrame, sums: np.ndarray, closed: np.ndarray) -> pd.DataFrame:
+    done = flows[["protocol", *(c for c in _STATE_COLUMNS if c != "sums")]].copy()
+    done.insert(1, "finished_cleanly", closed)
+    done.insert(2, "total_packets", sums[:, 0].astype(np.int64))
+    done["sums"] = [row.tobytes() for row in sums]
+    return done
+
+
+def _take_all(rows: pd.DataFrame, held: pd.DataFrame, held_sums: np.ndarray, timeout_us: int):
+    """``_take`` for the packets of many keys at once: finished flows, then the open ones and their sums."""
+    code, held_code = _codes(rows, held)
+    order = np.lexsort((rows["arrival_seq"].to_numpy(), code))
+    code, p = code[order], _arrays(rows, order)
+    keys = {c: rows[c].to_numpy()[order] for c in KEY}
+    times, ends = p["ts_us"].astype(np.int64), p["closes"].astype(bool)
+    same_key, steps = code[1:] == code[:-1], np.diff(times)
+    starts = np.concatenate(([0], np.flatnonzero(~same_key | ends[:-1] | (steps >= timeout_us)) + 1))
+    lasts = np.concatenate((starts[1:], [len(times)])) - 1
+    segment = np.repeat(np.arange(len(starts)), lasts - starts + 1)
+    first_of_key = np.concatenate(([True], code[starts[1:]] != code[starts[1:] - 1]))
+    last_of_key = np.concatenate((first_of_key[1:], [True]))
+
+    # A key's first segment goes on with its held flow, unless that has been idle for too long.
+    at = np.full(int(max(code.max(), held_code.max(initial=0))) + 1, -1)
+    at[held_code] = np.arange(len(held_code))
+    partner = np.where(first_of_key, at[code[starts]], -1)
+    held_last = held["last_us"].to_numpy(dtype=np.int64)
+    near = np.zeros(len(starts), dtype=bool)
+    asked = partner >= 0
+    near[asked] = times[starts[asked]] - held_last[partner[asked]] < timeout_us
+    joined, idle = partner[near], partner[asked & ~near]
+
+    flows = {c: keys[c][starts] for c in KEY}
+    flows |= {
+        "flow_id": p["arrival_seq"][starts], "src_ip": p["src_ip"][starts], "dst_ip": p["dst_ip"][starts],
+        "src_port": p["src_port"][starts], "dst_port": p["dst_port"][starts], "start_us": times[starts],
+    }
+    for name in ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "start_us"):
+        flows[name] = flows[name].copy()
+        flows[name][near] = held[name].to_numpy()[joined]
+    flows |= {"last_us": times[lasts], "last_seq": p["arrival_seq"][lasts]}
+
+    forward = (p["src_ip"] == flows["src_ip"][segment]) & (p["src_port"] == flows["src_port"][segment])
+    gaps, has_gap = np.zeros(len(times)), np.ones(len(times), dtype=bool)
+    gaps[1:] = np.maximum(steps, 0) / 1e6
+    has_gap[starts] = near
+    gaps[starts[near]] = np.maximum(times[starts[near]] - held_last[joined], 0) / 1e6
+
+    flag, texts = pd.factorize(p["tcp_flags"], use_na_sentinel=False)
+    known = np.array([[float(isinstance(t, str)), *(float(isinstance(t, str) and f in t) for f in _FLAGS)] for t in texts])
+    payload, one = p["payload_size"], np.ones(len(times))
+    plain = np.column_stack([one, payload, payload == 0, known[flag]])
+    forward = forward.astype(bool)
+    measured = [
+        (p["size"], forward), (p["size"], ~forward), (p["header_size"], forward), (p["header_size"], ~forward), (gaps, has_gap),
+    ]
+    sums = np.column_stack([np.add.reduceat(plain, starts), *(_segment_measure(v, m, starts, segment) for v, m in measured)])
+    sums[near] = _merge_rows(held_sums[joined], sums[near])
+
+    closed = ends[lasts]
+    over = closed | ~last_of_key
+    flows = pd.DataFrame(flows)[_HELD_COLUMNS]
+    stays = np.ones(len(held), dtype=bool)
+    stays[joined] = stays[idle] = False
+    done = [_finished(held.iloc[idle], held_sums[idle], np.zeros(len(idle), dtype=bool)), _finished(flows[over], sums[over], closed[over])]
+    parts = [f for f in (held[stays], flows[~over]) if len(f)]
+    left = pd.concat(parts, ignore_index=True) if parts else _nothing_held()[0]
+    return done, left, np.concatenate([held_sums[stays], sums[~over]])
+
+
 def _assemble(params: FlowParams):
     timeout_us = params.idle_timeout_us
     if timeout_us is None:
         raise ValueError("a stream needs an idle timeout: it has no end at which to flush flows")
 
     def assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        protocol = int(key[4])
-        if protocol < 0:  # a heartbeat only moves the watermark
+        if int(key[0]) < 0:  # a heartbeat only moves the watermark
             for _ in batches:
                 pass
             return
         done = []
-        held = _unpack(tuple(state.get)) if state.exists else None
-        if state.hasTimedOut:
-            done.append((protocol, False, int(held[8][0]), *_pack(held)))
-            held = None
-        else:
-            frames = list(batches)
-            rows = frames[0] if len(frames) == 1 else pd.concat(frames)
-            order = np.argsort(rows["arrival_seq"].to_numpy(), kind="stable")
-            p = _arrays(rows, order)
-            more, held = _take(p, held, timeout_us, protocol)
+        held, sums = _unpack_held(state.get[0]) if state.exists else _nothing_held()
+        if not state.hasTimedOut:
+            more, held, sums = _take_all(pd.concat(list(batches), ignore_index=True), held, sums, timeout_us)
             done += more
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(_pack(held))
+        # Packets of other keys do not keep a flow open: what the watermark has passed is done.
+        passed = held["last_us"].to_numpy(dtype=np.int64) + timeout_us <= state.getCurrentWatermarkMs() * 1000
+        done.append(_finished(held[passed], sums[passed], np.zeros(int(passed.sum()), dtype=bool)))
+        held, sums = held[~passed], sums[~passed]
+        if len(held):
+            state.update((_pack_held(held, sums),))
             # A timer must lie ahead of the watermark.
-            due_ms = (held[6] + timeout_us) // 1000
+            due_ms = (int(held["last_us"].min()) + timeout_us) // 1000
             state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame(done, columns=["protocol", "finished_cleanly", "total_packets", *_STATE_COLUMNS])
+        elif state.exists:
+            state.remove()
+        for flows in done:
+            if len(flows):
+                yield flows
 
     return assemble
 
@@ -238,12 +371,18 @@ def stream_flows_reordered(packets: DataFrame, params: FlowParams, delay: str =
     return finished.withColumn("finish_seq", finish)
 
 
-def stream_flows(packets: DataFrame, params: FlowParams, delay: str = "10 seconds") -> DataFrame:
-    """Finished flows of a packet stream. Rows later than ``delay`` behind the newest are dropped."""
+def stream_flows(packets: DataFrame, params: FlowParams, delay: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """Finished flows of a packet stream. Rows later than ``delay`` behind the newest are dropped.
+
+    Keys are dealt over ``buckets``, each with one state row of its open flows. A bucket's packets of a micro-batch are in
+    one task at a time, so more packets a micro-batch ask for more buckets; a checkpoint keeps the number it began with.
+    """
     keyed = with_flow_key(packets).withColumn("closes", closes(F.col("tcp_flags")))
     timed = keyed.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
-    finished = timed.groupBy(*KEY).applyInPandasWithState(
-        _assemble(params), _FLOW, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    bucket = F.when(F.col("protocol") < 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+    dealt = timed.select(bucket.alias("bucket"), *KEY, *(c for c in _PACKET_COLUMNS if c not in KEY), "ts")
+    finished = dealt.groupBy("bucket").applyInPandasWithState(
+        _assemble(params), _FLOW, "flows binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     finish = F.when(F.col("finished_cleanly"), F.col("last_seq")).otherwise(F.lit(_LEFTOVER).cast("bigint") + F.col("flow_id"))
     return finished.withColumn("finish_seq", finish)
@@ -320,13 +459,14 @@ def stream_flows_once(packets: DataFrame, params: FlowParams) -> DataFrame:
 
     spark = packets.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    span = packets.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    span = packets.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.count(F.lit(1)).alias("n")).first()
     delay_us = max(span["b"] - span["a"], 0) + 1_000_000
     packets.write.parquet(f"{base}/in")
     heartbeat(packets, 2 * delay_us + params.idle_timeout_us).write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(packets.schema).parquet(f"{base}/in")
     # The stored rows are in no particular time order, so nothing is late within their own span.
-    finished = stream_flows(source, params, f"{delay_us // 1_000_000 + 1} seconds")
+    buckets = max(BUCKETS, span["n"] // ROWS_PER_BUCKET)
+    finished = stream_flows(source, params, f"{delay_us // 1_000_000 + 1} seconds", buckets)
     run = (
         finished.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start(f"{base}/out")

@@ -60,6 +60,22 @@ def test_flows_span_micro_batches(spark, tmp_path):
     assert {r for r in every if r[9]} <= set(done) and len(done) > len([r for r in every if r[9]])
 
 
+def test_keys_that_share_a_bucket_stay_apart(spark, tmp_path):
+    """One bucket for all keys: open flows of several batches, one call a batch, and flows end although others go on."""
+    rows = random_packets(13, 240)
+    packets = spark.createDataFrame(rows, PACKETS)
+    p = FlowParams(idle_timeout_seconds=1.5)
+    source = arriving(packets, str(tmp_path / "in"), 4, "arrival_seq")
+    beat = heartbeat(packets, 100 * S)
+    streamed = stream_flows(source, p, "5 seconds", buckets=1)
+    run(streamed, str(tmp_path / "out"), str(tmp_path / "state"))
+    beat.write.mode("append").parquet(str(tmp_path / "in"))
+    streamed = run(streamed, str(tmp_path / "out"), str(tmp_path / "state"))
+    batch = with_flow_id(packets, p)
+    assert values(streamed, *FLOW_COLUMNS) == values(flows(batch), *FLOW_COLUMNS)
+    assert values(streamed_features(streamed), "flow_id", *FEATURE_COLUMNS) == values(flow_features(batch), "flow_id", *FEATURE_COLUMNS)
+
+
 def shuffled(rows, delay_us, seed):
     """Arrival order in which a row is behind others by less than the delay."""
     rng = random.Random(seed)

@@ -1,7 +1,7 @@
 import random
 import statistics
 
-from netspark.operators.features import flow_features
+from netspark.operators.features import flow_features, timing_in_arrival_order
 from netspark.operators.flows import flows, new_flow_events, with_direction, with_flow_id
 from netspark.params import FlowParams
 from netspark.schemas import FEATURE_COLUMNS, IDENTITY_COLUMNS, PACKETS
@@ -142,3 +142,23 @@ def test_flows_are_hashed_not_sorted(spark):
     for df in (flows(sessions), flow_features(sessions)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_timing_on_a_rounding_edge_is_summed_in_arrival_order(spark):
+    """Long and short gaps in days far apart: their parts are summed apart, and the mean of five lies on an edge."""
+    gaps = [16_329_599_700_100, 100_000, 116_300, 147_600, 250]
+    times = [sum(gaps[:i]) for i in range(len(gaps) + 1)]
+    rows = [packet((i // 2) << 24 | i, t / 1e6, 17, ("10.0.0.1", 5000), ("10.0.0.2", 53)) for i, t in enumerate(times)]
+    rows += [packet(100 + i, i * 0.00025, 17, ("10.0.0.3", 5000), ("10.0.0.2", 53)) for i in range(3)]
+    rows += [packet(200 + i, i * 0.3, 17, ("10.0.0.4", 5000), ("10.0.0.2", 53)) for i in range(3)]
+    packets = spark.createDataFrame(rows, PACKETS)
+    plain = flow_features(with_flow_id(packets))
+    off = plain.withColumn("iat_mean", plain.iat_mean * (1 + 2**-51))
+    mended = {r.src_ip: r for r in timing_in_arrival_order(off, packets, {"iat_mean": 4, "iat_cv": 2}).collect()}
+    assert len(mended) == 3 and mended["10.0.0.3"].iat_mean == (0.00025 + 0.00025) / 2
+    total = 0.0
+    for gap in gaps:
+        total += gap / 1e6
+    assert mended["10.0.0.1"].iat_mean == total / len(gaps)
+    assert mended["10.0.0.4"].iat_mean == next(r.iat_mean for r in off.collect() if r.src_ip == "10.0.0.4")
+    assert sorted(mended["10.0.0.1"].asDict()) == sorted(off.columns)

@@ -238,6 +238,22 @@ def _row_hashes(matrix: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def spread_keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of anchors, even over the key range. Picked hashes are the smallest of their windows, so most are low."""
+    return mix(hashes * np.uint64(_BASE)) >> np.uint64(64 - bits)
+
+
+def _single_hashes(data: np.ndarray, single: np.ndarray, width: int, q: int, size: int = 1 << 13) -> np.ndarray:
+    """The row hash of each single window, a run of windows at a time."""
+    out = np.zeros(len(single), np.uint64)
+    for begin in range(0, len(single), size):
+        some = single[begin : begin + size]
+        matrix = stretches(data, some, some, some, width, q)
+        matrix[:, 0] = SINGLE
+        out[begin : begin + size] = _row_hashes(matrix)
+    return out
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices: int = HOT_SLICES, slice_bytes: int = packed.SLICE) -> DataFrame:
     """doc_id, n_bytes, start, stop (byte runs that go) and kept (the rest, binary) of every document."""
     if not 0 < width - q + 1 <= 64 or width > SINGLE:
@@ -248,7 +264,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
 
     def cut_up(one: packed.Slice) -> tuple[np.ndarray, ...]:
         hashes, place, first, last = anchors(one.data, one.offsets, width, q)
-        return hashes >> np.uint64(64 - bits), place, first, last
+        return spread_keys(hashes, bits), place, first, last
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +304,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         out = {"part": [], "slice": [], "rows": [], "docs": [], "starts": [], "bits": []}
         squeeze = zstandard.ZstdCompressor(level=3)
 
-        def put(part: int, matrix: np.ndarray, doc: np.ndarray, start: np.ndarray, gone: np.ndarray | None) -> None:
+        def put(part: int, matrix: np.ndarray | None, doc: np.ndarray | None, start: np.ndarray, gone: np.ndarray | None) -> None:
             out["part"].append(part)
             out["slice"].append(one.name)
             out["rows"].append(squeeze.compress(np.ascontiguousarray(matrix).tobytes()) if gone is None else b"")
@@ -309,24 +325,26 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
             single = np.repeat(first[hot], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
             for at, chosen in ((0, shared), (1, hot)):
                 if at:
-                    start, owner = single, np.repeat(doc[hot], span)
-                    matrix = stretches(one.data, single, single, single, width, q)
-                    matrix[:, 0] = SINGLE
-                    spread = _row_hashes(matrix) >> np.uint64(64 - bits)
+                    start, owner, spread = single, np.repeat(doc[hot], span), _single_hashes(one.data, single, width, q) >> np.uint64(64 - bits)
+                    gram, end = single, single
                 else:
-                    start, owner = first[chosen], doc[chosen]
-                    matrix = stretches(one.data, place[chosen], start, last[chosen], width, q)
-                    spread = keys[chosen]
-                head, of = classes(matrix)
-                least = smallest(of, owner, len(head))
-                known = owner > least[of]
-                if known.any():
-                    put(-1 - zlib.crc32(one.name.encode()) % partitions, matrix, owner, start[known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1))
-                rest = np.flatnonzero(~known)
-                rest = rest[np.argsort(spread[rest], kind="stable")]
-                for p, c in zip(*packed.dealt(spread[rest], partitions, bits), strict=True):
-                    some = rest[c]
-                    put(p, matrix[some], owner[some], start[some], None)
+                    start, owner, spread = first[chosen], doc[chosen], keys[chosen]
+                    gram, end = place[chosen], last[chosen]
+                # Equal stretches go to one partition, so those of one partition are all that has to be held.
+                order, told_here = np.argsort(spread, kind="stable"), []
+                for p, c in zip(*packed.dealt(spread[order], partitions, bits), strict=True):
+                    some = order[c]
+                    matrix = stretches(one.data, gram[some], start[some], end[some], width, q)
+                    if at:
+                        matrix[:, 0] = SINGLE
+                    head, of = classes(matrix)
+                    known = owner[some] > smallest(of, owner[some], len(head))[of]
+                    if known.any():
+                        told_here.append((start[some][known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1)))
+                    if not known.all():
+                        put(p, matrix[~known], owner[some][~known], start[some][~known], None)
+                if told_here:
+                    put(-1 - zlib.crc32(one.name.encode()) % partitions, None, None, *map(np.concatenate, zip(*told_here, strict=True)))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)})
 
     sent = slices.groupBy("slice").cogroup(states.groupBy("slice")).applyInArrow(send, "part int, slice string, rows binary, docs binary, starts binary, bits binary")
@@ -338,8 +356,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         wide = 2 * width - q + 2
         matrix = np.concatenate([x.reshape(-1, wide) for x in parts])
         doc = np.concatenate([packed.expand(x.as_buffer(), "<i8") for x in table.column("docs")])
-        gone = repeated(matrix, doc, width, q)
         ends = np.cumsum([len(x) // wide for x in parts])
+        del parts
+        gone = repeated(matrix, doc, width, q)
         starts, bits_ = [], []
         for begin, end, value in zip(np.append(0, ends[:-1]), ends, table.column("starts"), strict=True):
             some = gone[begin:end]

@@ -133,3 +133,25 @@ def test_later_runs_use_the_new_pointers(monkeypatch):
     steps.clear()
     suffix_dedup.buckets(text, start, length, 400, 1 << 15)
     assert reused < sum(steps)  # buckets that look at refined ones need fewer steps
+
+
+def test_single_windows_are_hashed_a_run_at_a_time(monkeypatch):
+    """Hashes of single windows are those of their whole rows, and no more than a run of rows is built for them."""
+    data = np.frombuffer(("abc" * 400 + "".join(chr(65 + i % 26) for i in range(400))).encode(), np.uint8)
+    single = np.arange(len(data) - 50 + 1)
+    whole = suffix_dedup.stretches(data, single, single, single, 50, 20)
+    whole[:, 0] = suffix_dedup.SINGLE
+    built, build = [], suffix_dedup.stretches
+    monkeypatch.setattr(suffix_dedup, "stretches", lambda *a: built.append(len(a[1])) or build(*a))
+    assert (suffix_dedup._single_hashes(data, single, 50, 20, size=128) == suffix_dedup._row_hashes(whole)).all()
+    assert max(built) == 128
+
+
+def test_anchors_are_dealt_evenly():
+    """Anchors are the smallest hashes of their windows; their keys still fill all partitions alike."""
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    hashes = suffix_dedup.anchors(data, np.array([0, len(data)]), 50, 20)[0]
+    keys = np.sort(suffix_dedup.spread_keys(hashes, 40))
+    parts, cuts = packed.dealt(keys, 32, 40)
+    sizes = [c.stop - c.start for c in cuts]
+    assert parts == list(range(32)) and max(sizes) < 1.5 * len(keys) / 32

@@ -167,3 +167,23 @@ def test_flagged_detail_equals_full(spark):
         assert got.keys() == full.keys() and {r["verdict"] for r in full.values()} > {"NORMAL"}
         for k, row in full.items():
             assert got[k] == {c: None if c in hidden and row["verdict"] == "NORMAL" else v for c, v in row.items()}
+
+
+def test_targets_alone_equal_full(spark):
+    table = new_flows(spark, random_flows(6, 150))
+    full = W.port_scan_windows(table, None, PortScanParams(10.0, 5, 4))
+    got = W.port_scan_windows(table, None, PortScanParams(10.0, 5, 4), detail="targets")
+    assert "scan_start_us" not in got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.select(*got.columns).collect()))
+
+
+def test_window_sweeps_deal_their_rows_once(spark, tmp_path):
+    """Every scan of changes reads rows and totals from one exchange, so nothing below it is worked out twice."""
+    new_flows(spark, random_flows(7, 100)).write.parquet(str(tmp_path / "flows"))
+    table = spark.read.parquet(str(tmp_path / "flows"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = W.ddos_counts(table, table, DdosParams(10.0))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") == 2 and plan.count("FileScan parquet") == 2

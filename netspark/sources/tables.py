@@ -50,7 +50,7 @@ def rewrite_labelled(spark: SparkSession, path: str, keep) -> None:
 
 
 def append_labelled(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("label_source").parquet(path)
+    rows.write.mode("append").option("compression", "zstd").partitionBy("label_source").parquet(path)
 
 
 def read_labelled(spark: SparkSession, path: str, confidence: str | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 import statistics
 
-from netspark.operators.features import flow_features, timing_in_arrival_order
-from netspark.operators.flows import flows, new_flow_events, with_direction, with_flow_id
+from netspark.operators.features import flow_features, packet_features, timing_in_arrival_order
+from netspark.operators.flows import flows, new_flow_events, started_flows, with_direction, with_flow_id
+from netspark.operators.scan import SEQUENCE_CHUNKS
 from netspark.params import FlowParams
 from netspark.schemas import FEATURE_COLUMNS, IDENTITY_COLUMNS, PACKETS
 
@@ -162,3 +163,33 @@ def test_timing_on_a_rounding_edge_is_summed_in_arrival_order(spark):
     assert mended["10.0.0.1"].iat_mean == total / len(gaps)
     assert mended["10.0.0.4"].iat_mean == next(r.iat_mean for r in off.collect() if r.src_ip == "10.0.0.4")
     assert sorted(mended["10.0.0.1"].asDict()) == sorted(off.columns)
+
+
+def test_flows_grouped_in_place_equal_those_grouped_again(spark):
+    """Some keys lie in one chunk of arrival numbers, some in several, one has no protocol."""
+    packets = [(p[0] * (SEQUENCE_CHUNKS[0] // 500), *p[1:]) for p in random_packets(4)]
+    packets += [packet(SEQUENCE_CHUNKS[0] * 9 + i, 300 + i / 10, 6, A, B, "A" if i % 5 else "F") for i in range(12)]
+    packets += [(SEQUENCE_CHUNKS[0] * 9 + 20 + i, 5 + i, None, *p[3:]) for i, p in enumerate(random_packets(4, 5))]
+    packets = [p if len(p) == 11 else (p[0], p[1], None, *random_packets(4, 1)[0][3:]) for p in packets]
+    table = spark.createDataFrame(packets, PACKETS)
+    for params in (FlowParams(), FlowParams(idle_timeout_seconds=1.5)):
+        sessions = with_flow_id(table, params)
+
+        def rows(df):
+            return {r["flow_id"]: {k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in df.collect()}
+
+        assert rows(packet_features(table, params)) == rows(flow_features(sessions))
+        assert rows(started_flows(table, params)) == rows(new_flow_events(sessions))
+
+
+def test_packets_are_dealt_once(spark, tmp_path):
+    """Packets, their chunks and the few keys in several chunks read one exchange; whole flows need no other."""
+    spark.createDataFrame(random_packets(5), PACKETS).write.parquet(str(tmp_path / "packets"))
+    table = spark.read.parquet(str(tmp_path / "packets"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = packet_features(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wide = [line for line in plan.splitlines() if "ReusedExchange" in line and "tcp_flags" in line]
+    assert len(wide) >= 2

@@ -23,6 +23,18 @@ def test_evidence_is_stored_without_ids(spark):
     assert bridge.first()["evidence_id"] == got.first()["evidence_id"]
 
 
+def test_evidence_of_single_flows_needs_no_window_detector(spark):
+    tables = Tables(spark, DATA)
+    tables.ddos = tables.port_scan = tables.brute_force = None
+    got = tables.flow_evidence()
+    assert "RepartitionByExpression [arrival_seq" in got._jdf.queryExecution().optimizedPlan().toString()
+    tables = Tables(spark, DATA)
+    tables.evidence()  # stored from here on
+    columns = ["arrival_seq", "detector", "payload"]
+    want = tables.evidence().filter("detector in ('anomaly', 'llm')").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, tables.flow_evidence().collect()))
+
+
 def test_partitions_grow_with_the_input(spark, tmp_path):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     try:

@@ -56,3 +56,45 @@ def test_a_quiet_key_has_few_totals(spark):
     assert totals <= 8
     got = S.scan(rows, ["k"], "t", {"n": S.Running("sum", "change")}, (width,)).orderBy("t").collect()
     assert [r["n"] for r in got] == list(range(1, 31))
+
+
+def unshared(spark) -> tuple[Tables, dict]:
+    """Tables that see nothing stored by other tests."""
+    tables, stored = Tables(spark, DATA), {}
+
+    def staged(name, build):
+        if name not in stored:
+            stored[name] = build().localCheckpoint()
+        return stored[name]
+
+    tables._staged, tables._is_stored = staged, stored.__contains__
+    return tables, stored
+
+
+def rows(df) -> list:
+    return sorted(map(str, df.collect()))
+
+
+def test_started_flows_and_features_come_from_one_grouping(spark):
+    from netspark.operators.flows import started_flows
+
+    tables, stored = unshared(spark)
+    started, features = tables.started(), tables.features()
+    assert set(stored) == {"packets", "all_flows"}
+    other, kept = unshared(spark)
+    assert rows(features) == rows(other.features()) and "features" in kept
+    assert rows(started.select("flow_id", "ts_us", "src_ip", "dst_ip", "dst_port")) == rows(started_flows(tables.packets()))
+    assert rows(other.started()) == rows(started) and "all_flows" not in kept
+
+
+def test_risk_reads_no_scan_targets(spark, monkeypatch):
+    from netspark.operators import incidents, windows
+
+    tables, _ = unshared(spark)
+    want = incidents.incidents(incidents.correlate(tables.packet_evidence())).select("key", "evidence_count", "risk_score")
+    want = rows(want)
+    monkeypatch.setattr(windows, "_target_changes", None)
+    monkeypatch.setattr(windows, "_span_marks", None)
+    narrow = tables.packet_evidence(detail=False)
+    assert not {"payload", "reasoning"} & set(narrow.columns)
+    assert rows(incidents.incidents(incidents.correlate(narrow)).select("key", "evidence_count", "risk_score")) == want

@@ -98,3 +98,12 @@ def test_risk_reads_no_scan_targets(spark, monkeypatch):
     narrow = tables.packet_evidence(detail=False)
     assert not {"payload", "reasoning"} & set(narrow.columns)
     assert rows(incidents.incidents(incidents.correlate(narrow)).select("key", "evidence_count", "risk_score")) == want
+
+
+def test_reviewed_rows_need_no_tracker(spark):
+    other, _ = unshared(spark)
+    want = rows(other.labelled().filter("label_source = 'llm'"))
+    tables, stored = unshared(spark)
+    tables.transitions = None
+    assert rows(tables.reviewed()) == want == rows(other.reviewed())
+    assert "labelled" not in stored and "features" in stored

@@ -107,3 +107,13 @@ def test_reviewed_rows_need_no_tracker(spark):
     tables.transitions = None
     assert rows(tables.reviewed()) == want == rows(other.reviewed())
     assert "labelled" not in stored and "features" in stored
+
+
+def test_labels_need_no_features_and_targets(spark):
+    columns = ["id", "timestamp", "label", "label_source"]
+    other, _ = unshared(spark)
+    want = rows(other.labelled().select(columns))
+    tables, stored = unshared(spark)
+    tables._port_scan_targets = tables.port_scan = None
+    assert rows(tables.labels()) == want == rows(other.labels())
+    assert stored["labels"].columns == columns and "labelled" not in stored

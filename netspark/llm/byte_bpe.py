@@ -13,6 +13,7 @@ an empty table gives an empty one; further columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -25,14 +26,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netspark.llm.common import CUT, Memory, slices
+from netspark.llm.common import Memory, slices
+from netspark.llm.parts import KEPT, Parts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces whose ids a worker keeps (twice that at most, and twice as many parts between spaces), and their most characters:
-#: for a task, and where a worker does nothing else.
-MEMORY, LASTING_MEMORY, KEPT = 50_000, 100_000, 64
+#: Pieces whose ids a worker keeps (twice that at most, and PARTS times as many parts, which take some 50 bytes each): for a
+#: task, and where a worker does nothing else.
+MEMORY, LASTING_MEMORY, PARTS = 50_000, 100_000, 10
 #: Bytes of text that a task holds at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
+_PACK = struct.Struct("<I").pack
 
 
 class Vocabulary:
@@ -90,7 +93,7 @@ class PrefixTable:
         text = piece[start:] if start else piece
         for end, (token, length) in self.vocabulary.ending.iter(text.decode("latin-1")):
             end += start + 1
-            if end > done and length <= end:
+            if end > done:
                 if length < end:
                     left = last[end - length]
                     stays = known.get(left << 32 | token)
@@ -132,34 +135,37 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder:
-    """Texts to ids with memories of pieces and of the parts between spaces."""
+class Encoder(Parts):
+    """Texts to ids with memories of parts and of the pieces in them."""
 
     def __init__(self, path: str, pattern: str, memory: int = MEMORY):
+        super().__init__(PARTS * memory)
         self.vocabulary, self.pattern = Vocabulary(path, memory), regex.compile(pattern)
         self.pieces = Memory(self._piece, memory, KEPT)
-        self.parts = Memory(lambda part: self.split(" " + part), 2 * memory, KEPT)
 
     def _piece(self, text: str) -> bytes:
         raw = text.encode()
         whole = self.vocabulary.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, raw).ids()
-        return np.array(ids, "<u4").tobytes()
+        return _PACK(whole) if whole is not None else np.array(PrefixTable(self.vocabulary, raw).ids(), "<u4").tobytes()
 
     def split(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.split(text), "<u4")
+
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.split(part.decode()) for part in parts]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
     def forget(self) -> None:
         """Empty the memories; the vocabulary stays."""
-        for memory in (self.pieces, self.parts):
-            memory.clear()
-            memory.older = {}
-        self.vocabulary.known.clear()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        first, *rest = CUT.split(text)
-        return self.split(first) + b"".join(map(self.parts.__getitem__, rest))
+        super().forget()
+        if hasattr(self, "pieces"):
+            self.pieces.clear()
+            self.pieces.older = {}
+            self.vocabulary.known.clear()
 
 
 @lru_cache(maxsize=2)
@@ -180,7 +186,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, pattern: str = public_tokeniz
         own = encoder(path, pattern, LASTING_MEMORY if lasting else MEMORY)
         try:
             for part in slices(batches, SLICE):
-                ids = [own.encode(value) if value else b"" for value in part.column(1).to_pylist()]
+                ids = [x.tobytes() for x in own.encode(part.column(1))]
                 columns, names = [part.column(0), pa.array(ids, pa.binary())], [key, "ids"]
                 if decoded:
                     columns.append(pa.array([_bytes_of(x, own.vocabulary.bytes) for x in ids], pa.binary()))

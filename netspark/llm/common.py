@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netspark.session import shared_dir
 
-#: Places where a text can be cut so that no pre-token of PATTERN spans the cut: a space that something visible
-#: follows. Every part but the first stands after a space.
-CUT = re.compile(r" (?=\S)")
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

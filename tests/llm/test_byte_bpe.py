@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -60,3 +61,26 @@ def test_edits_work_out_only_what_is_near(vocabulary):
         assert table.piece == piece[:start] + new + piece[end:]
         assert table.ids() == vocabulary.merged(table.piece)
         assert worked <= len(new) + 4 * vocabulary.longest
+
+
+def test_a_memory_that_is_full_or_emptied_changes_no_ids():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeé'19.,)") for _ in range(rng.randint(1, 70))) for _ in range(300)]
+    texts = [*ODD, *[rng.choice([" ", "\n", "  ", "\n\n", ". "]).join(rng.choices(words, k=30)) for _ in range(40)]]
+    want = [LIBRARY.encode_ordinary(text) for text in texts]
+    for limit in (1, 40, 100_000):
+        own = byte_bpe.Encoder(byte_bpe.TOKENIZER, public_tokenizers.PATTERN, 20)
+        own.limit = limit
+        for _ in range(3):
+            assert [x.tolist() for x in own.encode(pa.array(texts))] == want
+            assert len(own.hash) <= limit
+        own.forget()
+        assert not len(own.hash) and not own.pieces and not own.vocabulary.known
+
+
+def test_a_part_met_again_is_not_split_again():
+    own = byte_bpe.Encoder(byte_bpe.TOKENIZER, public_tokenizers.PATTERN)
+    (first,) = own.encode(pa.array(["so it goes, and so on"]))
+    own.split = None
+    again = [x.tolist() for x in own.encode(pa.array(["so it goes, and so on", None, ""]))]
+    assert again == [first.tolist(), [], []]

@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from netspark.llm import token_files
+from netspark.llm import parts, token_files
 
 LIBRARY = Tokenizer.from_file(token_files.TOKENIZER)
 TEXTS = ["", None, "one two", "a  b\n \nc ", "<|endoftext|> x<|endoftext|>", "word " * 3000, "x" * 9000, "ñ é ß", "one two", " lead", "\x1c a  b", "x ", " ", "a \x1cb \u2003c", "word, word. (word) 3,4. ab's, x² y², xª. n't!! ñ$$$ A%%% .. a' b", "end. \n\n x"]
@@ -51,6 +51,18 @@ def test_memory_holds_and_forgets(monkeypatch):
         assert len(own.hash) <= limit
 
 
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    told = parts.word_hashes
+    monkeypatch.setattr(parts, "word_hashes", lambda data, starts, ends, seed=0: told(data, starts, ends, seed) & np.uint64(~0 % 2**64 if seed else 63))
+    monkeypatch.setattr(np, "isin", None)  # the memory is searched, not hashed anew with every slice
+    own = token_files.Encoder(token_files.TOKENIZER)
+    texts = [f"word{i} and{i % 7}, or" for i in range(300)]
+    for start in range(0, 300, 3):
+        some = texts[start : start + 3]
+        assert [x.tolist() for x in own.encode(pa.array(some))] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in some]
+    assert 0 < len(own.hash) <= 64
+
+
 def file_of(docs, **sizes):
     writer, files = token_files.FileWriter(**sizes), []
     for doc_id, ids in docs:

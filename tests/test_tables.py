@@ -114,6 +114,18 @@ def test_labels_need_no_features_and_targets(spark):
     other, _ = unshared(spark)
     want = rows(other.labelled().select(columns))
     tables, stored = unshared(spark)
-    tables._port_scan_targets = tables.port_scan = None
+    tables.port_scan = None
     assert rows(tables.labels()) == want == rows(other.labels())
     assert stored["labels"].columns == columns and "labelled" not in stored
+
+
+def test_scan_changes_know_their_targets_from_few_contacts(spark):
+    from netspark.operators import windows
+
+    data = DATA.replace("0.001", "0.01")
+    tables, stored = unshared(spark)
+    tables.sf_dir = data
+    got = tables.transitions()["port_scan"]
+    assert "port_scan" not in stored and "port_scan_targets" not in stored
+    whole = windows.verdict_transitions(tables.port_scan(), ["src_ip"], "finish_seq").select(*got.columns)
+    assert rows(got) == rows(whole) and not got.isEmpty()

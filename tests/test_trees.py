@@ -82,3 +82,22 @@ def test_training_runs_no_stage_per_level(spark):
         jobs.append(len(tracker.getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_flagged_flows_are_classified_in_batches(spark):
+    """Predictions are a map over the flows: every column stays, and only flagged flows to one host are scored."""
+    df = labelled(spark, [("ddos", "llm", False, 0)] * 30 + [("benign", "llm", False, 50)] * 30)
+    best = T.train_best(df, TrainingParams(trees=5, boosting_rounds=2, forest_depth=3, boosting_depth=3))
+    flows = T.sample_features(df, ["dst_ip"]).selectExpr(
+        "* except (dst_ip)", "if(id % 10 = 0, '224.0.0.1', dst_ip) dst_ip", "if(id % 2 = 0, 'ATTACK', 'NORMAL') verdict", "array(id, null) kept"
+    )
+    found = T.classify_flagged(flows, best.model, best.labels)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert sorted(r["id"] for r in got) == [i for i in range(60) if i % 2 == 0 and i % 10]
+    assert all(r["predicted_label"] == r["label"] and r["kept"] == [r["id"], None] for r in got)
+    assert T.classify_flagged(flows.filter("id < 0"), best.model, best.labels).collect() == []
+    # The same model from Spark's learners, which many rows go to.
+    other = T.train_best(df, TrainingParams(trees=5, boosting_rounds=2, forest_depth=3, boosting_depth=3), held_rows=0)
+    assert (other.name, other.f1_macro) == (best.name, best.f1_macro) and not hasattr(other.model, "cuts")
+    assert all(r["predicted_label"] == r["label"] for r in T.classify_flagged(flows, other.model, other.labels).collect())

@@ -9,6 +9,7 @@ leave it, so a hot key costs one entry per slice, and keys are hashes, so partit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +72,20 @@ def rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict[str, pa.Scalar]]:
         yield {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
 
 
+@cache
+def _tools() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Kept for the worker: making them costs more than packing a short array. A worker runs one task at a time."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(array: np.ndarray) -> bytes:
     """Packed bytes of an array, like bytes of its values next to each other."""
     parts = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T if len(array) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(parts.tobytes())
+    return _tools()[0].compress(parts.tobytes())
 
 
 def unsqueeze(buffer: pa.Buffer | bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(buffer)
+    return _tools()[1].decompress(buffer)
 
 
 def expand(buffer: pa.Buffer | bytes, kind: str) -> np.ndarray:

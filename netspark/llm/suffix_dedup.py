@@ -77,14 +77,19 @@ def sliding(values: np.ndarray, size: int, best=np.minimum) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, q: int) -> tuple[np.ndarray, ...]:
     """(hash, place, first window, last window) of the picked q-grams; the windows that start at first..last picked it."""
     found, low = [], np.uint64((1 << (PIECE + width).bit_length()) - 1)
+    # Windows that cross an end of a document: the last width - 1 places before it.
+    ends = offsets[1:]
     # Pieces overlap so that every window is whole in exactly one.
     for begin in range(0, max(len(data) - width + 1, 0), PIECE):
         end = min(len(data), begin + PIECE + width - 1)
         hashes = window_hashes(data[begin:end], q)
         # High bits compare hashes, low bits tell the place, so the leftmost of equals wins.
         pick = sliding((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width - q + 1) & low
-        windows = np.arange(begin, begin + len(pick))
-        inside = np.flatnonzero(offsets[np.searchsorted(offsets, windows, "right")] - windows >= width)
+        across = np.zeros(len(pick) + 1, np.int32)
+        near = ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + len(pick) + width, "left")] - begin
+        across += np.bincount(np.clip(near - width + 1, 0, len(pick)), minlength=len(pick) + 1)
+        across -= np.bincount(np.minimum(near, len(pick)), minlength=len(pick) + 1)
+        inside = np.flatnonzero(np.cumsum(across[:-1], dtype=np.int32) == 0)
         if len(inside):
             place = pick[inside].astype(np.int64)
             new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(inside) != 1)))
@@ -227,6 +232,15 @@ def _by_gram(rows: np.ndarray, gram: np.ndarray, size: int = 4096) -> Iterator[n
         start = end
 
 
+def _runs(parts: list[int], cuts: list[slice], size: int = 1 << 13) -> Iterator[tuple[list[int], list[slice]]]:
+    """Neighbouring partitions with about `size` rows together: many partitions of few rows are worked on at once."""
+    first = 0
+    for i, cut in enumerate(cuts):
+        if cut.stop - cuts[first].start >= size or i == len(cuts) - 1:
+            yield parts[first : i + 1], cuts[first : i + 1]
+            first = i + 1
+
+
 #: Mark of a stretch that is a single window of a hot q-gram.
 SINGLE = 255
 
@@ -330,10 +344,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
                 else:
                     start, owner, spread = first[chosen], doc[chosen], keys[chosen]
                     gram, end = place[chosen], last[chosen]
-                # Equal stretches go to one partition, so those of one partition are all that has to be held.
+                # Equal stretches go to one partition, so those of some whole partitions are all that has to be held.
                 order, told_here = np.argsort(spread, kind="stable"), []
-                for p, c in zip(*packed.dealt(spread[order], partitions, bits), strict=True):
-                    some = order[c]
+                for parts, cuts in _runs(*packed.dealt(spread[order], partitions, bits)):
+                    some = order[cuts[0].start : cuts[-1].stop]
                     matrix = stretches(one.data, gram[some], start[some], end[some], width, q)
                     if at:
                         matrix[:, 0] = SINGLE
@@ -341,8 +355,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
                     known = owner[some] > smallest(of, owner[some], len(head))[of]
                     if known.any():
                         told_here.append((start[some][known], (np.uint64(1) << matrix[known, 1].astype(np.uint64)) - np.uint64(1)))
-                    if not known.all():
-                        put(p, matrix[~known], owner[some][~known], start[some][~known], None)
+                    for p, c in zip(parts, cuts, strict=True):
+                        new = c.start - cuts[0].start + np.flatnonzero(~known[c.start - cuts[0].start : c.stop - cuts[0].start])
+                        if len(new):
+                            put(p, matrix[new], owner[some[new]], start[some[new]], None)
                 if told_here:
                     put(-1 - zlib.crc32(one.name.encode()) % partitions, None, None, *map(np.concatenate, zip(*told_here, strict=True)))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)})
@@ -359,12 +375,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         ends = np.cumsum([len(x) // wide for x in parts])
         del parts
         gone = repeated(matrix, doc, width, q)
-        starts, bits_ = [], []
-        for begin, end, value in zip(np.append(0, ends[:-1]), ends, table.column("starts"), strict=True):
+        # Slices without a repeated window here get no answer.
+        told, starts, bits_ = [], [], []
+        for i, (begin, end) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
             some = gone[begin:end]
-            starts.append(packed.squeeze(packed.expand(value.as_buffer(), "<i8")[some != 0]))
-            bits_.append(packed.squeeze(some[some != 0]))
-        return pa.table({"slice": table.column("slice"), "starts": pa.array(starts, pa.binary()), "bits": pa.array(bits_, pa.binary())})
+            if some.any():
+                told.append(i)
+                starts.append(packed.squeeze(packed.expand(table.column("starts")[i].as_buffer(), "<i8")[some != 0]))
+                bits_.append(packed.squeeze(some[some != 0]))
+        return pa.table({"slice": table.column("slice").take(pa.array(told, pa.int64())), "starts": pa.array(starts, pa.binary()), "bits": pa.array(bits_, pa.binary())})
 
     answers = sent.repartition(partitions, "part").groupBy("part").applyInArrow(judge, "slice string, starts binary, bits binary")
 
@@ -372,14 +391,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
         done = []
         for row in packed.rows(left):
             one = packed.Slice(row)
-            change = np.zeros(len(one.data) + 1, np.int32)
-            for answer in packed.rows(right):
-                starts, gone = packed.expand(answer["starts"].as_buffer(), "<i8"), packed.expand(answer["bits"].as_buffer(), "<u8")
-                for j in range(width - q + 1):
-                    window = starts[(gone >> np.uint64(j)) & np.uint64(1) != 0] + j
-                    np.add.at(change, window, 1)
-                    np.add.at(change, window + width, -1)
-            removed = np.cumsum(change[:-1]) > 0
+            removed = covered(*_answers(right), len(one.data), width)
             edge = np.zeros(len(removed) + 1, bool)
             edge[one.offsets] = True
             begin = np.flatnonzero(removed & (edge[:-1] | ~np.append(False, removed[:-1])))
@@ -404,6 +416,24 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q, hot_slices:
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(apply, "doc_id bigint, n_bytes bigint, start array<bigint>, stop array<bigint>, kept binary")
 
 
+def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(start, bits of the windows that go) of all answers to a slice."""
+    starts = [packed.expand(x.as_buffer(), "<i8") for x in table.column("starts")]
+    gone = [packed.expand(x.as_buffer(), "<u8") for x in table.column("bits")]
+    return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.uint64), *gone])
+
+
+def covered(starts: np.ndarray, gone: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n bytes stand in a window that goes; the j-th bit of ``gone`` is for the window j places after a start."""
+    here = np.zeros(n + width, bool)
+    for j in range(int(gone.max()).bit_length() if len(gone) else 0):
+        here[starts[(gone >> np.uint64(j)) & np.uint64(1) != 0] + j] = True
+    # A byte is covered if one of the last `width` places starts a window.
+    count = np.cumsum(here[:n], dtype=np.int32)
+    count[width:] -= count[:-width].copy()
+    return count > 0
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     return remove_repeats(docs).select(

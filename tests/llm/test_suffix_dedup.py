@@ -155,3 +155,28 @@ def test_anchors_are_dealt_evenly():
     parts, cuts = packed.dealt(keys, 32, 40)
     sizes = [c.stop - c.start for c in cuts]
     assert parts == list(range(32)) and max(sizes) < 1.5 * len(keys) / 32
+
+
+def test_work_follows_rows_and_not_partitions(spark, monkeypatch):
+    """Slices x partitions grows with the square of the input: partitions of few rows are worked on together, and answers at once."""
+    assert [p for p, _ in suffix_dedup._runs(list(range(7)), [slice(i, i + 1) for i in range(7)], 3)] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert list(suffix_dedup._runs([], [])) == []
+    rng = np.random.default_rng(4)
+    for n in (50, 90, 400):
+        starts = np.sort(rng.integers(0, n - 49, 12))
+        gone = np.array([int(x) & ((1 << min(31, n - 49 - s)) - 1) for s, x in zip(starts, rng.integers(0, 1 << 31, 12))], np.uint64)
+        want = np.zeros(n, bool)
+        for s, bits in zip(starts, gone):
+            for j in range(31):
+                if int(bits) >> j & 1:
+                    want[s + j : s + j + 50] = True
+        assert (suffix_dedup.covered(starts, gone, n, 50) == want).all()
+    assert not suffix_dedup.covered(np.zeros(0, np.int64), np.zeros(0, np.uint64), 5, 50).any()
+    rows = corpus(6, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, start int").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert rows_of(suffix_dedup.remove_repeats(docs, slice_bytes=3000)) == expected(rows, 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
